@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankfold import fixed_values as fv
+from rankfold.functions.json import json_value, with_json
 from rankfold.schema import text_or_empty
 
 REPLY_SCHEMA = "STRUCT<score: INT, reason: STRING, verdict: STRING, flag: STRING>"
@@ -33,20 +34,21 @@ def strip_code_fence(reply: Column) -> Column:
     return F.regexp_replace(opened, r"(?U)\s*```$", "")
 
 
-def parse_reply(reply: Column) -> Column:
-    """A (score, reason, verdict, flag) struct; anything unusable gives the error record.
+def with_reply(df: DataFrame, reply: Column, name: str = "reply_record") -> DataFrame:
+    """Adds a (score, reason, verdict, flag) struct; anything unusable gives the error record.
 
     An absent score counts as 0, a null or non-integer text score is an error.
     Other null fields count as absent.
     """
     span = F.regexp_extract(strip_code_fence(text_or_empty(reply)), r"(?s)\{.*\}", 0)
-    parsed = F.try_parse_json(span)
+    parsed = F.col("_json")
 
-    def text_field(name: str) -> Column:
-        return text_or_empty(F.try_variant_get(parsed, f"$.{name}", "string"))
+    def text_field(field: str) -> Column:
+        return text_or_empty(json_value(parsed, f".{field}", "string"))
 
-    no_score = F.try_variant_get(parsed, "$.score", "variant").isNull()
-    score = F.when(no_score, 0).otherwise(F.try_variant_get(parsed, "$.score", "int"))
+    no_score = json_value(parsed, ".score", "variant").isNull()
+    is_object = json_value(parsed, "", "variant").isNotNull()
+    score = F.when(no_score, 0).otherwise(json_value(parsed, ".score", "int"))
     flag = text_field("flag")
     good = F.struct(
         score.alias("score"), text_field("reason").alias("reason"),
@@ -57,5 +59,5 @@ def parse_reply(reply: Column) -> Column:
         F.lit(0).alias("score"), F.lit(fv.REPLY_ERROR_REASON).alias("reason"),
         F.lit("EXCLUDED").alias("verdict"), F.lit(fv.REPLY_ERROR_FLAG).alias("flag"),
     )
-    usable = parsed.isNotNull() & score.isNotNull()
-    return F.when(usable, good).otherwise(error).cast(REPLY_SCHEMA)
+    record = F.when(is_object & score.isNotNull(), good).otherwise(error).cast(REPLY_SCHEMA)
+    return with_json(df, span).withColumn(name, record).drop("_json")

@@ -11,6 +11,7 @@ from rankfold import fixed_values as fv
 from rankfold.config import SearchConfig
 from rankfold.functions import text as tx
 from rankfold.functions.html import html_to_text
+from rankfold.schema import each_item
 
 LITERAL_KEYWORDS = 256
 
@@ -49,15 +50,14 @@ def keyword_semi_join(texts: DataFrame, text: str, keys: Sequence[str], keywords
         return texts.filter(tx.contains_any(F.lower(text), words))
     lengths = [row[0] for row in wanted.select(F.char_length("_word")).distinct().collect()]
     lowered = texts.select(*keys, F.lower(text).alias("_text"))
-    pieces = lowered.select(
+    sized = lowered.select(
         *keys, "_text", F.explode(F.array(*[F.lit(n) for n in sorted(lengths)])).alias("_size")
-    ).filter(F.char_length("_text") >= F.col("_size")).select(
-        *keys,
-        F.explode(F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.char_length("_text") - F.col("_size") + 1),
-            lambda start: F.substring(F.col("_text"), start, F.col("_size")),
-        ))).alias("_word"),
-    )
+    ).filter(F.char_length("_text") >= F.col("_size"))
+    substrings = F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.char_length("_text") - F.col("_size") + 1),
+        lambda start: F.substring(F.col("_text"), start, F.col("_size")),
+    ))
+    pieces = each_item(sized, keys, substrings, "_nth", "_word")
     hits = pieces.join(wanted, "_word", "left_semi").select(*keys).distinct()
     return texts.join(hits, list(keys), "left_semi")
 

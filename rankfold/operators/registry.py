@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankfold import fixed_values as fv
+from rankfold.functions.json import with_json
 from rankfold.functions.slugs import slugs_to_try
 from rankfold.functions.text import title_case
 from rankfold.operators.matching import residual
 from rankfold.operators.ranking import first_success
+from rankfold.schema import CATEGORIES_SCHEMA, each_item, local_table
 from rankfold.sources.boards import board_a_count, board_b_count
 
 
@@ -21,11 +23,12 @@ def probe_counts(probes: DataFrame) -> DataFrame:
     """
     jobs = F.when(
         F.col("http_status") == 200,
-        F.when(F.col("ats") == fv.BOARD_B, board_b_count(F.col("payload"))).otherwise(
-            board_a_count(F.col("payload"))
+        F.when(F.col("ats") == fv.BOARD_B, board_b_count(F.col("_json"))).otherwise(
+            board_a_count(F.col("_json"), F.col("payload"))
         ),
     )
-    return probes.select("ats", "slug", jobs.alias("jobs")).groupBy("ats", "slug").agg(
+    parsed = with_json(probes, F.when(F.col("http_status") == 200, F.col("payload")))
+    return parsed.select("ats", "slug", jobs.alias("jobs")).groupBy("ats", "slug").agg(
         F.max("jobs").alias("jobs")
     )
 
@@ -40,9 +43,9 @@ def validate_registry(registry: DataFrame, probes: DataFrame) -> DataFrame:
         "ats", "slug", "board", "position", F.lit("skipped").alias("status"),
         F.lit(None).cast("string").alias("fixed"), F.lit(None).cast("int").alias("jobs"),
     )
-    tries = registry.filter(F.col("ats") != fv.BOARD_C).select(
-        "ats", "slug", "board", "position",
-        F.posexplode(slugs_to_try(F.col("slug"), F.col("ats"))).alias("pos", "variant"),
+    tries = each_item(
+        registry.filter(F.col("ats") != fv.BOARD_C), ("ats", "slug", "board", "position"),
+        slugs_to_try(F.col("slug"), F.col("ats")), "pos", "variant",
     )
     working = probe_counts(probes).filter("jobs IS NOT NULL").withColumnRenamed("slug", "variant")
     probed = tries.join(working, ["ats", "variant"], "left")
@@ -146,7 +149,7 @@ def probe_errors(candidates: DataFrame, probes: DataFrame, found: DataFrame, ats
 def default_categories(df: DataFrame) -> DataFrame:
     rows = [(name, rank, company) for rank, (name, companies) in enumerate(fv.BOARD_CATEGORIES.items())
             for company in companies]
-    return df.sparkSession.createDataFrame(rows, "category STRING, category_rank INT, company STRING")
+    return local_table(df.sparkSession, rows, CATEGORIES_SCHEMA)
 
 
 def category_report(missing: DataFrame, categories: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankfold import fixed_values as fv
+from rankfold.schema import local_table
 
 LABEL_WIDTH, COUNT_WIDTH = 22, 3
 
@@ -40,7 +41,7 @@ def score_histogram(df: DataFrame, score: str = "score", buckets: Sequence[tuple
     buckets.  ``bar_limit`` shortens bars of uncapped runs.
     """
     counts = df.groupBy(bucket_number(F.col(score), buckets).alias("bucket")).agg(F.count("*").alias("cnt"))
-    frame = df.sparkSession.createDataFrame([(n, label) for n, label, _ in buckets], "bucket INT, label STRING")
+    frame = local_table(df.sparkSession, [(n, label) for n, label, _ in buckets], "bucket INT, label STRING")
     joined = frame.join(F.broadcast(counts), "bucket", "left").select(   # at most one row per bucket
         "bucket", "label", F.coalesce("cnt", F.lit(0)).cast("bigint").alias("cnt")
     )

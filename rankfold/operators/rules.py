@@ -139,7 +139,7 @@ def rule_points(config: SearchConfig) -> Column:
 
 def company_rule_table(df: DataFrame, rules: Sequence[CompanyRule]) -> DataFrame:
     rows = [(r.company, r.title_contains, r.cap, r.flag) for r in rules]
-    return df.sparkSession.createDataFrame(rows, sc.COMPANY_RULES_SCHEMA)
+    return sc.local_table(df.sparkSession, rows, sc.COMPANY_RULES_SCHEMA)
 
 
 def with_company_facts(df: DataFrame, config: SearchConfig, company_rules: DataFrame | None = None,

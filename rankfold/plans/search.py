@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from rankfold import fixed_values as fv
 from rankfold.config import SearchConfig
 from rankfold.functions.dates import posted_today
-from rankfold.functions.replies import parse_reply, scoring_prompt
+from rankfold.functions.replies import scoring_prompt, with_reply
 from rankfold.functions.text import has_signal
 from rankfold.operators import exclusions, matching, ranking, reports
 from rankfold.operators.rules import score_by_rules
@@ -148,7 +148,7 @@ def reply_scorer(replies: DataFrame) -> Scorer:
     def score(rows: DataFrame) -> DataFrame:
         # one reply per link; the empty link has none, so it never becomes a hot key
         one_each = replies.filter(F.col("url") != "").groupBy("url").agg(F.min("reply").alias("reply"))
-        joined = rows.join(one_each, "url", "left").withColumn("_r", parse_reply(F.col("reply")))
+        joined = with_reply(rows.join(one_each, "url", "left"), F.col("reply"), "_r")
         return joined.select(*rows.columns, "_r.score", "_r.verdict", "_r.flag", "_r.reason")
 
     return score

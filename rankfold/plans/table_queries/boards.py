@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankfold.config import SearchConfig
+from rankfold.functions.json import json_value, with_json
 from rankfold.plans.table_queries.common import table
 from rankfold.sources import boards
 
@@ -84,10 +85,10 @@ def board_c_scan(spark, sf):
 
 
 def json_field_extract(spark, sf):
-    parsed = F.try_parse_json("props")
-    return table(spark, sf, "events").select(
-        "event_id", F.coalesce(F.try_variant_get(parsed, "$.k", "int"), F.lit(0)).alias("k"),
-        F.coalesce(F.try_variant_get(parsed, "$.absent", "string"), F.lit("none")).alias("absent"),
+    events = with_json(table(spark, sf, "events").select("event_id", "props"), F.col("props"))
+    return events.select(
+        "event_id", F.coalesce(json_value(F.col("_json"), ".k", "int"), F.lit(0)).alias("k"),
+        F.coalesce(json_value(F.col("_json"), ".absent", "string"), F.lit("none")).alias("absent"),
     )
 
 
@@ -101,10 +102,9 @@ def json_bad_payload(spark, sf):
         .when(kind == "click", F.concat(F.lit("["), "props", F.lit(","), "props", F.lit("]")))
         .otherwise(F.col("props"))
     )
-    items = boards.list_items(payload, "ARRAY<STRUCT<k: INT>>")
-    return table(spark, sf, "events").select("event_id", F.posexplode(items).alias("pos", "item")).select(
-        "event_id", "pos", F.col("item.k").alias("k")
-    )
+    payloads = table(spark, sf, "events").select("event_id", payload.alias("payload"))
+    items = boards.list_items(payloads, "ARRAY<STRUCT<k: INT>>")
+    return items.select("event_id", F.col("item_pos").alias("pos"), F.col("job.k").alias("k"))
 
 
 QUERIES = {

@@ -8,6 +8,7 @@ from rankfold import fixed_values as fv
 from rankfold.functions import replies, text as tx
 from rankfold.functions.html import html_to_text
 from rankfold.plans.table_queries.common import quoted, sql_contains_any, sql_visible_text, table
+from rankfold.schema import each_item
 
 LINK = r"""href=["']?(/[^"'> ]+)"""
 PREFERRED, AVOIDED, LAST = ("blog.", "//m."), ("github.com", "spam-farm"), ("spam-farm",)
@@ -18,9 +19,7 @@ THIN_CHARS = 3000
 
 def extract_urls(spark, sf):
     text = F.concat("html", F.lit(" [page]("), "url", F.lit(")"))
-    return table(spark, sf, "pages").select(
-        "page_id", F.posexplode(tx.extract_urls(text, href=LINK)).alias("pos", "link")
-    )
+    return each_item(table(spark, sf, "pages"), ["page_id"], tx.extract_urls(text, href=LINK), "pos", "link")
 
 
 def pick_tiered_url(spark, sf):
@@ -98,7 +97,7 @@ def parse_scorer_reply(spark, sf):
         .when(F.col("quality") == 1, F.lit('{"score": null, "verdict": "GOOD_FIT"}'))
         .otherwise(F.lit('{"verdict": "GOOD_FIT"}'))
     )
-    parsed = labels.select("doc_id", replies.parse_reply(reply).alias("r"))
+    parsed = replies.with_reply(labels, reply, "r")
     return parsed.select("doc_id", "r.score", "r.reason", "r.verdict", "r.flag")
 
 

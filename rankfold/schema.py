@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 # Source order is explicit: position of the source, of the board or document in
 # it, and of the item in that.  The three columns are unique per posting.
@@ -36,7 +40,7 @@ COMPANY_ATTRS_SCHEMA = (
 )
 
 BOARD_A_PAYLOAD = (
-    "jobs ARRAY<STRUCT<title: STRING, content: STRING, company_name: STRING, "
+    "jobs: ARRAY<STRUCT<title: STRING, content: STRING, company_name: STRING, "
     "location: STRUCT<name: STRING>, absolute_url: STRING, updated_at: STRING>>"
 )
 BOARD_B_POSTINGS = (
@@ -44,14 +48,32 @@ BOARD_B_POSTINGS = (
     "createdAt: BIGINT, descriptionPlain: STRING, description: STRING, hostedUrl: STRING>>"
 )
 BOARD_C_PAYLOAD = (
-    "jobPostings ARRAY<STRUCT<title: STRING, externalPath: STRING, locationsText: STRING>>"
+    "jobPostings: ARRAY<STRUCT<title: STRING, externalPath: STRING, locationsText: STRING>>"
 )
 
 
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """Settings as a local relation: Spark knows its exact size when it plans joins."""
+    fields = DataType.fromDDL(schema).fields
+    columns = {f.name: pa.array([row[i] for row in rows]) for i, f in enumerate(fields)}
+    table = spark.createDataFrame(pa.table(columns))
+    return table.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
+
+
 def text_or_empty(column: Column) -> Column:
     return F.coalesce(column, F.lit(""))
 
 
+def each_item(df: DataFrame, keep: Sequence[str], array: Column, position: str, item: str) -> DataFrame:
+    """One row per array item with its position, building the array only once.
+
+    A plain ``posexplode`` lets the optimizer add a "size > 0" filter below it,
+    which computes an array that is not a stored column a second time.
+    """
+    items = df.select(*keep, F.posexplode_outer(array).alias(position, item))
+    return items.filter(F.col(position).isNotNull())
+
+
 def canonical(df: DataFrame) -> DataFrame:
     """Project to the posting schema: absent or null text becomes ''."""
     present = set(df.columns)

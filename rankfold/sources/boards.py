@@ -15,33 +15,34 @@ from rankfold.config import SearchConfig
 from rankfold.functions import text as tx
 from rankfold.functions.dates import epoch_ms_to_iso
 from rankfold.functions.html import html_to_text
+from rankfold.functions.json import json_value, with_json, with_object
 from rankfold.operators.ranking import lowest_ok_host
-from rankfold.schema import canonical
+from rankfold.schema import canonical, each_item
 
 
 def _gate(title: Column, config: SearchConfig) -> Column:
     return tx.title_class(title, config.seniority_words, config.other_role_words, config.wanted_role_words)
 
 
-def object_items(payload: Column, schema: str, field: str) -> Column:
-    """The array under ``field`` of a JSON object; null when the text is not JSON."""
-    return F.from_json(payload, schema).getField(field)
+def object_items(payloads: DataFrame, fields: str, array: str) -> DataFrame:
+    """One row (item_pos, job) per item of the array under ``array`` of a JSON object."""
+    kept = [c for c in payloads.columns if c != "payload"]
+    parsed = with_object(payloads, F.col("payload"), fields)
+    return each_item(parsed, kept, F.col("_object").getField(array), "item_pos", "job")
 
 
-def list_items(payload: Column, array_type: str) -> Column:
-    """A JSON array, bare or under ``data``; null for any other shape."""
-    value = F.try_parse_json(payload)
-    return F.coalesce(
-        F.try_variant_get(value, "$", array_type), F.try_variant_get(value, "$.data", array_type)
-    )
+def list_items(payloads: DataFrame, array_type: str) -> DataFrame:
+    """One row (item_pos, job) per item of a JSON array, bare or under ``data``; other shapes give none."""
+    kept = [c for c in payloads.columns if c != "payload"]
+    parsed = F.col("_json")
+    items = F.coalesce(json_value(parsed, "", array_type), json_value(parsed, ".data", array_type))
+    return each_item(with_json(payloads, F.col("payload")), kept, items, "item_pos", "job")
 
 
 def board_a_postings(payloads: DataFrame, source_rank: int, config: SearchConfig = SearchConfig()) -> DataFrame:
     """Boards answering ``{jobs: [...]}`` with escaped HTML content."""
-    items = payloads.select(
-        "slug", "board_rank",
-        F.posexplode(object_items(F.col("payload"), sc.BOARD_A_PAYLOAD, "jobs")).alias("item_pos", "job"),
-    ).filter(_gate(F.col("job.title"), config))
+    items = object_items(payloads.select("slug", "board_rank", "payload"), sc.BOARD_A_PAYLOAD, "jobs").filter(
+        _gate(F.col("job.title"), config))
     content = html_to_text(F.coalesce(F.col("job.content"), F.lit("")), escaped=True)
     return canonical(items.select(
         F.coalesce("job.company_name", "slug").alias("company"),
@@ -57,10 +58,8 @@ def board_a_postings(payloads: DataFrame, source_rank: int, config: SearchConfig
 
 def board_b_postings(payloads: DataFrame, source_rank: int, config: SearchConfig = SearchConfig()) -> DataFrame:
     """Boards answering a bare array (or ``{data: [...]}``) with plain and HTML text."""
-    items = payloads.select(
-        "slug", "board_rank",
-        F.posexplode(list_items(F.col("payload"), sc.BOARD_B_POSTINGS)).alias("item_pos", "job"),
-    ).filter(_gate(F.col("job.text"), config))
+    items = list_items(payloads.select("slug", "board_rank", "payload"), sc.BOARD_B_POSTINGS).filter(
+        _gate(F.col("job.text"), config))
     plain = F.coalesce(F.col("job.descriptionPlain"), F.lit(""))
     # null markup is skipped by the UDF: only rows without plain text are parsed
     markup = F.when(plain == "", F.coalesce(F.col("job.description"), F.lit("")))
@@ -81,10 +80,9 @@ def board_c_postings(captured: DataFrame, host_probes: DataFrame, source_rank: i
                      config: SearchConfig = SearchConfig()) -> DataFrame:
     """Captured ``{jobPostings: [...]}`` answers; several per tenant, ordered by seq."""
     hosts = lowest_ok_host(host_probes)
-    items = captured.select(
-        "tenant", "board", "board_rank", "seq",
-        F.posexplode(object_items(F.col("payload"), sc.BOARD_C_PAYLOAD, "jobPostings")).alias("pos", "job"),
-    ).filter(_gate(F.col("job.title"), config)).join(hosts, "tenant")
+    taken = captured.select("tenant", "board", "board_rank", "seq", "payload")
+    items = object_items(taken, sc.BOARD_C_PAYLOAD, "jobPostings").filter(
+        _gate(F.col("job.title"), config)).join(hosts, "tenant")
     path = F.coalesce(F.col("job.externalPath"), F.lit(""))
     return canonical(items.select(
         tx.title_case(F.col("tenant")).alias("company"),
@@ -95,19 +93,18 @@ def board_c_postings(captured: DataFrame, host_probes: DataFrame, source_rank: i
         ).alias("url"),
         F.lit(fv.BOARD_C).alias("source"),
         F.lit(source_rank).alias("source_rank"), "board_rank",
-        (F.shiftleft(F.col("seq").cast("bigint"), 32) + F.col("pos")).alias("item_pos"),
+        (F.shiftleft(F.col("seq").cast("bigint"), 32) + F.col("item_pos")).alias("item_pos"),
     ))
 
 
-def board_a_count(payload: Column) -> Column:
-    """Number of jobs in a board's answer; null when it does not answer with an object."""
-    value = F.try_parse_json(payload)
-    is_object = F.rlike(F.ltrim(payload), F.lit(r"^\{"))
-    jobs = F.try_variant_get(value, "$.jobs", "array<variant>")
-    return F.when(value.isNotNull() & is_object, F.coalesce(F.size(jobs), F.lit(0)))
+def board_a_count(parsed: Column, payload: Column) -> Column:
+    """Number of jobs in a board's parsed answer; null when it is not an object."""
+    is_object = json_value(parsed, "", "variant").isNotNull() & F.rlike(payload, F.lit(r"^\s*\{"))
+    jobs = json_value(parsed, ".jobs", "array<variant>")
+    return F.when(is_object, F.coalesce(F.size(jobs), F.lit(0)))
 
 
-def board_b_count(payload: Column) -> Column:
-    """Number of postings when the answer is a JSON array, else null."""
-    items = F.try_variant_get(F.try_parse_json(payload), "$", "array<variant>")
+def board_b_count(parsed: Column) -> Column:
+    """Number of postings when the parsed answer is a JSON array, else null."""
+    items = json_value(parsed, "", "array<variant>")
     return F.when(items.isNotNull(), F.size(items))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rankfold import fixed_values as fv
 from rankfold.functions import text as tx
 from rankfold.functions.html import html_rows
-from rankfold.schema import canonical
+from rankfold.schema import canonical, each_item
 
 HTML_TABLE = "html-table"
 _KEYS = ("source", "source_rank", "doc_no")
@@ -30,8 +30,8 @@ def split_cells(line: Column, keep_empty: bool = False) -> Column:
 def table_lines(documents: DataFrame, content: str = "content") -> DataFrame:
     """Rows of pipe tables in documents: adds item_pos (line number) and line."""
     others = [c for c in documents.columns if c != content]
-    lines = documents.filter(F.col(content) != "").select(
-        *others, F.posexplode(tx.split_lines(F.col(content))).alias("item_pos", "line")
+    lines = each_item(
+        documents.filter(F.col(content) != ""), others, tx.split_lines(F.col(content)), "item_pos", "line"
     )
     return lines.filter(
         F.col("line").startswith("|") & ~F.rlike("line", F.lit(fv.TABLE_SEPARATOR_PATTERN))
