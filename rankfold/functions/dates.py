@@ -18,6 +18,10 @@ _CLOCK = r"(?:[01]\d|2[0-3])(?::[0-5]\d(?::[0-5]\d(?:[.,]\d+)?)?|[0-5]\d(?:[0-5]
 _OFFSET = r"(?:Z|[+-](?:[01]\d|2[0-3])(?::?[0-5]\d(?::?[0-5]\d)?)?)"
 _TIME_PART = rf"(?:.{_CLOCK}{_OFFSET}?)?"
 ISO_STAMP = rf"^\d{{4}}(?:-\d{{2}}-\d{{2}}|\d{{4}}){_TIME_PART}$"
+USUAL_STAMP = (
+    r"^\d{4}-\d{2}-\d{2}(?:.(?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:[.,]\d{1,6})?)?"
+    r"(?:Z|[+-](?:0\d|1[0-7]):[0-5]\d)?)?$"
+)
 _OFFSET_AT_END = rf"{_OFFSET}$"   # looked for in the time part only
 
 DAY_MICROS = 86_400_000_000
@@ -52,12 +56,11 @@ def posted_today(posted: Column, as_of: datetime) -> Column:
 
 def _number(text: Column, start: int, length: int = 2) -> Column:
     """Digits at a position as a number; missing digits count as zero."""
-    return F.coalesce(F.try_to_number(F.rpad(F.substring(text, start, length), length, "0"),
-                                      F.lit("9" * length)).cast("bigint"), F.lit(0))
+    return F.coalesce(F.rpad(F.substring(text, start, length), length, "0").try_cast("bigint"), F.lit(0))
 
 
-def iso_micros(text: Column) -> Column:
-    """Microseconds since 1970 UTC of an ISO stamp (no offset: UTC); null if it is not one."""
+def _any_iso_micros(text: Column) -> Column:
+    """Microseconds of any accepted form, digit by digit (for the rare compact forms)."""
     extended = F.substring(text, 5, 1) == "-"
     day = F.when(extended, F.substring(text, 1, 10)).otherwise(
         F.concat_ws("-", F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2))
@@ -72,8 +75,24 @@ def iso_micros(text: Column) -> Column:
     shift = sign * (
         _number(offset_digits, 1) * 3600 + _number(offset_digits, 3) * 60 + _number(offset_digits, 5)
     )
-    micros = (days * 86_400 + seconds - shift) * 1_000_000 + _number(digits, 7, 6)
-    return F.when(F.rlike(text, F.lit("(?s)" + ISO_STAMP)), micros)
+    return (days * 86_400 + seconds - shift) * 1_000_000 + _number(digits, 7, 6)
+
+
+def iso_micros(text: Column) -> Column:
+    """Microseconds since 1970 UTC of an ISO stamp (no offset: UTC); null if it is not one.
+
+    A pattern decides what counts as a stamp, because SQL casts accept more
+    (``2026``, ``12:30``).  The usual forms then take the native cast, always
+    with an explicit offset, so the session time zone has no part in it.
+    """
+    day, clock = F.substring(text, 1, 10), F.replace(F.substring(text, 12, 60), F.lit(","), F.lit("."))
+    has_offset = F.contains(clock, F.lit("Z")) | F.contains(clock, F.lit("+")) | F.contains(clock, F.lit("-"))
+    usual = F.concat(
+        day, F.lit("T"), F.when(clock == "", "00:00").otherwise(clock), F.when(has_offset, "").otherwise("Z")
+    )
+    return F.when(
+        F.rlike(text, F.lit("(?s)" + USUAL_STAMP)), F.unix_micros(usual.try_cast("timestamp"))
+    ).when(F.rlike(text, F.lit("(?s)" + ISO_STAMP)), _any_iso_micros(text))
 
 
 def is_stale(posted: Column, as_of: datetime, days: int = 30) -> Column:

@@ -44,7 +44,7 @@ def contains_any(column: Column, words: Sequence[str]) -> Column:
     A chain of ``contains`` compiles into the surrounding stage and stops at the
     first hit; a lambda over a literal array would be interpreted per element.
     """
-    return any_of([F.contains(column, F.lit(w)) for w in words])
+    return any_of([column.contains(w) for w in words])
 
 
 def word_pattern(words: Sequence[str]) -> str:
@@ -54,7 +54,8 @@ def word_pattern(words: Sequence[str]) -> str:
 
 
 def contains_word(column: Column, words: Sequence[str]) -> Column:
-    return F.rlike(column, F.lit(word_pattern(words))) if words else F.lit(False)
+    """Whole-word test; the pattern only runs on texts that hold the letters at all."""
+    return contains_any(column, words) & F.rlike(column, F.lit(word_pattern(words)))
 
 
 def matches_any(column: Column, words: Sequence[str], match: str = "substring") -> Column:

@@ -11,6 +11,7 @@ from rankfold import fixed_values as fv
 from rankfold.config import SearchConfig
 from rankfold.functions.dates import is_stale
 from rankfold.functions.text import has_signal
+from rankfold.schema import compute_once
 
 
 def exclusion(stale: Column, description: Column, signal: Column) -> Column:
@@ -28,7 +29,7 @@ def exclusion(stale: Column, description: Column, signal: Column) -> Column:
 
 def with_exclusion(df: DataFrame, as_of: datetime, config: SearchConfig = SearchConfig()) -> DataFrame:
     """Adds ``exclusion``; to be used after descriptions are filled."""
-    return df.withColumn("exclusion", exclusion(
+    return compute_once(df, exclusion=exclusion(
         is_stale(F.col("posted"), as_of, config.stale_days),
         F.col("description"),
         has_signal(F.col("role"), F.col("description"), config.signal_words),

@@ -42,13 +42,15 @@ def keyword_semi_join(texts: DataFrame, text: str, keys: Sequence[str], keywords
     equality: each text gives its distinct substrings of the lengths keywords
     have, and those meet the keywords in a left semi join, so no keyword is
     paired with a text that lacks it.  ``keys`` identify a row of ``texts``.
+    The keyword table is read twice (size and use): save it first if it is
+    costly to compute.
     """
     wanted = keywords.select(F.lower(keyword).alias("_word")).filter("_word <> ''").distinct()
-    head = wanted.limit(literal_limit + 1).collect()
-    if len(head) <= literal_limit:
-        words = sorted(row["_word"] for row in head)
+    size = wanted.agg(F.count("*").alias("n"), F.collect_set(F.char_length("_word")).alias("lengths")).head()
+    if size["n"] <= literal_limit:
+        words = sorted(row["_word"] for row in wanted.collect())
         return texts.filter(tx.contains_any(F.lower(text), words))
-    lengths = [row[0] for row in wanted.select(F.char_length("_word")).distinct().collect()]
+    lengths = size["lengths"]
     lowered = texts.select(*keys, F.lower(text).alias("_text"))
     sized = lowered.select(
         *keys, "_text", F.explode(F.array(*[F.lit(n) for n in sorted(lengths)])).alias("_size")

@@ -93,10 +93,17 @@ def salary_outlier(body: Column, limit: int) -> Column:
 
 
 def technologies_named(body: Column, technologies: Sequence[str]) -> Column:
-    """How many different technologies a text names."""
-    names = "|".join(re.escape(t) for t in technologies)
-    found = F.regexp_extract_all(body, F.lit(rf"(?<![a-z0-9])({names})(?![a-z0-9])"), F.lit(1))
-    return F.size(F.array_distinct(found))
+    """How many different technologies a text names.
+
+    Names of one word are looked up in the text's set of words; names with
+    signs in them need a pattern each.
+    """
+    plain = [t for t in technologies if re.fullmatch("[a-z0-9]+", t)]
+    words = F.split(body, "[^a-z0-9]+")
+    count = F.size(F.array_intersect(words, F.array(*[F.lit(t) for t in plain]).cast("array<string>")))
+    others = [contains.cast("int") for contains in
+              (tx.contains_word(body, [t]) for t in technologies if t not in plain)]
+    return reduce(lambda a, b: a + b, others, count)
 
 
 def screen_caps(config: SearchConfig) -> list[tuple[Column, int, str]]:
@@ -120,15 +127,20 @@ def is_cosmetic(config: SearchConfig) -> Column:
     Counted over sentences of one row: a wanted language in an OR-list counts in
     full unless every other mention of a language is a rival's.
     """
-    sentences = F.split("_body", SENTENCE_END)
-    rivals = lambda s: tx.contains_word(s, config.rival_languages)
-    wanted = lambda s: tx.contains_any(s, config.wanted_languages)
-    return (
-        tx.contains_any(F.col("_body"), config.wanted_languages)
-        & F.exists(sentences, lambda s: wanted(s) & rivals(s))
-        & F.exists(sentences, lambda s: rivals(s) & ~wanted(s))
-        & ~F.exists(sentences, lambda s: wanted(s) & ~rivals(s))
-    )
+    body = F.col("_body")
+
+    def kind(sentence: Column) -> Column:   # one bit per kind of sentence
+        rival = tx.contains_word(sentence, config.rival_languages)
+        return F.when(
+            tx.contains_any(sentence, config.wanted_languages), F.when(rival, 8).otherwise(2)
+        ).otherwise(F.when(rival, 4).otherwise(1))
+
+    kinds = F.aggregate(F.split(body, SENTENCE_END), F.lit(0), lambda seen, s: seen.bitwiseOR(kind(s)))
+    # both together (8) and a rival alone (4), never the wanted one alone (2)
+    return F.when(
+        tx.contains_any(body, config.wanted_languages) & tx.contains_any(body, config.rival_languages),
+        kinds.isin(12, 13),
+    ).otherwise(False)
 
 
 def rule_points(config: SearchConfig) -> Column:

@@ -83,12 +83,18 @@ def all_postings(inputs: Inputs, config: SearchConfig = SearchConfig()) -> DataF
 
 def choose_rows(postings: DataFrame, as_of: datetime, config: SearchConfig = SearchConfig(),
                 save: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(unique, recent, capped): keep-first, today filter, priority cap."""
+    """(unique, recent, capped): keep-first, today filter, priority cap.
+
+    ``save`` is applied where several later steps read the same rows: to the
+    unique rows and to the (then small) capped ones.
+    """
     unique = ranking.keep_first(postings, "url", ORDER_COLUMNS, config.empty_url)
     signal = has_signal(F.col("role"), F.col("description"), config.signal_words)
     unique = save(unique.withColumn("has_signal", signal))
     recent = unique.filter(posted_today(F.col("posted"), as_of)) if config.today_only else unique
     capped = ranking.cap_by_priority(recent, F.col("has_signal"), config.max_jobs)
+    if config.max_jobs is not None:
+        capped = save(capped)
     return unique, recent, capped
 
 
@@ -118,8 +124,8 @@ def run_search(inputs: Inputs, as_of: datetime, config: SearchConfig = SearchCon
                scorer: Scorer | None = None, save_stages: bool = True) -> Stages:
     """A whole run.
 
-    ``save_stages`` writes the unique and the scored rows to the shared folder:
-    both feed several outputs, and lost executors then never repeat the parsing.
+    ``save_stages`` writes unique, capped and scored rows to the shared folder:
+    each feeds several outputs, and lost executors then never repeat the parsing.
     """
     save = cut_lineage if save_stages else (lambda df: df)
     score = scorer or partial(score_by_rules, config=config, company_rules=inputs.company_rules,

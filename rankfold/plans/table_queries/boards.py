@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rankfold.config import SearchConfig
 from rankfold.functions.json import json_value, with_json
-from rankfold.plans.table_queries.common import table
+from rankfold.plans.table_queries.common import spread_table, table
 from rankfold.sources import boards
 
 CONFIG = SearchConfig(
@@ -38,7 +38,7 @@ def board_a_scan(spark, sf):
     bare = full.withField("content", F.lit(None).cast("string")).withField(
         "company_name", F.lit(None).cast("string")).withField("absolute_url", F.lit(None).cast("string"))
     bare = bare.withField("location", F.lit(None).cast("struct<name:string>"))
-    payloads = table(spark, sf, "part").select(
+    payloads = spread_table(spark, sf, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size").select(
         F.concat(F.lit("slug"), _key("p_partkey")).alias("slug"), F.col("p_partkey").alias("board_rank"),
         _payload(F.struct(F.array(full, bare).alias("jobs"))).alias("payload"),
     )
@@ -57,7 +57,7 @@ def board_b_scan(spark, sf):
     )
     bare = _payload(F.array(job))
     wrapped = _payload(F.struct(F.array(job).alias("data")))
-    payloads = table(spark, sf, "part").select(
+    payloads = spread_table(spark, sf, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size").select(
         F.concat(F.lit("point-click"), _key("p_partkey")).alias("slug"), F.col("p_partkey").alias("board_rank"),
         F.when(F.col("p_size") > 10, bare).otherwise(wrapped).alias("payload"),
     )
@@ -71,7 +71,7 @@ def board_c_scan(spark, sf):
         F.when(F.col("p_size") > 5, F.concat(F.lit("role/"), _key("p_partkey"))).alias("externalPath"),
         F.col("p_type").alias("locationsText"),
     )
-    part = table(spark, sf, "part").select(
+    part = spread_table(spark, sf, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size").select(
         F.concat(F.lit("tenant"), _key("p_partkey")).alias("tenant"), F.lit("external").alias("board"),
         F.col("p_partkey").alias("board_rank"), F.explode(F.array(F.lit(0), F.lit(1))).alias("seq"),
         _payload(F.struct(F.array(job, job).alias("jobPostings"))).alias("payload"),

@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rankfold.session import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table whose rows are costly to process, over all cores."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 def quoted(words) -> str:
     """A SQL list of string literals."""
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rankfold.functions import dates as dt
 from rankfold.operators.exclusions import exclusion
 from rankfold.functions.text import has_signal
-from rankfold.plans.table_queries.common import table
+from rankfold.plans.table_queries.common import spread_table, table
 
 TODAY = datetime(1998, 6, 15, 12)
 AS_OF = datetime(2024, 1, 31)
@@ -45,7 +45,8 @@ def _orders(spark, sf):
         .when(status == "O", F.concat(day, F.lit("T25:00")))
         .otherwise(F.concat(day, F.lit(" 08:15:30.25Z")))
     )
-    return table(spark, sf, "orders").select("o_orderkey", posted.alias("posted"))
+    orders = spread_table(spark, sf, "orders", "o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
+    return orders.select("o_orderkey", posted.alias("posted"))
 
 
 def posted_today(spark, sf):
@@ -66,7 +67,8 @@ def _events(spark, sf):
         .when(kind == "purchase", F.concat(stamp, F.lit("+02:00")))
         .when(kind == "signup", F.concat(F.lit(" "), stamp)).otherwise(F.lit("45d"))
     )
-    return table(spark, sf, "events").select("event_id", "event_type", "props", posted.alias("posted"))
+    events = spread_table(spark, sf, "events", "event_id", "ts", "event_type", "props")
+    return events.select("event_id", "event_type", "props", posted.alias("posted"))
 
 
 def stale_filter(spark, sf):

@@ -8,7 +8,7 @@ from rankfold.functions.text import split_lines
 from rankfold.operators import reports
 from rankfold.operators.matching import fill_descriptions
 from rankfold.config import SearchConfig
-from rankfold.plans.table_queries.common import sql_contains_any, sql_visible_text, table
+from rankfold.plans.table_queries.common import sql_contains_any, sql_visible_text, spread_table, table
 from rankfold.schema import canonical
 from rankfold.functions.text import has_signal
 from rankfold.sources.lists import HTML_TABLE, html_postings, list_postings, markdown_postings
@@ -35,7 +35,8 @@ def _part_documents(spark, sf):
         F.lit("| Short | "), "p_name", F.lit(" | | [Go](https://short.example/"), _key("p_partkey"), F.lit(") |\n"),
         F.lit("| Name | a | b | [c](https://n.example) |"),
     )
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("doc_no"), content.alias("content"))
+    part = spread_table(spark, sf, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    return part.select(F.col("p_partkey").alias("doc_no"), content.alias("content"))
 
 
 def line_table_parse(spark, sf):
@@ -55,7 +56,8 @@ def _customer_documents(spark, sf):
         F.lit('<tr><td>three</td><td>b</td><td><a href="https://three.example/'), _key("c_custkey"),
         F.lit('">c</a></td></tr></tbody></table>'),
     )
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_no"), content.alias("content"))
+    customer = spread_table(spark, sf, "customer", "c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    return customer.select(F.col("c_custkey").alias("doc_no"), content.alias("content"))
 
 
 def html_rows(spark, sf):
@@ -116,14 +118,14 @@ def description_fallback_join(spark, sf):
 
 
 def stage_counts(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = spread_table(spark, sf, "documents", "source", "text", "n_chars")
     return reports.stage_counts(
         docs, "source", n_signal=has_signal(F.lit(""), F.col("text"), WORDS), n_long=F.col("n_chars") > LONG_TEXT
     )
 
 
 def line_split(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = spread_table(spark, sf, "documents", "doc_id", "text")
     return docs.select("doc_id", F.size(split_lines(F.col("text"))).alias("n_lines"))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from rankfold.operators import matching as mt
 from rankfold.operators.registry import category_report as report
-from rankfold.plans.table_queries.common import quoted, table
+from rankfold.plans.table_queries.common import quoted, spread_table, table
+from rankfold.schema import each_item
 
 SEGMENTS = ("building", "household", "furniture")
 
@@ -24,14 +25,14 @@ def membership_flag(spark, sf):
 def keyword_semi_join(spark, sf):
     """Documents naming any word that part names are made of (few: literal test)."""
     words = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("word")).filter("length(word) > 4").distinct()
-    return mt.keyword_semi_join(table(spark, sf, "documents"), "text", ["doc_id"], words, "word").select("doc_id")
+    return mt.keyword_semi_join(spread_table(spark, sf, "documents", "doc_id", "text"), "text", ["doc_id"], words, "word").select("doc_id")
 
 
 def keyword_table_join(spark, sf):
     """Parts whose name holds any word of the documents (many: equality join)."""
-    words = table(spark, sf, "documents").select(
-        F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("word")).distinct()
-    parts = table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("label"))
+    found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))
+    words = each_item(spread_table(spark, sf, "documents", "text"), [], found, "pos", "word").select("word").distinct()
+    parts = spread_table(spark, sf, "part", "p_partkey", "p_name", "p_type").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("label"))
     return mt.keyword_semi_join(parts, "label", ["p_partkey"], words, "word", literal_limit=50).select("p_partkey", "label")
 
 

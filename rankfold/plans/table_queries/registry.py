@@ -8,7 +8,7 @@ from rankfold import fixed_values as fv
 from rankfold.functions.slugs import slug_variants as variants
 from rankfold.operators import registry as rg, reports
 from rankfold.plans.registry import Validation, validate, write_validation
-from rankfold.plans.table_queries.common import table
+from rankfold.plans.table_queries.common import spread_table, table
 from rankfold.session import scratch_path
 
 
@@ -99,7 +99,7 @@ SLOTS = 7   # line numbers of an order
 
 def _candidates(spark, sf):
     slugs = F.array(*[F.concat(F.lit("o"), _key("o_orderkey"), F.lit(f"-{i + 1}")) for i in range(SLOTS)])
-    return table(spark, sf, "orders").select(
+    return spread_table(spark, sf, "orders", "o_orderkey").select(
         F.concat(F.lit("order "), _key("o_orderkey")).alias("company"), F.col("o_orderkey").alias("company_pos"),
         slugs.alias("slugs"))
 
@@ -109,7 +109,8 @@ def _line_probes(spark, sf):
     slug = F.concat(F.lit("o"), _key("l_orderkey"), F.lit("-"), _key("l_linenumber"))
     error = F.when((flag == "N") & big, F.concat(F.lit("connection to the board was reset by peer while reading part "), _key("l_partkey")))
     error = error.when((flag == "N") & (F.col("l_discount") > 0.05), "Read Timeout")
-    return table(spark, sf, "lineitem").select(
+    lines = spread_table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_returnflag")
+    return lines.select(
         F.lit(fv.BOARD_A).alias("ats"), slug.alias("slug"),
         F.when((flag == "R") & big, 200).when(flag == "A", 404).when(flag == "R", 429).otherwise(500).alias("http_status"),
         F.lit('{"jobs": [{}]}').alias("payload"), error.alias("error"))

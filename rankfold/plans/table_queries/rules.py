@@ -11,8 +11,9 @@ from rankfold.config import CompanyRule, Rule, SearchConfig
 from rankfold.operators import matching as mt, ranking as rk, reports, rules as rl
 from rankfold.operators.exclusions import passes_gate
 from rankfold.plans import search
-from rankfold.plans.table_queries.common import quoted, sql_contains_any, sql_has_word, sql_visible_text, table
+from rankfold.plans.table_queries.common import quoted, sql_contains_any, sql_has_word, sql_visible_text, spread_table, table
 from rankfold.schema import canonical
+from rankfold.session import cut_lineage
 
 AS_OF = datetime(2024, 1, 31)
 SIGNAL = ("ertion", "nicht", "queque", "under")
@@ -48,7 +49,8 @@ CONFIG = SearchConfig(
 
 def _document_rows(spark, sf):
     """Documents as postings: language as company, source as title and place."""
-    return table(spark, sf, "documents").select(
+    docs = spread_table(spark, sf, "documents", "doc_id", "lang", "source", "text")
+    return docs.select(
         "doc_id", F.col("lang").alias("company"), F.col("source").alias("role"),
         F.col("source").alias("location"), F.col("text").alias("description"),
     )
@@ -105,7 +107,7 @@ def _postings(spark, sf):
 
 def _scored(spark, sf):
     """Keep-first, cap, description fill, exclusions and rule score."""
-    _, _, capped = search.choose_rows(_postings(spark, sf), AS_OF, CONFIG)
+    _, _, capped = search.choose_rows(_postings(spark, sf), AS_OF, CONFIG, cut_lineage)
     pages = table(spark, sf, "pages").select("url", "html", F.lit("").alias("rendered_html"))
     capped = mt.fill_descriptions(capped, pages, CONFIG)
     attrs = _attrs(spark, sf)

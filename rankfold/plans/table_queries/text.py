@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rankfold import fixed_values as fv
 from rankfold.functions import replies, text as tx
 from rankfold.functions.html import html_to_text
-from rankfold.plans.table_queries.common import quoted, sql_contains_any, sql_visible_text, table
+from rankfold.plans.table_queries.common import quoted, sql_contains_any, sql_visible_text, spread_table, table
 from rankfold.schema import each_item
 
 LINK = r"""href=["']?(/[^"'> ]+)"""
@@ -19,7 +19,7 @@ THIN_CHARS = 3000
 
 def extract_urls(spark, sf):
     text = F.concat("html", F.lit(" [page]("), "url", F.lit(")"))
-    return each_item(table(spark, sf, "pages"), ["page_id"], tx.extract_urls(text, href=LINK), "pos", "link")
+    return each_item(spread_table(spark, sf, "pages", "page_id", "url", "html"), ["page_id"], tx.extract_urls(text, href=LINK), "pos", "link")
 
 
 def pick_tiered_url(spark, sf):
@@ -36,8 +36,8 @@ def pick_tiered_url(spark, sf):
 
 
 def clean_text(spark, sf):
-    pages = table(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("raw"))
-    docs = table(spark, sf, "documents").select(
+    pages = spread_table(spark, sf, "pages", "page_id", "html").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("raw"))
+    docs = spread_table(spark, sf, "documents", "doc_id", "source", "text").select(
         F.lit("doc").alias("kind"), F.col("doc_id").alias("id"),
         F.concat(F.lit(" **["), "source", F.lit("](https://x.example)** :new: "), "text").alias("raw"),
     )
@@ -52,12 +52,12 @@ for _pattern, _new in fv.CELL_CLEANING:
 
 
 def html_to_text_query(spark, sf):
-    text = table(spark, sf, "pages").select("page_id", html_to_text(F.col("html")).alias("body"))
+    text = spread_table(spark, sf, "pages", "page_id", "html").select("page_id", html_to_text(F.col("html")).alias("body"))
     return text.select("page_id", F.char_length("body").alias("n_chars"), F.md5("body").alias("digest"))
 
 
 def thin_page_flag(spark, sf):
-    text = table(spark, sf, "pages").select("page_id", "html", html_to_text(F.col("html")).alias("body"))
+    text = spread_table(spark, sf, "pages", "page_id", "html").select("page_id", "html", html_to_text(F.col("html")).alias("body"))
     return text.select(
         "page_id", tx.looks_like_shell(F.col("html"), SHELL).alias("is_shell"),
         tx.is_thin_page(F.col("body"), F.col("html"), THIN_CHARS, SHELL).alias("is_thin"),
@@ -102,7 +102,7 @@ def parse_scorer_reply(spark, sf):
 
 
 def keyword_any(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = spread_table(spark, sf, "documents", "doc_id", "source", "text")
     return docs.select("doc_id", tx.has_signal(F.col("source"), F.col("text"), WORDS).alias("has_word"))
 
 

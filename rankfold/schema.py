@@ -74,6 +74,17 @@ def each_item(df: DataFrame, keep: Sequence[str], array: Column, position: str,
     return items.filter(F.col(position).isNotNull())
 
 
+def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that later filters can test without computing them again.
+
+    The optimizer moves a filter below a projection by copying what it tests,
+    so costly expressions would run once per filter and once more for output.
+    It does not move a filter below a generator; this one makes one row of one.
+    """
+    record = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.inline_outer(F.array(record)))
+
+
 def canonical(df: DataFrame) -> DataFrame:
     """Project to the posting schema: absent or null text becomes ''."""
     present = set(df.columns)

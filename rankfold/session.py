@@ -59,3 +59,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Spreads a small file scan over all cores before CPU-heavy parsing.
+
+    Only for frames read straight from files (no shuffle of their own).  The
+    number of input splits is known without running anything; with at least one
+    per core, as for any large input, the frame is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rankfold import fixed_values as fv
 from rankfold.functions import text as tx
 from rankfold.functions.html import html_rows
-from rankfold.schema import canonical, each_item
+from rankfold.schema import canonical, compute_once, each_item
 
 HTML_TABLE = "html-table"
 _KEYS = ("source", "source_rank", "doc_no")
@@ -41,36 +41,32 @@ def table_lines(documents: DataFrame, content: str = "content") -> DataFrame:
 def _columns_to_postings(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """Rows with ``cells`` and ``urls``: column rule, header rejection, link choice."""
     cells = F.col("cells")
-    return (
-        rows.filter(F.size("urls") > 0)
-        .select(
-            *keep, "item_pos",
-            tx.clean_cell(F.get(cells, F.lit(0))).alias("company"),
-            tx.clean_cell(F.get(cells, F.lit(1))).alias("role"),
-            tx.clean_cell(F.get(cells, F.lit(2))).alias("location"),
-            tx.pick_url(F.col("urls")).alias("url"),
-            F.when(F.size(cells) > 3, tx.clean_cell(F.element_at(cells, -1))).otherwise("").alias("posted"),
-        )
-        .filter((F.col("url") != "") & ~F.lower("company").isin(*fv.TABLE_HEADER_CELLS))
+    named = compute_once(
+        rows.filter(F.size("urls") > 0),
+        company=tx.clean_cell(F.get(cells, F.lit(0))), url=tx.pick_url(F.col("urls")),
+    ).filter((F.col("url") != "") & ~F.lower("company").isin(*fv.TABLE_HEADER_CELLS))
+    return named.select(
+        *keep, "item_pos", "company",
+        tx.clean_cell(F.get(cells, F.lit(1))).alias("role"),
+        tx.clean_cell(F.get(cells, F.lit(2))).alias("location"),
+        "url",
+        F.when(F.size(cells) > 3, tx.clean_cell(F.element_at(cells, -1))).otherwise("").alias("posted"),
     )
 
 
 def markdown_postings(documents: DataFrame, keep: tuple[str, ...] = _KEYS,
                       keep_empty_cells: bool = False) -> DataFrame:
     """Postings of pipe tables (columns company, role, location, ..., posted)."""
-    rows = (
-        table_lines(documents.select(*keep, "content"))
-        .withColumn("cells", split_cells(F.col("line"), keep_empty_cells))
-        .filter(F.size("cells") >= 3)
-        .withColumn("urls", F.flatten(F.transform("cells", lambda c: tx.extract_urls(c))))
-    )
-    return _columns_to_postings(rows, keep)
+    lines = table_lines(documents.select(*keep, "content"))
+    rows = compute_once(lines, cells=split_cells(F.col("line"), keep_empty_cells)).filter(F.size("cells") >= 3)
+    links = F.flatten(F.transform("cells", lambda c: tx.extract_urls(c)))
+    return _columns_to_postings(compute_once(rows, urls=links), keep)
 
 
 def html_postings(documents: DataFrame, keep: tuple[str, ...] = _KEYS) -> DataFrame:
     """Postings of HTML tables; links are taken from the whole row."""
     rows = html_rows(documents.filter(F.col("content") != ""), "content", keep)
-    return _columns_to_postings(rows.withColumn("urls", tx.extract_urls(F.col("markup"))), keep)
+    return _columns_to_postings(compute_once(rows, urls=tx.extract_urls(F.col("markup"))), keep)
 
 
 def list_postings(raw_docs: DataFrame, sources: DataFrame, keep_empty_cells: bool = False) -> DataFrame:
