@@ -19,7 +19,7 @@ _OFFSET = r"(?:Z|[+-](?:[01]\d|2[0-3])(?::?[0-5]\d(?::?[0-5]\d)?)?)"
 _TIME_PART = rf"(?:.{_CLOCK}{_OFFSET}?)?"
 ISO_STAMP = rf"^\d{{4}}(?:-\d{{2}}-\d{{2}}|\d{{4}}){_TIME_PART}$"
 USUAL_STAMP = (
-    r"^\d{4}-\d{2}-\d{2}(?:.(?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:[.,]\d{1,6})?)?"
+    r"^\d{4}-\d{2}-\d{2}(?:.(?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d(?:[.,]\d{1,6})?"
     r"(?:Z|[+-](?:0\d|1[0-7]):[0-5]\d)?)?$"
 )
 _OFFSET_AT_END = rf"{_OFFSET}$"   # looked for in the time part only
@@ -88,7 +88,7 @@ def iso_micros(text: Column) -> Column:
     day, clock = F.substring(text, 1, 10), F.replace(F.substring(text, 12, 60), F.lit(","), F.lit("."))
     has_offset = F.contains(clock, F.lit("Z")) | F.contains(clock, F.lit("+")) | F.contains(clock, F.lit("-"))
     usual = F.concat(
-        day, F.lit("T"), F.when(clock == "", "00:00").otherwise(clock), F.when(has_offset, "").otherwise("Z")
+        day, F.lit("T"), F.when(clock == "", "00:00:00").otherwise(clock), F.when(has_offset, "").otherwise("Z")
     )
     return F.when(
         F.rlike(text, F.lit("(?s)" + USUAL_STAMP)), F.unix_micros(usual.try_cast("timestamp"))
