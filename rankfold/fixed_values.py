@@ -111,6 +111,21 @@ NO_DESCRIPTION_TEXT = "(no description available — score based on title only)"
 
 BOARD_A, BOARD_B, BOARD_C = "greenhouse", "lever", "workday"
 
+# list sources in their order of precedence: name, format
+LIST_SOURCES = (
+    ("speedyapply", "markdown-html"),
+    ("SimplifyJobs", "html-table"),
+    ("jobright-ai", "markdown-html"),
+    ("cvrve", "markdown-html"),
+)
+# registered boards: kind, slug or tenant, board name
+REGISTERED_BOARDS = (
+    (BOARD_A, "inovalon", ""), (BOARD_A, "truveta", ""), (BOARD_A, "onespan", ""),
+    (BOARD_B, "pointclickcare", ""),
+    (BOARD_C, "waystar", "waystar"), (BOARD_C, "premera", "premera"),
+    (BOARD_C, "guidewire", "external"), (BOARD_C, "quantiphi", "Careers_at_Quantiphi"),
+)
+
 CHECK_LINKS = {
     BOARD_A: "https://boards.greenhouse.io/%s",
     BOARD_B: "https://jobs.lever.co/%s",

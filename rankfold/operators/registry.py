@@ -117,6 +117,12 @@ def registry_lines(found: DataFrame) -> DataFrame:
     return confirmed(found).select("company_pos", "slug", "company", "jobs", line.alias("line"))
 
 
+def discovered_registry(found: DataFrame, ats: str = fv.BOARD_A) -> DataFrame:
+    """Confirmed companies as registry rows, their company and postings beside them."""
+    return confirmed(found).select(
+        F.lit(ats).alias("ats"), "slug", F.lit("").alias("board"), F.col("company_pos").alias("position"), "company", "jobs")
+
+
 def error_text(company: Column, slug: Column, error: Column) -> Column:
     """Report text of a failed probe: long messages are shortened to 50 characters."""
     shown = F.when(F.lower(error).contains("timeout"), "timeout").otherwise(F.substring(error, 1, 50))
@@ -165,9 +171,12 @@ def uncategorised(missing: DataFrame, categories: DataFrame) -> DataFrame:
 
 def discovery_totals(found: DataFrame, errors: DataFrame) -> DataFrame:
     """One row: n_confirmed, n_not_found, n_errors."""
-    totals = found.agg(
+    zero = F.lit(0).cast("bigint")
+    companies = found.agg(
         F.count_if(F.col("slug").isNotNull()).alias("n_confirmed"),
         F.count_if(F.col("slug").isNull()).alias("n_not_found"),
-    ).withColumn("_one", F.lit(1))
-    counted = errors.agg(F.count_if(F.col("kind") == "error").alias("n_errors")).withColumn("_one", F.lit(1))
-    return totals.join(counted, "_one").drop("_one")
+    ).withColumn("n_errors", zero)
+    raised = errors.agg(F.count_if(F.col("kind") == "error").alias("n_errors")).select(
+        zero.alias("n_confirmed"), zero.alias("n_not_found"), "n_errors")
+    names = ("n_confirmed", "n_not_found", "n_errors")
+    return companies.unionByName(raised).agg(*[F.sum(n).alias(n) for n in names])

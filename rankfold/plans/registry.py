@@ -49,6 +49,7 @@ class Discovery:
     by_category: DataFrame
     uncategorised: DataFrame
     lines: DataFrame
+    registry: DataFrame
 
 
 def discover(candidates: DataFrame, probes: DataFrame, categories: DataFrame | None = None,
@@ -65,4 +66,10 @@ def discover(candidates: DataFrame, probes: DataFrame, categories: DataFrame | N
         by_category=rg.category_report(missing, listed),
         uncategorised=rg.uncategorised(missing, listed),
         lines=rg.registry_lines(found),
+        registry=rg.discovered_registry(found, ats),
     )
+
+
+def write_discovery(result: Discovery, folder: str) -> str:
+    """The confirmed companies as the board kind's new registry, in company order."""
+    return write_registry(result.registry, f"{folder}/registry")

@@ -98,12 +98,14 @@ def choose_rows(postings: DataFrame, as_of: datetime, config: SearchConfig = Sea
     return unique, recent, capped
 
 
-def score_rows(capped: DataFrame, as_of: datetime, config: SearchConfig, scorer: Scorer) -> DataFrame:
+def score_rows(capped: DataFrame, as_of: datetime, config: SearchConfig, scorer: Scorer,
+               save: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Every row with its outcome: excluded rows get their record, the rest is scored.
 
-    The scorer only sees rows that need scoring.
+    The scorer only sees rows that need scoring.  Both halves come from the
+    saved rows, so pages are looked up and parsed once.
     """
-    marked = exclusions.with_exclusion(capped, as_of, config)
+    marked = save(exclusions.with_exclusion(capped, as_of, config))
     scored = scorer(marked.filter("exclusion IS NULL").drop("exclusion"))
     target = F.when(matching.target_flag(F.col("company"), config.target_companies), fv.TARGET_MARK).otherwise("")
     return scored.withColumn("target", target).unionByName(
@@ -124,8 +126,9 @@ def run_search(inputs: Inputs, as_of: datetime, config: SearchConfig = SearchCon
                scorer: Scorer | None = None, save_stages: bool = True) -> Stages:
     """A whole run.
 
-    ``save_stages`` writes unique, capped and scored rows to the shared folder:
-    each feeds several outputs, and lost executors then never repeat the parsing.
+    ``save_stages`` writes the unique, capped, filled and scored rows to the
+    shared folder: each is read by several steps, and lost executors then never
+    repeat the parsing.
     """
     save = cut_lineage if save_stages else (lambda df: df)
     score = scorer or partial(score_by_rules, config=config, company_rules=inputs.company_rules,
@@ -134,7 +137,7 @@ def run_search(inputs: Inputs, as_of: datetime, config: SearchConfig = SearchCon
     unique, recent, capped = choose_rows(postings, as_of, config, save)
     if inputs.pages is not None:
         capped = matching.fill_descriptions(capped, inputs.pages, config)
-    scored = save(score_rows(capped, as_of, config, score))
+    scored = save(score_rows(capped, as_of, config, score, save))
     return Stages(
         postings=postings, unique=unique, recent=recent, capped=capped, scored=scored,
         results=gated(scored, config).orderBy(*rank_order()),

@@ -73,9 +73,11 @@ def status_pivot(spark, sf):
 
 
 def validation_counts(spark, sf):
-    outcome = rg.validate_registry(_registry(spark, sf), _probes(spark, sf))
-    flag = rg.any_failure(outcome).withColumn("_one", F.lit(1))
-    return reports.status_counts(outcome).withColumn("_one", F.lit(1)).join(flag, "_one").drop("_one")
+    return reports.status_counts(rg.validate_registry(_registry(spark, sf), _probes(spark, sf)))
+
+
+def registry_needs_update(spark, sf):
+    return rg.any_failure(rg.validate_registry(_registry(spark, sf), _probes(spark, sf)))
 
 
 def probe_counts(spark, sf):
@@ -142,6 +144,7 @@ QUERIES = {
     "registry_validation": registry_validation,
     "status_pivot": status_pivot,
     "validation_counts": validation_counts,
+    "registry_needs_update": registry_needs_update,
     "probe_counts": probe_counts,
     "registry_output": registry_output,
     "discovery": discovery,
@@ -207,9 +210,9 @@ ORACLES = {
     "validation_counts": f"""
         WITH o AS ({_OUTCOME})
         SELECT ats, count(*) FILTER (WHERE status = 'ok') AS n_ok, count(*) FILTER (WHERE status = 'fixed') AS n_fixed,
-               count(*) FILTER (WHERE status = 'failed') AS n_failed, count(*) FILTER (WHERE status = 'skipped') AS n_skipped,
-               (SELECT bool_or(status IN ('fixed', 'failed')) FROM o) AS needs_update
+               count(*) FILTER (WHERE status = 'failed') AS n_failed, count(*) FILTER (WHERE status = 'skipped') AS n_skipped
         FROM o GROUP BY ats""",
+    "registry_needs_update": f"SELECT bool_or(status IN ('fixed', 'failed')) AS needs_update FROM ({_OUTCOME})",
     "probe_counts": """
         SELECT CASE WHEN s_nationkey < 10 THEN 'greenhouse' ELSE 'lever' END AS ats,
                CASE WHEN s_acctbal > 6000 THEN 'sup-' ELSE 'sup' END || s_suppkey AS slug,

@@ -111,7 +111,8 @@ def _scored(spark, sf):
     pages = table(spark, sf, "pages").select("url", "html", F.lit("").alias("rendered_html"))
     capped = mt.fill_descriptions(capped, pages, CONFIG)
     attrs = _attrs(spark, sf)
-    return search.score_rows(capped, AS_OF, CONFIG, lambda rows: rl.score_by_rules(rows, CONFIG, company_attrs=attrs))
+    return search.score_rows(capped, AS_OF, CONFIG, lambda rows: rl.score_by_rules(rows, CONFIG, company_attrs=attrs),
+                             cut_lineage)
 
 
 def capped_outcomes(spark, sf):

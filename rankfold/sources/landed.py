@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankfold import fixed_values as fv
 from rankfold import schema as sc
 
 LANDED_SCHEMAS = {
@@ -43,5 +44,17 @@ def read_list_documents(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def default_sources(spark: SparkSession) -> DataFrame:
+    """The configured list sources, in order of precedence."""
+    rows = [(name, "list", fmt, "", "", rank) for rank, (name, fmt) in enumerate(fv.LIST_SOURCES)]
+    return sc.local_table(spark, rows, sc.SOURCES_SCHEMA)
+
+
+def default_registry(spark: SparkSession) -> DataFrame:
+    """The registered boards, in order."""
+    rows = [(*board, position) for position, board in enumerate(fv.REGISTERED_BOARDS)]
+    return sc.local_table(spark, rows, sc.REGISTRY_SCHEMA)
+
+
 def empty_landed(spark: SparkSession, table: str) -> DataFrame:
     return spark.createDataFrame([], LANDED_SCHEMAS[table])

@@ -65,7 +65,7 @@ def test_nothing_to_update(spark, probes, collect):
     assert collect(plan.validate(registry, probes, save=False).needs_update) == [(False,)]
 
 
-def test_discovery(spark, collect):
+def test_discovery(spark, collect, tmp_path):
     candidates = spark.createDataFrame([
         ("First", 0, ["a1", "a2"]), ("Second", 1, ["b1", "b2"]), ("Late", 2, ["c1", "c2"]), ("Epic Systems", 3, ["d1"]),
         ("Nobody", 4, ["e1"]), ("Limited", 5, ["f1"]), ("Zero", 6, ["g1"]),
@@ -87,3 +87,6 @@ def test_discovery(spark, collect):
     assert collect(result.by_category, "category", "company") == [("WORKDAY", "Epic Systems")]
     assert collect(result.uncategorised, "company") == [("Limited",), ("Nobody",)]
     assert collect(result.lines, "line")[0] == ('"a1",  # First (1 jobs)',)
+    written = spark.read.parquet(plan.write_discovery(result, str(tmp_path)))
+    assert collect(written, "position", "slug", "company", "jobs") == [
+        (0, "a1", "First", 1), (1, "b2", "Second", 2), (2, "c2", "Late", 0), (6, "g1", "Zero", 0)]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from rankfold import schema as sc
 from rankfold.config import SearchConfig
 from rankfold.sources import boards, lists
-from rankfold.sources.landed import empty_landed, read_landed, read_list_documents
+from rankfold.sources.landed import default_registry, default_sources, empty_landed, read_landed, read_list_documents
 
 MARKDOWN = """# Jobs
 | Company | Role | Location | Apply | Age |
@@ -127,3 +127,9 @@ def test_landed_readers(spark, tmp_path, collect):
     (folder / "list.md").write_text("| a |\n| b |\n")
     assert collect(read_list_documents(spark, str(tmp_path / "docs"))) == [("md", 3, "| a |\n| b |\n")]
     assert empty_landed(spark, "pages").columns == ["url", "html", "rendered_html"]
+
+
+def test_configured_sources_and_boards(spark, collect):
+    assert collect(default_sources(spark), "source_rank", "format") == [
+        (0, "markdown-html"), (1, "html-table"), (2, "markdown-html"), (3, "markdown-html")]
+    assert collect(default_registry(spark).groupBy("ats").count()) == [("greenhouse", 3), ("lever", 1), ("workday", 4)]
