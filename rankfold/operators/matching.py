@@ -12,6 +12,7 @@ from rankfold.config import SearchConfig
 from rankfold.functions import text as tx
 from rankfold.functions.html import html_to_text
 from rankfold.schema import each_item
+from rankfold.session import cut_lineage
 
 LITERAL_KEYWORDS = 256
 
@@ -42,10 +43,10 @@ def keyword_semi_join(texts: DataFrame, text: str, keys: Sequence[str], keywords
     equality: each text gives its distinct substrings of the lengths keywords
     have, and those meet the keywords in a left semi join, so no keyword is
     paired with a text that lacks it.  ``keys`` identify a row of ``texts``.
-    The keyword table is read twice (size and use): save it first if it is
-    costly to compute.
+    The distinct keywords are saved first: they are read twice, and their saved
+    size tells Spark whether broadcasting them is cheap.
     """
-    wanted = keywords.select(F.lower(keyword).alias("_word")).filter("_word <> ''").distinct()
+    wanted = cut_lineage(keywords.select(F.lower(keyword).alias("_word")).filter("_word <> ''").distinct())
     size = wanted.agg(F.count("*").alias("n"), F.collect_set(F.char_length("_word")).alias("lengths")).head()
     if size["n"] <= literal_limit:
         words = sorted(row["_word"] for row in wanted.collect())
