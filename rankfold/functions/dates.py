@@ -25,6 +25,7 @@ USUAL_STAMP = (
 _OFFSET_AT_END = rf"{_OFFSET}$"   # looked for in the time part only
 
 DAY_MICROS = 86_400_000_000
+_MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
 
 
 def epoch_micros(as_of: datetime) -> int:
@@ -42,16 +43,16 @@ def posted_today(posted: Column, as_of: datetime) -> Column:
     """
     year, month, day = f"{as_of:%Y}", f"{as_of:%m}", f"{as_of:%d}"
     forms = [
-        r"(?:new|today)$",
-        r"\d+\s*[hm]\b",           # hours and minutes, however many
-        r"0+\s*d\b",
-        rf"{year}(?:-{month}-{day}|{month}{day}){_TIME_PART.lower()}$",
+        r"(?i:new|today)$",
+        r"\d+\s*(?i:[hm])\b",      # hours and minutes, however many
+        r"0+\s*(?i:d)\b",
+        rf"{year}(?:-{month}-{day}|{month}{day}){_TIME_PART}$",
     ]
     if (as_of.month, as_of.day) != (2, 29):   # a year-less 29 February never parses
-        month_name = as_of.strftime("%b").lower()
-        forms.append(rf"{month_name}\s+{'0?' if as_of.day < 10 else ''}{as_of.day}$")
-    pattern = "(?s)^(?:" + "|".join(forms) + ")"
-    return F.rlike(F.lower(strip_space(text_or_empty(posted))), F.lit(pattern))
+        month_name = _MONTHS[as_of.month - 1]
+        forms.append(rf"(?i:{month_name})\s+{'0?' if as_of.day < 10 else ''}{as_of.day}$")
+    pattern = "(?sU)^(?:" + "|".join(forms) + ")"
+    return F.rlike(strip_space(text_or_empty(posted)), F.lit(pattern))
 
 
 def _number(text: Column, start: int, length: int = 2) -> Column:

@@ -11,15 +11,15 @@ from rankfold.functions.slugs import slugs_to_try
 from rankfold.functions.text import title_case
 from rankfold.operators.matching import residual
 from rankfold.operators.ranking import first_success
-from rankfold.schema import CATEGORIES_SCHEMA, each_item, local_table
+from rankfold.schema import CATEGORIES_SCHEMA, compute_once, each_item, local_table
 from rankfold.sources.boards import board_a_count, board_b_count
 
 
-def probe_counts(probes: DataFrame) -> DataFrame:
-    """ats, slug, jobs: postings a probe found, null when it does not work.
+def probe_jobs(probes: DataFrame) -> DataFrame:
+    """ats, slug, http_status, error, jobs: postings each probe found, null when it does not work.
 
     Only HTTP 200 with a payload of the board's shape works; zero postings is
-    still working.  Repeated probes of a slug are folded before any join.
+    still working.
     """
     jobs = F.when(
         F.col("http_status") == 200,
@@ -28,9 +28,12 @@ def probe_counts(probes: DataFrame) -> DataFrame:
         ),
     )
     parsed = with_json(probes, F.when(F.col("http_status") == 200, F.col("payload")))
-    return parsed.select("ats", "slug", jobs.alias("jobs")).groupBy("ats", "slug").agg(
-        F.max("jobs").alias("jobs")
-    )
+    return parsed.select("ats", "slug", "http_status", "error", jobs.alias("jobs"))
+
+
+def probe_counts(probes: DataFrame) -> DataFrame:
+    """ats, slug, jobs: one row per slug, repeated probes folded before any join."""
+    return probe_jobs(probes).groupBy("ats", "slug").agg(F.max("jobs").alias("jobs"))
 
 
 def validate_registry(registry: DataFrame, probes: DataFrame) -> DataFrame:
@@ -125,20 +128,26 @@ def discovered_registry(found: DataFrame, ats: str = fv.BOARD_A) -> DataFrame:
 
 def error_text(company: Column, slug: Column, error: Column) -> Column:
     """Report text of a failed probe: long messages are shortened to 50 characters."""
-    shown = F.when(F.lower(error).contains("timeout"), "timeout").otherwise(F.substring(error, 1, 50))
+    lowered = F.lower(error)
+    timed_out = lowered.contains("timeout") | lowered.contains("timed out")
+    shown = F.when(timed_out, "timeout").otherwise(F.substring(error, 1, 50))
     return F.concat(company, F.lit(" ("), slug, F.lit("): "), shown)
 
 
 def probe_errors(candidates: DataFrame, probes: DataFrame, found: DataFrame, ats: str = fv.BOARD_A) -> DataFrame:
     """company, slug, kind, message of probes that failed before a company was settled.
 
-    Besides raised errors, answers other than 200 and 404 are reported too.
+    An unreadable answer counts as an error.  Answers other than 200 and 404 are
+    reported too, as kind 'status'.
     """
     tries = candidates.select("company", "company_pos", "slugs", F.posexplode("slugs").alias("pos", "slug"))
     settled = found.select("company_pos", F.col("slug").alias("_won"))
-    bad = probes.filter(
-        (F.col("ats") == ats) & (F.col("error").isNotNull() | ~F.col("http_status").isin(200, 404))
-    ).select("slug", "http_status", "error")
+    unreadable = F.when((F.col("http_status") == 200) & F.col("jobs").isNull(), "unreadable answer")
+    answers = compute_once(
+        probe_jobs(probes.filter(F.col("ats") == ats)), problem=F.coalesce("error", unreadable)
+    )
+    bad = answers.filter(F.col("problem").isNotNull() | ~F.col("http_status").isin(200, 404)).select(
+        "slug", "http_status", F.col("problem").alias("error"))
     tried = tries.join(settled, "company_pos").filter(
         F.col("_won").isNull() | (F.col("pos") < F.array_position("slugs", F.col("_won")) - 1)
     )

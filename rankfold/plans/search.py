@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from datetime import datetime
 from functools import partial
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,6 +164,26 @@ def reply_scorer(replies: DataFrame) -> Scorer:
     return score
 
 
+def model_scorer(answer: Callable[[pd.Series], pd.Series], batch_rows: int | None = None) -> Scorer:
+    """A scorer that asks a caller's model: ``answer`` maps prompts to reply texts.
+
+    It runs inside tasks on Arrow batches, once per row that needs scoring; what
+    it raises fails the task, what it returns is parsed like any reply.
+    ``batch_rows`` spreads the rows into partitions of about that many.
+    """
+    ask = F.pandas_udf(answer, "string").asNondeterministic()
+
+    def score(rows: DataFrame) -> DataFrame:
+        if batch_rows is not None:
+            rows = rows.repartition(max(1, -(-rows.count() // batch_rows)))
+        asked = rows.withColumn("_reply", ask(scoring_prompt(
+            F.col("role"), F.col("company"), F.col("location"), F.col("description"))))
+        joined = with_reply(asked, F.col("_reply"), "_r")
+        return joined.select(*rows.columns, "_r.score", "_r.verdict", "_r.flag", "_r.reason")
+
+    return score
+
+
 def prompts(rows: DataFrame) -> DataFrame:
     """url, prompt: what to send to a model for the rows that need scoring."""
     return rows.select("url", scoring_prompt(

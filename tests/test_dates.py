@@ -10,7 +10,8 @@ CASES = [  # posted, today, stale
     ("", False, False), (None, False, False), ("new", True, False), ("Today", True, False), ("0d", True, False), (" 0d ", True, False),
     ("1d", False, False), ("45d", False, False), ("5h", True, False), ("48h", True, False), ("30m ago", True, False),
     ("1mo", False, False), ("2026-06-30T17:05:44-04:00", True, False), ("2026-06-30T23:30:00-04:00", True, False),
-    ("2026-06-30", True, False), ("20260630", True, False), ("2026-05-31T12:00:00Z", False, False),
+    ("2026-06-30", True, False), ("2026-06-30T10:00:00z", False, False), ("TODAY", True, False), ("5H", True, False), ("5 h", True, False),
+    ("5ha", False, False), ("JUN 30", True, False), ("20260630", True, False), ("2026-05-31T12:00:00Z", False, False),
     ("2026-05-30T12:00:00Z", False, True), ("2026-05-30T12:00:01Z", False, False), (" 2026-01-01", False, False),
     ("Jun 30", True, False), ("jun 30", True, False), ("Jun  30", True, False), ("Jun 29", False, False),
     ("June 30", False, False), ("Feb 29", False, False), ("2026", False, False), ("2026-06", False, False),

@@ -68,24 +68,25 @@ def test_nothing_to_update(spark, probes, collect):
 def test_discovery(spark, collect, tmp_path):
     candidates = spark.createDataFrame([
         ("First", 0, ["a1", "a2"]), ("Second", 1, ["b1", "b2"]), ("Late", 2, ["c1", "c2"]), ("Epic Systems", 3, ["d1"]),
-        ("Nobody", 4, ["e1"]), ("Limited", 5, ["f1"]), ("Zero", 6, ["g1"]),
+        ("Nobody", 4, ["e1"]), ("Limited", 5, ["f1"]), ("Zero", 6, ["g1"]), ("Html", 7, ["h1"]),
     ], sc.CANDIDATES_SCHEMA)
     probes = spark.createDataFrame([
         (A, "a1", 200, '{"jobs": [{}]}', None), (A, "a2", None, None, "never reached"), (A, "b1", 404, None, None),
         (A, "b2", 200, '{"jobs": [{}, {}]}', None), (A, "c1", None, None, "Read Timeout"), (A, "c2", 200, "{}", None),
         (A, "d1", 404, None, None), (A, "e1", None, None, "x" * 80), (A, "f1", 429, None, None), (A, "g1", 200, '{"jobs": []}', None),
-        (B, "e1", 200, "[]", None),
+        (B, "e1", 200, "[]", None), (A, "h1", 200, "<html>", None),
     ], sc.PROBES_SCHEMA)
     result = plan.discover(candidates, probes)
     assert collect(result.confirmed, "company_pos", "slug", "jobs", "url") == [
         (0, "a1", 1, "https://boards-api.greenhouse.io/v1/boards/a1/jobs"), (1, "b2", 2, "https://boards-api.greenhouse.io/v1/boards/b2/jobs"),
         (2, "c2", 0, "https://boards-api.greenhouse.io/v1/boards/c2/jobs"), (6, "g1", 0, "https://boards-api.greenhouse.io/v1/boards/g1/jobs")]
-    assert collect(result.not_found, "company") == [("Epic Systems",), ("Limited",), ("Nobody",)]
+    assert collect(result.not_found, "company") == [("Epic Systems",), ("Html",), ("Limited",), ("Nobody",)]
     assert collect(result.errors, "kind", "message") == sorted([
-        ("error", "Late (c1): timeout"), ("error", f"Nobody (e1): {'x' * 50}"), ("status", "Limited (f1): HTTP 429")], key=repr)
-    assert collect(result.totals) == [(4, 3, 2)]
+        ("error", "Late (c1): timeout"), ("error", f"Nobody (e1): {'x' * 50}"), ("status", "Limited (f1): HTTP 429"),
+        ("error", "Html (h1): unreadable answer")], key=repr)
+    assert collect(result.totals) == [(4, 4, 3)]
     assert collect(result.by_category, "category", "company") == [("WORKDAY", "Epic Systems")]
-    assert collect(result.uncategorised, "company") == [("Limited",), ("Nobody",)]
+    assert collect(result.uncategorised, "company") == [("Html",), ("Limited",), ("Nobody",)]
     assert collect(result.lines, "line")[0] == ('"a1",  # First (1 jobs)',)
     written = spark.read.parquet(plan.write_discovery(result, str(tmp_path)))
     assert collect(written, "position", "slug", "company", "jobs") == [

@@ -131,6 +131,17 @@ def test_landed_replies_as_scorer(spark, inputs, collect):
     assert run.scored.filter("flag = 'parse_error'").count() == 5
 
 
+def test_model_as_scorer(spark, inputs, collect):
+    import pandas as pd
+
+    def answer(prompts: pd.Series) -> pd.Series:
+        return prompts.map(lambda p: '{"score": %d, "verdict": "GOOD_FIT"}' % (90 if "TCS" in p else 60))
+
+    run = search.run_search(inputs, AS_OF, scorer=search.model_scorer(answer, batch_rows=3), save_stages=False)
+    assert [(r["company"], r["score"]) for r in run.results.collect()][0] == ("TCS", 90)
+    assert run.results.count() == 6 and run.scored.count() == 9
+
+
 def test_prompts_for_a_model(stages):
     row = search.prompts(stages.capped.filter("url = 'https://jobs.example/2'")).head()
     assert row["prompt"].startswith("Job to evaluate:\nTitle: Engineer\nCompany: Beta\n")
