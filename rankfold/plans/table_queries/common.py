@@ -31,7 +31,8 @@ def sql_has_word(column: str, words) -> str:
 
 # Visible text of the given pages in SQL: hidden elements and comments go, every
 # tag splits text, lines are stripped and blank ones dropped.
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&nbsp;", " "), ("&amp;", "&"))
+# An entity may lack its semicolon (cut titles); '&' comes last, so nothing is resolved twice.
+_ENTITIES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("#x27", "''"), ("nbsp", " "), ("amp", "&"))
 
 
 def sql_visible_text(html: str) -> str:
@@ -41,6 +42,6 @@ def sql_visible_text(html: str) -> str:
     text = f"regexp_replace({text}, '(?s)<!--.*?-->', chr(10), 'g')"
     text = f"regexp_replace({text}, '<[^>]+>', chr(10), 'g')"
     for entity, char in _ENTITIES:
-        text = f"replace({text}, '{entity}', '{char}')"
+        text = f"regexp_replace({text}, '&{entity}(?:;|($|[^a-zA-Z0-9;]))', '{char}\\1', 'g')"
     lines = f"list_transform(string_split({text}, chr(10)), lambda l: trim(l, ' ' || chr(9) || chr(13) || chr(160)))"
     return f"array_to_string(list_filter({lines}, lambda l: l <> ''), chr(10))"
