@@ -22,7 +22,6 @@ from rankfold.schema import text_or_empty
 
 MONEY_PATTERN = r"\$ ?([0-9][0-9,]*)"
 SENTENCE_END = r"[.!?;\n]+"
-_SCRATCH = ("_title", "_body", "_place", "_firm", "_both")
 
 
 def with_rule_text(df: DataFrame) -> DataFrame:
@@ -201,19 +200,19 @@ def score_by_rules(df: DataFrame, config: SearchConfig = SearchConfig(),
         (F.coalesce(~F.col("is_tech"), F.lit(False)), config.screen_cap, "non-tech organisation"),
     ]
     large = attr(F.col("size_class") == "large")
-    # every test runs once; what follows only looks at its outcome
+    # every test runs once; what follows, and any filter on the score, only looks at its outcome
     hits = {f"_screen{i}": hit for i, (hit, _, _) in enumerate(screens)}
-    rows = rows.withColumns({
-        **hits,
-        "_out": disqualifier(config),
-        "_note": first_hit(_of_kind(config, cf.FLAG), config, lambda r: r.flag),
-        "_points": (
+    rows = sc.compute_once(
+        rows, **hits,
+        _out=disqualifier(config),
+        _note=first_hit(_of_kind(config, cf.FLAG), config, lambda r: r.flag),
+        _points=(
             F.lit(config.base_score) + rule_points(config)
             + F.when(is_cosmetic(config) & ~large, config.cosmetic_points).otherwise(0)
             + F.when(attr(F.col("is_sponsor")), config.sponsor_points).otherwise(0)
             + F.when(attr(F.col("size_class") == "small"), config.small_company_points).otherwise(0)
         ),
-    })
+    )
     cap = F.least(
         F.coalesce("company_cap", F.lit(100)),
         *[F.when(F.col(name), screen[1]).otherwise(100) for name, screen in zip(hits, screens)],

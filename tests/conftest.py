@@ -14,7 +14,7 @@ def spark(tmp_path_factory):
     session = build_session(
         "rankfold-tests", "local[8]",
         **{
-            "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+            "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
             "spark.driver.memory": "8g",

@@ -11,9 +11,16 @@ GOOD = ("C# and .NET on Azure Functions with microservices in healthcare. Junior
         "Redis, CI/CD, CQRS, LLM integration. Lambda. $90,000")
 
 
-def score(spark, company="Acme", role="Software Engineer", location="Austin, TX", description=GOOD, config=SearchConfig(), **tables):
-    df = spark.createDataFrame([(company, role, location, description)], COLUMNS)
-    return rl.score_by_rules(df, config, **tables).head()
+def scores(spark, cases, config=SearchConfig(), **tables):
+    """Scores of many variations of one good posting, in order."""
+    rows = [(i, c.get("company", "Acme"), c.get("role", "Software Engineer"), c.get("location", "Austin, TX"), c.get("description", GOOD))
+            for i, c in enumerate(cases)]
+    df = spark.createDataFrame(rows, "i int, " + COLUMNS)
+    return sorted(rl.score_by_rules(df, config, **tables).collect(), key=lambda r: r["i"])
+
+
+def score(spark, config=SearchConfig(), company_rules=None, company_attrs=None, **case):
+    return scores(spark, [case], config, company_rules=company_rules, company_attrs=company_attrs)[0]
 
 
 def test_strong_fit(spark):
@@ -21,30 +28,30 @@ def test_strong_fit(spark):
     assert (row["score"], row["verdict"], row["flag"]) == (100, "STRONG_FIT", "")
 
 
-@pytest.mark.parametrize("changes, flag", [
-    ({"description": "Active Secret Clearance needed"}, "clearance required"),
-    ({"description": "DoD work"}, "clearance required"),
-    ({"location": "London, UK"}, "non-US location"),
-    ({"location": "Remote in UK"}, "non-US location"),
-    ({"role": "FPGA Engineer"}, "wrong role type"),
-    ({"description": "6 month contract"}, "contract or placement"),
-    ({"description": "we will not sponsor"}, "no sponsorship"),
-    ({"role": "Sr. Software Engineer"}, "seniority mismatch"),
-    ({"company": "Peraton"}, "known false positive"),
-    ({"company": "Adtran", "role": "Software Engineer II"}, "known false positive"),
-    ({"company": "FetchJobs.co"}, "known false positive"),
-])
-def test_disqualifiers(spark, changes, flag):
-    row = score(spark, **changes)
-    assert (row["score"], row["verdict"], row["flag"]) == (0, "EXCLUDED", flag)
-
-
-@pytest.mark.parametrize("changes", [
-    {"description": GOOD + " a polyglot and a leader"}, {"location": "Ukiah, CA"}, {"role": "Leadership Software Engineer"},
-    {"company": "Adtran", "role": "Backend Developer"}, {"company": "Boeing", "role": "Software Engineer"},
-])
-def test_words_are_matched_whole_and_title_rules_need_the_title(spark, changes):
-    assert score(spark, **changes)["score"] > 0
+def test_disqualifiers(spark):
+    cases = [
+        ({"description": "Active Secret Clearance needed"}, "clearance required"),
+        ({"description": "DoD work"}, "clearance required"),
+        ({"location": "London, UK"}, "non-US location"),
+        ({"location": "Remote in UK"}, "non-US location"),
+        ({"role": "FPGA Engineer"}, "wrong role type"),
+        ({"description": "6 month contract"}, "contract or placement"),
+        ({"description": "we will not sponsor"}, "no sponsorship"),
+        ({"role": "Sr. Software Engineer"}, "seniority mismatch"),
+        ({"company": "Peraton"}, "known false positive"),
+        ({"company": "Adtran", "role": "Software Engineer II"}, "known false positive"),
+        ({"company": "FetchJobs.co"}, "known false positive"),
+    ]
+    got = [(r["score"], r["verdict"], r["flag"]) for r in scores(spark, [c for c, _ in cases])]
+    assert got == [(0, "EXCLUDED", flag) for _, flag in cases]
+
+
+def test_words_are_matched_whole_and_title_rules_need_the_title(spark):
+    cases = [
+        {"description": GOOD + " a polyglot and a leader"}, {"location": "Ukiah, CA"}, {"role": "Leadership Software Engineer"},
+        {"company": "Adtran", "role": "Backend Developer"}, {"company": "Boeing", "role": "Software Engineer"},
+    ]
+    assert all(r["score"] > 0 for r in scores(spark, cases))
 
 
 def test_remote_alone_is_flagged_but_kept(spark):
@@ -52,46 +59,48 @@ def test_remote_alone_is_flagged_but_kept(spark):
     assert (row["score"], row["verdict"], row["flag"]) == (100, "FLAGGED", "verify location")
 
 
-@pytest.mark.parametrize("changes, cap", [
-    ({"company": "Lockheed Martin"}, 50),
-    ({"description": GOOD + " up to $680,000"}, 40),
-    ({"description": GOOD + " $99999999999999999999"}, 40),
-    ({"description": GOOD + " Customer Service, MS Office"}, 40),
-    ({"description": GOOD + " java python go rust ruby php scala kotlin swift perl react vue django flask spring rails kafka spark hadoop"}, 40),
-])
-def test_caps(spark, changes, cap):
-    row = score(spark, **changes)
-    assert (row["score"], row["verdict"]) == (cap, "FLAGGED") and row["flag"]
+def test_caps(spark):
+    many = "java python go rust ruby php scala kotlin swift perl react vue django flask spring rails kafka spark hadoop"
+    cases = [
+        ({"company": "Lockheed Martin"}, 50),
+        ({"description": GOOD + " up to $680,000"}, 40),
+        ({"description": GOOD + " $99999999999999999999"}, 40),
+        ({"description": GOOD + " Customer Service, MS Office"}, 40),
+        ({"description": f"{GOOD} {many}"}, 40),
+    ]
+    rows = scores(spark, [c for c, _ in cases])
+    assert [(r["score"], r["verdict"]) for r in rows] == [(cap, "FLAGGED") for _, cap in cases]
+    assert all(r["flag"] for r in rows)
 
 
-def points(spark, text, config=SearchConfig()):
-    df = rl.with_rule_text(spark.createDataFrame([("c", "r", "l", text)], COLUMNS))
-    return df.select(rl.rule_points(config)).head()[0]
+def test_a_filter_on_the_score_does_not_run_the_rules_again(spark):
+    df = spark.createDataFrame([("c", "r", "l", "d")], COLUMNS)
+    plan = rl.score_by_rules(df).filter("score >= 51")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("placed at client") == 1
 
 
 def test_penalties_look_at_the_sentence(spark):
-    base = points(spark, "salary")
-    assert points(spark, "salary. Angular is required") == base - 15
-    assert points(spark, "salary. Angular is nice to have") == base
-    assert points(spark, "salary. Angular. Java is required") == base
-    assert points(spark, "salary. Strong experience in Terraform") == base - 10
-    assert points(spark, "salary. On-site in Austin") == base - 5
-    assert points(spark, "salary. On-site or hybrid") == base + 5
-    assert points(spark, "salary. 5+ years") == base - 5
-    assert points(spark, "salary. 2+ years") == base
-    assert points(spark, "no pay named") == base - 3
-    assert points(spark, "") == base
-
-
-@pytest.mark.parametrize("text, cosmetic", [
-    ("Java, Python or C#", False),
-    ("Java, Python or C#. Build Java services", True),
-    ("Java, Python or C#. Build Java services. Maintain our C# code", False),
-    ("Build Java services", False), ("C# only", False),
-])
-def test_or_lists(spark, text, cosmetic):
-    df = rl.with_rule_text(spark.createDataFrame([("c", "r", "l", text)], COLUMNS))
-    assert df.select(rl.is_cosmetic(SearchConfig())).head()[0] is cosmetic
+    cases = [
+        ("salary", 0), ("salary. Angular is required", -15), ("salary. Angular is nice to have", 0),
+        ("salary. Angular. Java is required", 0), ("salary. Strong experience in Terraform", -10), ("salary. On-site in Austin", -5),
+        ("salary. On-site or hybrid", 5), ("salary. 5+ years", -5), ("salary. 2+ years", 0), ("no pay named", -3), ("", 0),
+    ]
+    rows = [(i, "c", "r", "l", text) for i, (text, _) in enumerate(cases)]
+    df = rl.with_rule_text(spark.createDataFrame(rows, "i int, " + COLUMNS))
+    got = [r[1] for r in sorted(df.select("i", rl.rule_points(SearchConfig())).collect())]
+    assert got == [expected for _, expected in cases]
+
+
+def test_or_lists(spark):
+    cases = [
+        ("Java, Python or C#", False),
+        ("Java, Python or C#. Build Java services", True),
+        ("Java, Python or C#. Build Java services. Maintain our C# code", False),
+        ("Build Java services", False), ("C# only", False),
+    ]
+    rows = [(i, "c", "r", "l", text) for i, (text, _) in enumerate(cases)]
+    df = rl.with_rule_text(spark.createDataFrame(rows, "i int, " + COLUMNS))
+    assert [r[1] for r in sorted(df.select("i", rl.is_cosmetic(SearchConfig())).collect())] == [c for _, c in cases]
 
 
 def test_company_attributes(spark):
@@ -100,11 +109,13 @@ def test_company_attributes(spark):
         ("big", "large", True, True, True), ("tiny", "small", True, False, True), ("ngo", None, False, None, True), ("vague", None, None, None, False),
         ("big", None, None, None, None),
     ], sc.COMPANY_ATTRS_SCHEMA)
-    base = score(spark, "none", description="Java or C#. Build Java. $1", company_attrs=attrs)["score"]
-    assert score(spark, "BIG", description="Java or C#. Build Java. $1", company_attrs=attrs)["score"] == base + 20 + 5
-    assert score(spark, "tiny", description=text, company_attrs=attrs)["score"] == score(spark, "none", description=text)["score"] - 5
-    assert score(spark, "ngo", company_attrs=attrs)["flag"] == "non-tech organisation"
-    assert score(spark, "vague", company_attrs=attrs)["score"] == 40
+    mixed = "Java or C#. Build Java. $1"
+    rows = scores(spark, [
+        {"company": "none", "description": mixed}, {"company": "BIG", "description": mixed}, {"company": "none", "description": text},
+        {"company": "tiny", "description": text}, {"company": "ngo"}, {"company": "vague"}], company_attrs=attrs)
+    got = [r["score"] for r in rows]
+    assert got[1] == got[0] + 20 + 5 and got[3] == got[2] - 5
+    assert rows[4]["flag"] == "non-tech organisation" and got[5] == 40
 
 
 def test_zero_wins_over_a_cap_and_rules_never_multiply_rows(spark):
