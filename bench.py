@@ -23,7 +23,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     only = sys.argv[1:]
     spark = build_session("rankfold-bench", f"local[{cpus}]", **{
-        "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "12g",
+        "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+        "spark.driver.memory": "12g",
     })
     spark.sparkContext.setLogLevel("ERROR")
     queries = {n: q for n, q in all_queries().items() if not only or n in only}

@@ -214,21 +214,26 @@ def html_to_text(markup: Column, escaped: bool = False) -> Column:
 
 
 def html_rows(documents: DataFrame, content: str = "content", keep: tuple[str, ...] = (),
-              chunk_rows: int = 2000) -> DataFrame:
-    """One output row per HTML table row: kept columns, item_pos, cells, markup."""
+              chunk_rows: int = 2000, chunk_chars: int = 16_000_000) -> DataFrame:
+    """One output row per HTML table row: kept columns, item_pos, cells, markup.
+
+    Rows leave in chunks bounded by number and by text, whatever a document holds.
+    """
     kept = list(keep)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [*kept, "item_pos", "cells", "markup"]
         for batch in batches:
             rows: list[tuple] = []
+            chars = 0
             for record in batch.itertuples(index=False, name=None):
                 *values, text = record
                 for position, cells, markup in table_rows(text or ""):
                     rows.append((*values, position, cells, markup))
-                    if len(rows) >= chunk_rows:
+                    chars += len(markup)
+                    if len(rows) >= chunk_rows or chars >= chunk_chars:
                         yield pd.DataFrame(rows, columns=columns)
-                        rows = []
+                        rows, chars = [], 0
             yield pd.DataFrame(rows, columns=columns)
 
     selected = documents.select(*kept, content)

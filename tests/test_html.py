@@ -65,6 +65,6 @@ def test_unclosed_row_runs_to_the_end():
 def test_html_rows_keeps_columns_and_splits_output(spark, collect):
     body = "<table>" + "".join(f"<tr><td>{i}</td><td>b</td><td>c</td></tr>" for i in range(25)) + "</table>"
     df = spark.createDataFrame([("s", 7, body), ("t", 8, None)], "source string, doc_no bigint, content string")
-    out = hm.html_rows(df, keep=("source", "doc_no"), chunk_rows=10)
+    out = hm.html_rows(df, keep=("source", "doc_no"), chunk_rows=10, chunk_chars=200)
     assert out.columns == ["source", "doc_no", "item_pos", "cells", "markup"]
     assert [r[2] for r in collect(out.orderBy("item_pos"), "source", "doc_no", "item_pos")] == sorted(range(25), key=str)

@@ -109,13 +109,13 @@ def test_today_filter_runs_after_keep_first(inputs, collect):
 
 
 def test_cap_counts_rows_that_are_excluded_later(inputs):
-    capped = search.run_search(inputs, AS_OF, SearchConfig(max_jobs=3), save_stages=False)
+    capped = search.run_search(inputs, AS_OF, SearchConfig(max_jobs=3))
     assert capped.scored.count() == 3
     assert capped.scored.filter("flag = 'stale_posting'").count() == 1
 
 
 def test_uncapped_run_and_kept_empty_links(inputs):
-    run = search.run_search(inputs, AS_OF, SearchConfig(max_jobs=None, empty_url="keep_all"), save_stages=False)
+    run = search.run_search(inputs, AS_OF, SearchConfig(max_jobs=None, empty_url="keep_all"))
     assert run.scored.count() == 10
 
 
@@ -126,7 +126,7 @@ def test_lazy_and_saved_runs_agree(inputs, stages, collect):
 
 def test_landed_replies_as_scorer(spark, inputs, collect):
     replies = spark.createDataFrame([("https://jobs.example/1", '{"score": 77, "verdict": "GOOD_FIT"}')], "url string, reply string")
-    run = search.run_search(inputs, AS_OF, scorer=search.reply_scorer(replies), save_stages=False)
+    run = search.run_search(inputs, AS_OF, scorer=search.reply_scorer(replies))
     assert collect(run.results, "url", "score") == [("https://jobs.example/1", 77)]
     assert run.scored.filter("flag = 'parse_error'").count() == 5
 
@@ -137,7 +137,7 @@ def test_model_as_scorer(spark, inputs, collect):
     def answer(prompts: pd.Series) -> pd.Series:
         return prompts.map(lambda p: '{"score": %d, "verdict": "GOOD_FIT"}' % (90 if "TCS" in p else 60))
 
-    run = search.run_search(inputs, AS_OF, scorer=search.model_scorer(answer, batch_rows=3), save_stages=False)
+    run = search.run_search(inputs, AS_OF, scorer=search.model_scorer(answer, batch_rows=3))
     assert [(r["company"], r["score"]) for r in run.results.collect()][0] == ("TCS", 90)
     assert run.results.count() == 6 and run.scored.count() == 9
 
