@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 from rankfold.functions.text import strip_space
 from rankfold.schema import text_or_empty
 
-_CLOCK = r"(?:[01]\d|2[0-3])(?::[0-5]\d(?::[0-5]\d(?:[.,]\d+)?)?|[0-5]\d(?:[0-5]\d(?:[.,]\d+)?)?)?"
+_FRACTION = r"(?:[.,](?:\d+|(?=[Z+-])))?"   # a bare point may stand before an offset
+_CLOCK = (
+    rf"(?:[01]\d|2[0-3])(?::[0-5]\d(?::[0-5]\d{_FRACTION})?|[0-5]\d(?:[0-5]\d{_FRACTION})?)?"
+)
 _OFFSET = r"(?:Z|[+-](?:[01]\d|2[0-3])(?::?[0-5]\d(?::?[0-5]\d)?)?)"
 _TIME_PART = rf"(?:.{_CLOCK}{_OFFSET}?)?"
-ISO_STAMP = rf"^\d{{4}}(?:-\d{{2}}-\d{{2}}|\d{{4}}){_TIME_PART}$"
+# a date may also be followed by Z alone
+ISO_STAMP = rf"^\d{{4}}(?:-\d{{2}}-\d{{2}}|\d{{4}})(?:Z|{_TIME_PART})$"
 USUAL_STAMP = (
-    r"^\d{4}-\d{2}-\d{2}(?:.(?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d(?:[.,]\d{1,6})?"
+    r"^\d{4}-\d{2}-\d{2}(?:Z|.(?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d(?:[.,]\d{1,6})?"
     r"(?:Z|[+-](?:0\d|1[0-7]):[0-5]\d)?)?$"
 )
 _OFFSET_AT_END = rf"{_OFFSET}$"   # looked for in the time part only

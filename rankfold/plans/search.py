@@ -25,6 +25,7 @@ from rankfold.operators.rules import score_by_rules
 from rankfold.schema import ORDER_COLUMNS
 from rankfold.session import cut_lineage
 from rankfold.sources import boards, lists
+from rankfold.sources.landed import default_sources
 from rankfold.sources.sinks import output_rows
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -32,7 +33,7 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 @dataclass
 class Inputs:
-    """Landed tables of a run; absent ones contribute nothing."""
+    """Landed tables of a run; absent ones contribute nothing, absent ``sources`` mean the configured ones."""
 
     sources: DataFrame | None = None
     raw_docs: DataFrame | None = None
@@ -66,8 +67,9 @@ BOARD_A_RANK, BOARD_B_RANK, BOARD_C_RANK = 1_000_000, 1_000_001, 1_000_002
 def all_postings(inputs: Inputs, config: SearchConfig = SearchConfig()) -> DataFrame:
     """Union of every given source, its fixed order kept in the order columns."""
     parts: list[DataFrame] = []
-    if inputs.raw_docs is not None and inputs.sources is not None:
-        parts.append(lists.list_postings(inputs.raw_docs, inputs.sources, config.keep_empty_cells))
+    if inputs.raw_docs is not None:
+        sources = inputs.sources if inputs.sources is not None else default_sources(inputs.raw_docs.sparkSession)
+        parts.append(lists.list_postings(inputs.raw_docs, sources, config.keep_empty_cells))
     if inputs.board_a is not None:
         parts.append(boards.board_a_postings(inputs.board_a, BOARD_A_RANK, config))
     if inputs.board_b is not None:

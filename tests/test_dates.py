@@ -1,4 +1,5 @@
 from datetime import datetime, timedelta, timezone
+from itertools import product
 
 import pytest
 
@@ -69,3 +70,24 @@ def test_epoch_ms_agrees_with_python(many):
 
 def test_run_stamp():
     assert dt.run_stamp(datetime(2026, 7, 8, 9, 1, 2)) == "20260708_090102"
+
+
+def test_all_mixes_of_parts_agree_with_python(many):
+    """Every mix of parts, valid or not: a stamp exactly when Python reads one, and the same instant."""
+    days = ["2026-06-30", "20260630", "2024-02-29", "2023-02-29", "2026-6-3", "2026-13-01", "0001-01-01", "2026-0630", "2026"]
+    clocks = ["", "T", "T08", "T08:15", "T0815", "T08:15:30", "T081530", "T08:15:30.5", "T08:15:30,123456", "T08:15:30.1234567",
+              " 23:59:59", "x00:00:00", "T24:00:01", "T08:60", "T08:1530", "T0815:30", "T8:15", "T08:15:30."]
+    offsets = ["", "Z", "+00:00", "-04:00", "+0530", "+14", "-23:59", "+24:00", "+05:30:15", "+5:30", "z", "-00:30", "+18:30"]
+    values = ["".join(parts) for parts in product(days, clocks, offsets)]
+
+    def expected(text):
+        try:
+            stamp = datetime.fromisoformat(text.replace("Z", "+00:00"))
+        except ValueError:
+            return None
+        stamp = stamp if stamp.tzinfo else stamp.replace(tzinfo=timezone.utc)
+        return (stamp - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)
+
+    got = many(dt.iso_micros, values)
+    wrong = [(v, g, expected(v)) for v, g in zip(values, got) if g != expected(v)]
+    assert not wrong, str(wrong)
