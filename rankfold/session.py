@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -40,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):   # local-cluster has executors of its own
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors can reach")
     folder = tempfile.mkdtemp(prefix="rankfold-")
     spark.sparkContext.setCheckpointDir(folder)

@@ -6,9 +6,10 @@ import pytest
 
 import __spark_entry__ as driver
 from compare import connect, difference
+from rankfold.plans.table_queries import all_oracles, all_queries
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = driver.queries(), driver.oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the given tables are not here")
 
