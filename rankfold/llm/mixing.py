@@ -109,8 +109,9 @@ def mix(df: DataFrame, keep: Sequence[str] = ("doc_id",), doc_id: str = "doc_id"
 
     Every document of a source is taken the whole number of times that the target
     allows; the rest of the target is filled by documents that get one copy more.
-    The few that hold over 1/``LARGE`` of the source's words are decided first and
-    the others make up for them, so the words taken come near the target.
+    The few that hold over 1/``LARGE`` of the source's words are decided first, the
+    largest first, and the others, in the order of their keys, make up for what is
+    due then, so the words taken come near the target.
     """
     sized = cut_lineage(df.select(
         F.struct(*[F.col(c) for c in keep]).alias("kept"), F.col(source).alias("source"),
@@ -122,34 +123,47 @@ def mix(df: DataFrame, keep: Sequence[str] = ("doc_id",), doc_id: str = "doc_id"
     rows = sized.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     rows = rows.withColumn("large", F.col("size") * LARGE > F.col("source_size"))
     rows = rows.withColumn("bucket", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
-    extra = F.lit(2.0)
-
-    # at most LARGE documents of a source
-    large = rows.filter("large").select("place", "key", "size", "source_size", "rest")
-    before = Window.partitionBy("place").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    words = F.sum("size").over(Window.partitionBy("place"))
-    large = large.withColumn("words", words).withColumn("ahead", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    line = F.col("rest") * F.col("words") / F.col("source_size")
-    large = large.withColumn("more", (2 * F.col("ahead") + F.col("size")).cast("double") < extra * line)
-    large = large.groupBy("place").agg(
-        F.max("words").alias("large_words"), F.sum(F.when(F.col("more"), F.col("size")).otherwise(0)).alias("large_taken"))
+    rows = rows.withColumn("item", F.concat_ws("-", "key", "size"))
+
+    def decide(done: Column, item: Column) -> Column:
+        due = done["due"] + item["size"] * item["part"]
+        more = (item["part"] > 0) & (due >= item["size"] / 2.0)
+        return F.struct(F.when(more, due - item["size"]).otherwise(due).alias("due"),
+                        F.when(more, F.array_append(done["chosen"], item["item"])).otherwise(done["chosen"]).alias("chosen"),
+                        F.when(more, done["taken"] + item["size"]).otherwise(done["taken"]).alias("taken"))
+
+    part = F.when(F.col("whole") < MOST, F.col("rest") / F.col("source_size")).otherwise(F.lit(0.0))
+    large = rows.filter("large").groupBy("place", "key", "item").agg(
+        F.sum("size").cast("double").alias("size"), F.first(part).alias("part"))
+    # fewer than LARGE items of a source: largest first, each taken if that brings the words taken nearer to the line
+    large = large.groupBy("place").agg(F.array_sort(F.collect_list(
+        F.struct((-F.col("size")).alias("order"), "item", "size", "part"))).alias("items"))
+    start = F.struct(F.lit(0.0).alias("due"), F.array().cast("array<string>").alias("chosen"), F.lit(0.0).alias("taken"))
+    large = large.select("place", F.aggregate("items", start, decide).alias("d")).select(
+        "place", F.col("d.due").alias("due"), F.col("d.chosen").alias("chosen"))
+    due = large.select("place", "due")
+    key_bucket = F.conv(F.substring("item", 1, 3), 16, 10).cast("int")
+    chosen = large.select("place", F.explode("chosen").alias("item"))
+    chosen = chosen.groupBy("place", key_bucket.alias("bucket")).agg(F.collect_set("item").alias("chosen"))
 
     buckets = rows.groupBy("place", "bucket").agg(
         F.sum("size").alias("words"), F.sum(F.when(F.col("large"), F.col("size")).otherwise(0)).alias("of_large"))
     along = Window.partitionBy("place").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.select("place", "bucket", F.coalesce(F.sum("words").over(along), F.lit(0)).alias("b_all"),
-                             F.coalesce(F.sum("of_large").over(along), F.lit(0)).alias("b_large"))
-    buckets = buckets.join(large, "place", "left").na.fill(0, ["large_words", "large_taken"])
+    everything = Window.partitionBy("place")
+    buckets = buckets.select(
+        "place", "bucket", F.coalesce(F.sum("words").over(along), F.lit(0)).alias("b_all"),
+        F.coalesce(F.sum("of_large").over(along), F.lit(0)).alias("b_large"),
+        F.sum(F.col("words") - F.col("of_large")).over(everything).alias("small_words"))
+    buckets = buckets.join(due, "place", "left").join(chosen, ["place", "bucket"], "left")
     within = (Window.partitionBy("place", "bucket").orderBy("key", "size")
               .rowsBetween(Window.unboundedPreceding, -1))
     own_large = F.when(F.col("large"), F.col("size")).otherwise(0)
     rows = rows.join(buckets, ["place", "bucket"])
     rows = rows.withColumn("ahead", F.col("b_all") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    rows = rows.withColumn("l_ahead", F.col("b_large") + F.coalesce(F.sum(own_large).over(within), F.lit(0)))
-    stands = F.when(F.col("large"), F.col("l_ahead")).otherwise(F.col("ahead") - F.col("l_ahead"))
-    line = F.when(F.col("large"), F.col("rest") * F.col("large_words") / F.col("source_size")).otherwise(
-        F.col("rest") - F.col("large_taken"))
-    more = (F.col("whole") < MOST) & ((2 * stands + F.col("size")).cast("double") < extra * line)
+    stands = F.col("ahead") - F.col("b_large") - F.coalesce(F.sum(own_large).over(within), F.lit(0))
+    line = F.col("small_words") * part + F.coalesce(F.col("due"), F.lit(0.0))
+    more = F.when(F.col("large"), F.array_contains("chosen", F.col("item"))).otherwise(
+        (F.col("whole") < MOST) & ((2 * stands + F.col("size")).cast("double") < 2.0 * line))
     rows = rows.withColumn("copies", F.col("whole") + F.coalesce(more, F.lit(False)).cast("int"))
 
     def position(copy: Column) -> Column:
@@ -195,15 +209,29 @@ targets AS (SELECT source, place, class, source_size,
 r AS (SELECT z.doc_id, z.size, z.key, t.*, z.size * {LARGE} > t.source_size AS large,
         CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::INT AS whole
       FROM sized z JOIN targets t ON z.source IS NOT DISTINCT FROM t.source),
-w AS (SELECT *, target - whole * source_size AS rest,
-        coalesce(sum(size) OVER b, 0) AS ahead, coalesce(sum(size) OVER l, 0) AS stands,
-        sum(size) FILTER (large) OVER (PARTITION BY place) AS large_words FROM r
-      WINDOW b AS (PARTITION BY place ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
-             l AS (PARTITION BY place, large ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-v AS (SELECT *, (2 * stands + size)::DOUBLE < 2.0::DOUBLE * (rest * large_words / source_size) AS large_more FROM w),
-u AS (SELECT *, coalesce(sum(size) FILTER (large AND large_more) OVER (PARTITION BY place), 0) AS large_taken FROM v),
-c AS (SELECT *, whole + coalesce(whole < {MOST} AND CASE WHEN large THEN large_more
-        ELSE (2 * stands + size)::DOUBLE < 2.0::DOUBLE * (rest - large_taken) END, false)::INT AS copies FROM u),
+w AS (SELECT *, target - whole * source_size AS rest, CASE WHEN whole < {MOST} THEN (target - whole * source_size) / source_size
+        ELSE 0.0::DOUBLE END AS part_ FROM r),
+items AS (SELECT place, key || '-' || size AS item, sum(size)::DOUBLE AS s, any_value(part_) AS p,
+        row_number() OVER (PARTITION BY place ORDER BY -sum(size), key || '-' || size) AS n
+      FROM w WHERE large GROUP BY place, key || '-' || size),
+walk AS (
+  WITH RECURSIVE step(place, n, due, more) AS (
+    SELECT DISTINCT place, 0::BIGINT, 0.0::DOUBLE, false FROM items
+    UNION ALL
+    SELECT i.place, i.n, CASE WHEN i.p > 0 AND step.due + i.s * i.p >= i.s / 2.0::DOUBLE THEN step.due + i.s * i.p - i.s
+           ELSE step.due + i.s * i.p END, i.p > 0 AND step.due + i.s * i.p >= i.s / 2.0::DOUBLE
+    FROM step JOIN items i ON i.place = step.place AND i.n = step.n + 1)
+  SELECT * FROM step),
+due AS (SELECT place, arg_max(due, n) AS due FROM walk GROUP BY place),
+chosen AS (SELECT i.place, i.item FROM items i JOIN walk ON walk.place = i.place AND walk.n = i.n WHERE walk.more),
+u AS (SELECT w.*, chosen.item IS NOT NULL AS large_more, coalesce(due.due, 0.0::DOUBLE) AS due,
+        coalesce(sum(w.size) FILTER (NOT large) OVER (PARTITION BY w.place), 0) AS small_words,
+        coalesce(sum(w.size) OVER (PARTITION BY w.place ORDER BY key, w.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead,
+        coalesce(sum(w.size) OVER (PARTITION BY w.place, large ORDER BY key, w.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stands
+      FROM w LEFT JOIN due ON due.place = w.place
+        LEFT JOIN chosen ON chosen.place = w.place AND w.large AND chosen.item = w.key || '-' || w.size),
+c AS (SELECT *, whole + coalesce(CASE WHEN large THEN large_more
+        ELSE whole < {MOST} AND (2 * stands + size)::DOUBLE < 2.0::DOUBLE * (small_words * part_ + due) END, false)::INT AS copies FROM u),
 f AS (SELECT *, list_extract([{made}], class + 1) AS own, least((ahead::DOUBLE + size / 2.0::DOUBLE)
         * CASE WHEN whole > 0 THEN 1.0::DOUBLE ELSE rest / source_size END / target, 1.0::DOUBLE) AS part FROM c),
 g AS (SELECT *, list_extract(list_filter(own, lambda s: s.before <= part), -1) AS seg FROM f),
