@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankfold.llm import chat_format, language_id, mixing, sharding, token_counts
+from rankfold.llm import chat_format, language_id, mixing, sharding, spotsigs, token_counts, topk_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(_table(spark, sf_dir, "documents"), 24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -39,6 +43,15 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "margin", "rejected")
 
 
+def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compared = spotsigs.compare_neighbours(_table(spark, sf_dir, "documents"))
+    own, edited, following = F.col("signatures"), F.col("edited_signatures"), F.col("next_signatures")
+    return compared.select(
+        "doc_id", "n_chars", "edited_sha256", spotsigs.fingerprint(own).alias("fingerprint"),
+        spotsigs.fingerprint(edited).alias("edited_fingerprint"),
+        spotsigs.pruned_jaccard(own, edited).alias("near_edited"), spotsigs.pruned_jaccard(own, following).alias("near_next"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(documents, tokenizer_path("byte_bpe_50k.json"))
@@ -50,14 +63,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_topk_search": op1_topk_search,
     "op2_sharding": op2_sharding,
     "op3_source_mixing": op3_source_mixing,
     "op5_language_id": op5_language_id,
+    "op6_spotsigs": op6_spotsigs,
     "op8_token_counts": op8_token_counts,
     "op10_chat_format": op10_chat_format,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_topk_search": topk_search.sql(),
     "op3_source_mixing": mixing.sql(),
+    "op6_spotsigs": spotsigs.sql(),
     "op10_chat_format": chat_format.sql(),
 }
