@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankfold.llm import chat_format, language_id, mixing, sharding, spotsigs, token_counts, topk_search
+from rankfold.llm import chat_format, language_id, mixing, sharding, simhash, spotsigs, token_counts, topk_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_components(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_fingerprint(F.col("f")).alias("fingerprint"), "component_id")
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chats(_table(spark, sf_dir, "conversations"))
 
@@ -69,6 +74,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_spotsigs": op6_spotsigs,
     "op8_token_counts": op8_token_counts,
+    "op9_simhash": op9_simhash,
     "op10_chat_format": op10_chat_format,
 }
 
