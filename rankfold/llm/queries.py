@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankfold.llm import chat_format, language_id, mixing, sharding, simhash, spotsigs, token_counts, topk_search
+from rankfold.llm import chat_format, language_id, mixing, sharding, simhash, spotsigs, suffix_dedup, token_counts, topk_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,11 @@ def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
         spotsigs.pruned_jaccard(own, edited).alias("near_edited"), spotsigs.pruned_jaccard(own, following).alias("near_next"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(documents, tokenizer_path("byte_bpe_50k.json"))
@@ -73,6 +78,7 @@ QUERIES = {
     "op3_source_mixing": op3_source_mixing,
     "op5_language_id": op5_language_id,
     "op6_spotsigs": op6_spotsigs,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_simhash": op9_simhash,
     "op10_chat_format": op10_chat_format,
