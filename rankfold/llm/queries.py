@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankfold.llm import chat_format, language_id, mixing, sharding, simhash, spotsigs, suffix_dedup, token_counts, topk_search
+from rankfold.llm import chat_format, language_id, mixing, sentencepiece_lattice, sharding, simhash, spotsigs, suffix_dedup, token_counts, topk_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,17 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", first)
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocabulary = sentencepiece_lattice.load_vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    codec = sentencepiece_lattice.codec_for(documents, vocabulary)
+    encoded = codec.encode(documents).withColumn("decoded", codec.decode(F.col("ids")))
+    whole = F.coalesce("text", F.lit(""))
+    return encoded.select(
+        "doc_id", F.octet_length(whole).cast("long").alias("n_bytes"), F.size("ids").cast("long").alias("n_pieces"), "ids",
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), (F.col("decoded") == whole).alias("round_trip"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     dictionaries = language_id.fit(documents)
@@ -76,6 +87,7 @@ QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_sharding": op2_sharding,
     "op3_source_mixing": op3_source_mixing,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_language_id": op5_language_id,
     "op6_spotsigs": op6_spotsigs,
     "op7_suffix_dedup": op7_suffix_dedup,
