@@ -42,9 +42,11 @@ def sorted_suffixes(data: np.ndarray, depth: int) -> np.ndarray:
 
 def shared_at_least(data: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """For each suffix in order but the first: does it share ``length`` bytes with the one before?"""
-    n = len(data)
-    transform = data[order - 1]
-    front = np.empty(n, dtype="int64")     # place of the suffix that is longer by the preceding byte
+    n = len(data) + 1
+    # row 0 is the empty suffix; -1 stands before the whole data and sorts below all bytes
+    transform = np.concatenate([data[-1:], data[order - 1]]).astype("int16")
+    transform[1:][order == 0] = -1
+    front = np.empty(n, dtype="int64")     # row of the suffix that is longer by the preceding byte
     front[np.argsort(transform, kind="stable")] = np.arange(n)
     change = np.flatnonzero(transform[1:] != transform[:-1]) + 1
     run_start = np.concatenate([[0], change])
@@ -66,7 +68,7 @@ def shared_at_least(data: np.ndarray, order: np.ndarray, length: int) -> np.ndar
             owner = np.repeat(np.arange(len(low)), count)
             run = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + first[owner]
             left, right = np.maximum(run_start[run], low[owner]), np.minimum(run_end[run], high[owner])
-            key = owner * 256 + run_byte[run]
+            key = owner * 512 + run_byte[run]
             by_byte = np.argsort(key, kind="stable")
             key = key[by_byte]
             heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -79,7 +81,7 @@ def shared_at_least(data: np.ndarray, order: np.ndarray, length: int) -> np.ndar
         if not len(low):
             break
         reached[high] = True
-    return ~reached[1:n]
+    return ~reached[2:n]
 
 
 def repeated_starts(data: np.ndarray, usable: np.ndarray, identity: np.ndarray, length: int) -> np.ndarray:

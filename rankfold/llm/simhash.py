@@ -241,3 +241,19 @@ def near_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
 def hex_fingerprint(f: Column) -> Column:
     return F.lower(F.lpad(F.hex(f), 16, "0"))
+
+
+def keep_first_of_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``df`` that stand for their component: those of its smallest id.
+
+    Of rows that repeat an id, and of components without any id, one row stays.
+    """
+    found = cut_lineage(near_components(df, doc_id, text, shingle))
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("f") == F.col("keeper")))
+    ids = kept.select(F.col("doc_id").alias("_id"), F.col("f").alias("_f")).distinct()
+    same_id = F.col(doc_id).eqNullSafe(F.col("_id"))
+    if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return df.join(ids, same_id, "left_semi")
+    rows = df.withColumn("_print", fingerprint(F.col(text), shingle))
+    rows = rows.join(ids, same_id & (F.col("_print") == F.col("_f")), "left_semi")
+    return rows.dropDuplicates([doc_id, "_print"]).drop("_print")

@@ -111,7 +111,7 @@ def _bucketed(docs: DataFrame, id_column: str, buckets: int) -> DataFrame:
     points = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(docs.approxQuantile(id_column, points, 1 / (4 * buckets)))) if buckets > 1 else []
     number = docs.withColumn("_number", F.col(id_column).cast("double"))
-    ranges = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_number", outputCol="_bucket", handleInvalid="keep")
+    ranges = Bucketizer(splits=[-math.inf, *(cuts or [0.0]), math.inf], inputCol="_number", outputCol="_bucket", handleInvalid="keep")
     found = ranges.transform(number)
     bucket = F.when(F.col(id_column).isNull(), F.lit(-1)).otherwise(F.col("_bucket").cast("int"))
     return found.withColumn("bucket", bucket).drop("_number", "_bucket")
