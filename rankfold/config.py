@@ -6,6 +6,37 @@ from dataclasses import dataclass, field, replace
 
 from rankfold import fixed_values as fv
 
+# Places outside the US besides the ones the rubric names: countries, and cities that
+# job listings give without their country.  Names that are also US states are left out.
+COUNTRIES = (
+    "afghanistan", "albania", "algeria", "argentina", "armenia", "austria", "azerbaijan", "bahrain", "bangladesh", "belarus",
+    "belgium", "bolivia", "bosnia", "botswana", "brazil", "bulgaria", "cambodia", "cameroon", "chile", "china", "colombia",
+    "costa rica", "croatia", "cuba", "cyprus", "czechia", "czech republic", "denmark", "dominican republic", "ecuador", "egypt",
+    "el salvador", "england", "estonia", "ethiopia", "finland", "france", "germany", "ghana", "greece", "guatemala", "honduras",
+    "hong kong", "hungary", "iceland", "indonesia", "iran", "iraq", "ireland", "israel", "italy", "jamaica", "japan", "jordan",
+    "kazakhstan", "kenya", "korea", "kosovo", "kuwait", "latvia", "lithuania", "luxembourg", "malaysia", "malta", "mauritius",
+    "mexico", "moldova", "mongolia", "montenegro", "morocco", "myanmar", "nepal", "netherlands", "new zealand", "nicaragua",
+    "nigeria", "north macedonia", "northern ireland", "norway", "oman", "pakistan", "panama", "paraguay", "peru", "philippines",
+    "poland", "portugal", "qatar", "romania", "russia", "rwanda", "saudi arabia", "scotland", "senegal", "serbia", "singapore",
+    "slovakia", "slovenia", "south africa", "spain", "sri lanka", "sweden", "switzerland", "taiwan", "tanzania", "thailand",
+    "tunisia", "turkey", "uganda", "ukraine", "united arab emirates", "uae", "united kingdom", "uruguay", "uzbekistan",
+    "venezuela", "vietnam", "wales", "zambia", "zimbabwe", "emea", "apac", "latam",
+)
+CITIES = (
+    "amsterdam", "athens", "auckland", "bangkok", "barcelona", "beijing", "bengaluru", "berlin", "bogota", "brisbane", "brussels",
+    "bucharest", "budapest", "buenos aires", "cairo", "cape town", "chennai", "copenhagen", "delhi", "dubai", "dublin", "edinburgh",
+    "frankfurt", "geneva", "gurgaon", "hamburg", "helsinki", "hyderabad", "istanbul", "jakarta", "johannesburg", "karachi", "krakow",
+    "kyiv", "lagos", "lahore", "lisbon", "luxembourg", "madrid", "manila", "melbourne", "milan", "montreal", "moscow", "mumbai",
+    "munich", "nairobi", "osaka", "oslo", "ottawa", "paris", "prague", "pune", "rome", "sao paulo", "seoul", "shanghai", "stockholm",
+    "sydney", "tel aviv", "tokyo", "vancouver", "vienna", "warsaw", "zurich",
+)
+#: A location that names the US, or ends in the code of one of its states, as in "Paris, TX".
+US_LOCATION = (
+    r"(^|[^a-z])(usa?|u\.s\.a?\.?|united states|"
+    r"new mexico)($|[^a-z])|, *(al|ak|az|ar|ca|co|ct|de|fl|ga|hi|id|il|in|ia|ks|ky|la|me|md|ma|mi|mn|ms|mo|mt|ne|nv|nh|nj|nm|ny|"
+    r"nc|nd|oh|ok|or|pa|ri|sc|sd|tn|tx|ut|vt|va|wa|wv|wi|wy|dc)( [0-9]{5})?$"
+)
+
 DISQUALIFY, CAP, POINTS, FLAG = "disqualify", "cap", "points", "flag"
 
 
@@ -17,7 +48,8 @@ class Rule:
     substring, word, exact, regex, required (a sentence holds the keyword and a
     "required" cue but no "nice to have" cue) or absent (none of the keywords).
     ``value`` is the cap of a cap rule or the signed points of a points rule; a
-    word of ``unless`` in the same text cancels the rule.
+    word of ``unless`` in the same text cancels the rule, and so does a match of
+    the regular expression ``unless_pattern``.
     """
 
     rule_id: str
@@ -28,6 +60,7 @@ class Rule:
     value: int = 0
     flag: str = ""
     unless: tuple[str, ...] = ()
+    unless_pattern: str = ""
 
 
 @dataclass(frozen=True)
@@ -49,7 +82,8 @@ def default_rules() -> tuple[Rule, ...]:
     """
     return (
         Rule("clearance", DISQUALIFY, "both", "word", fv.CLEARANCE_PHRASES, flag="clearance required"),
-        Rule("foreign_location", DISQUALIFY, "location", "word", fv.FOREIGN_PLACES, flag="non-US location"),
+        Rule("foreign_location", DISQUALIFY, "location", "word", fv.FOREIGN_PLACES + COUNTRIES + CITIES, flag="non-US location",
+             unless_pattern=US_LOCATION),
         Rule("wrong_role", DISQUALIFY, "title", "substring", fv.WRONG_ROLE_PHRASES, flag="wrong role type"),
         Rule("placement", DISQUALIFY, "description", "substring", fv.PLACEMENT_PHRASES, flag="contract or placement"),
         Rule("no_sponsorship", DISQUALIFY, "both", "substring", fv.NO_SPONSORSHIP_PHRASES, flag="no sponsorship"),
@@ -92,7 +126,11 @@ def default_company_rules() -> tuple[CompanyRule, ...]:
 
 @dataclass(frozen=True)
 class SearchConfig:
-    """All settings of one run; the defaults reproduce the published behaviour."""
+    """All settings of one run.
+
+    The defaults process every row and whole descriptions; ``published_limits``
+    adds the published limits of a run.
+    """
 
     seniority_words: tuple[str, ...] = fv.SENIORITY_WORDS
     other_role_words: tuple[str, ...] = fv.OTHER_ROLE_WORDS
@@ -100,9 +138,9 @@ class SearchConfig:
     signal_words: tuple[str, ...] = fv.SIGNAL_WORDS
     target_companies: tuple[str, ...] = fv.TARGET_COMPANIES
     min_score: int = fv.MIN_SCORE
-    max_jobs: int | None = fv.MAX_JOBS          # None: rank everything
+    max_jobs: int | None = None                 # None: rank everything
     stale_days: int = fv.STALE_DAYS
-    description_chars: int | None = fv.DESCRIPTION_CHARS   # None: whole texts
+    description_chars: int | None = None        # None: whole texts
     thin_page_chars: int = fv.THIN_PAGE_CHARS
     shell_markers: tuple[str, ...] = fv.SHELL_MARKERS
     empty_url: str = "collapse"                 # or "keep_all"
@@ -117,7 +155,7 @@ class SearchConfig:
     screen_cap: int = 40
     technology_limit: int = 20
     technologies: tuple[str, ...] = (
-        "java", "python", "go", "rust", "ruby", "php", "scala", "kotlin", "swift", "perl",
+        "java", "python", "golang", "rust", "ruby", "php", "scala", "kotlin", "swift", "perl",
         "javascript", "typescript", "react", "angular", "vue", "svelte", "node", "django",
         "flask", "spring", "rails", "laravel", "docker", "kubernetes", "terraform", "ansible",
         "jenkins", "kafka", "spark", "hadoop", "redis", "mongodb", "cassandra", "mysql",
@@ -126,12 +164,16 @@ class SearchConfig:
     engineering_title_words: tuple[str, ...] = ("software engineer", "software developer")
     office_skill_words: tuple[str, ...] = ("customer service", "ms office")
     wanted_languages: tuple[str, ...] = ("c#", ".net")
-    rival_languages: tuple[str, ...] = ("java", "python", "go", "typescript")
+    rival_languages: tuple[str, ...] = ("java", "python", "golang", "typescript")
     cosmetic_points: int = -20
     sponsor_points: int = 5
     small_company_points: int = -5
     required_cues: tuple[str, ...] = ("required", "must have", "core", "strong experience")
     optional_cues: tuple[str, ...] = ("nice to have", "a plus", "preferred", "bonus")
 
+    def published_limits(self) -> "SearchConfig":
+        """These settings with the published number of rows and length of descriptions."""
+        return self.with_(max_jobs=fv.MAX_JOBS, description_chars=fv.DESCRIPTION_CHARS)
+
     def with_(self, **changes) -> "SearchConfig":
         return replace(self, **changes)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from html.entities import html5
@@ -19,6 +20,7 @@ VOID_ELEMENTS = frozenset(
     "area base basefont bgsound br col command embed frame hr image img input isindex keygen "
     "link menuitem meta nextid param source spacer track wbr".split()
 )
+# Both lists are fixed values: they follow the conventions of HTML parsers.
 # Text inside these is not part of an element's visible text.
 TEXTLESS_ELEMENTS = frozenset("script style template rt rp".split())
 
@@ -33,14 +35,30 @@ class _Walker(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=False)
         self.open: list[str] = []
+        self.failed = False
+        self._opened: Counter[str] = Counter()
+        self._closed_void: Counter[str] = Counter()
         self._pending: list[str] = []
-        self._closed_void: list[str] = []
 
     def walk(self, markup: str) -> None:
-        self.feed(markup)
-        self.close()
+        """Walks all of the markup; where the parser gives up, what came so far counts."""
+        try:
+            self.feed(markup)
+            self.close()
+        except (AssertionError, ValueError, IndexError):
+            self.failed = True
         self.flush()
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        # only CDATA is known in pages; others are comments that end at the next '>'
+        if self.rawdata.startswith("<![CDATA[", i):
+            return super().parse_marked_section(i, report)
+        end = self.rawdata.find(">", i)
+        if end < 0:
+            return -1
+        self.handle_comment(self.rawdata[i + 2:end])
+        return end + 1
+
     # hooks
     def on_text(self, text: str) -> None: ...
 
@@ -72,9 +90,10 @@ class _Walker(HTMLParser):
         self.on_start(tag, attrs)
         if tag in VOID_ELEMENTS:
             self.on_end(tag)
-            self._closed_void.append(tag)
+            self._closed_void[tag] += 1
         else:
             self.open.append(tag)
+            self._opened[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.flush()
@@ -82,13 +101,14 @@ class _Walker(HTMLParser):
         self.on_end(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in self._closed_void:
-            self._closed_void.remove(tag)
+        if self._closed_void[tag]:
+            self._closed_void[tag] -= 1
             return
         self.flush()
-        if tag in self.open:
+        if self._opened[tag]:
             while True:
                 closed = self.open.pop()
+                self._opened[closed] -= 1
                 self.on_end(closed)
                 if closed == tag:
                     return

@@ -14,8 +14,6 @@ from rankfold.functions.html import html_to_text
 from rankfold.schema import each_item
 from rankfold.session import cut_lineage
 
-LITERAL_KEYWORDS = 256
-
 
 def target_flag(company: Column, targets: Sequence[str] = fv.TARGET_COMPANIES) -> Column:
     """True for a target company: lower-cased, not stripped, exact."""
@@ -25,44 +23,43 @@ def target_flag(company: Column, targets: Sequence[str] = fv.TARGET_COMPANIES) -
 def flag_members(df: DataFrame, column: str, members: DataFrame, member: str, name: str = "is_member") -> DataFrame:
     """Membership in a table of any size, as a flag.
 
-    Members are made distinct first, so rows never multiply; without a hint the
-    join is broadcast only when the measured size allows, and a hot key of a
-    shuffled join is split at run time.
+    Members are made distinct first, so rows never multiply, and saved: their
+    size decides about broadcasting, and a shuffled join has an exchange of its
+    own on either side, so that a hot key can be split at run time.
     """
-    keys = members.select(F.lower(member).alias("_member")).distinct().withColumn("_hit", F.lit(True))
+    keys = cut_lineage(members.select(F.lower(member).alias("_member")).distinct().withColumn("_hit", F.lit(True)))
     joined = df.join(keys, F.lower(F.col(column)) == F.col("_member"), "left")
     return joined.withColumn(name, F.coalesce("_hit", F.lit(False))).drop("_member", "_hit")
 
 
-def keyword_semi_join(texts: DataFrame, text: str, keys: Sequence[str], keywords: DataFrame, keyword: str,
-                      literal_limit: int = LITERAL_KEYWORDS) -> DataFrame:
-    """Rows whose lower-cased text contains any keyword of a table.
+def keyword_semi_join(texts: DataFrame, text: str, keywords: DataFrame, keyword: str) -> DataFrame:
+    """Rows whose lower-cased text contains any keyword of a table of any size.
 
-    A short table (checked, at most ``literal_limit`` rows) becomes a literal
-    predicate inside the scan stage: no join.  A longer one is joined on
-    equality: each text gives its distinct substrings of the lengths keywords
-    have, and those meet the keywords in a left semi join, so no keyword is
-    paired with a text that lacks it.  ``keys`` identify a row of ``texts``.
-    The distinct keywords are saved first: they are read twice, and their saved
-    size tells Spark whether broadcasting them is cheap.
+    Every distinct text gives its distinct substrings of the length of the
+    shortest keyword; those meet the beginnings of the keywords by equality, and
+    the few candidates are verified.  So no keyword is paired with a text that
+    lacks its beginning.  Texts are known by two hashes: rows need no key, and
+    rows with equal texts share their outcome.
     """
     wanted = cut_lineage(keywords.select(F.lower(keyword).alias("_word")).filter("_word <> ''").distinct())
-    size = wanted.agg(F.count("*").alias("n"), F.collect_set(F.char_length("_word")).alias("lengths")).head()
-    if size["n"] <= literal_limit:
-        words = sorted(row["_word"] for row in wanted.collect())
-        return texts.filter(tx.contains_any(F.lower(text), words))
-    lengths = size["lengths"]
-    lowered = texts.select(*keys, F.lower(text).alias("_text"))
-    sized = lowered.select(
-        *keys, "_text", F.explode(F.array(*[F.lit(n) for n in sorted(lengths)])).alias("_size")
-    ).filter(F.char_length("_text") >= F.col("_size"))
-    substrings = F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.char_length("_text") - F.col("_size") + 1),
-        lambda start: F.substring(F.col("_text"), start, F.col("_size")),
-    ))
-    pieces = each_item(sized, keys, substrings, "_nth", "_word")
-    hits = pieces.join(wanted, "_word", "left_semi").select(*keys).distinct()
-    return texts.join(hits, list(keys), "left_semi")
+    shortest = wanted.agg(F.min(F.char_length("_word"))).first()[0]
+    if shortest is None:
+        return texts.limit(0)
+    lowered = F.lower(F.col(text))
+    hashes = {"_h1": F.xxhash64(lowered), "_h2": F.hash(lowered)}
+    distinct = texts.select(lowered.alias("_text"), *[h.alias(n) for n, h in hashes.items()]).dropDuplicates(["_h1", "_h2"])
+    begun = F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.char_length("_text") - shortest + 1),
+        lambda start: F.substring(F.col("_text"), start, F.lit(shortest))))
+    long_enough = distinct.filter(F.char_length("_text") >= shortest)
+    pieces = each_item(long_enough, ["_h1", "_h2"], begun, "_nth", "_begin")
+    words = wanted.withColumn("_begin", F.substring("_word", 1, shortest))
+    met = pieces.join(words, "_begin").select("_h1", "_h2", "_word")
+    whole = F.char_length("_word") == shortest
+    sure = met.filter(whole).select("_h1", "_h2")
+    verified = met.filter(~whole).join(distinct, ["_h1", "_h2"]).filter(F.contains("_text", "_word")).select("_h1", "_h2")
+    hits = sure.union(verified).distinct()
+    return texts.withColumns(hashes).join(hits, ["_h1", "_h2"], "left_semi").drop("_h1", "_h2")
 
 
 def residual(df: DataFrame, column: str, listed: DataFrame, listed_column: str) -> DataFrame:
@@ -84,13 +81,13 @@ def page_text(pages: DataFrame, config: SearchConfig = SearchConfig()) -> DataFr
 
 
 def fill_descriptions(postings: DataFrame, pages: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
-    """Fill empty descriptions from landed pages by link.
+    """Fill empty or null descriptions from landed pages by link.
 
     Rows that have one skip the join.  Pages are reduced to the wanted links
     before anything is parsed, and to one page per link so rows never multiply.
     A link without a usable page keeps ''.
     """
-    has_text = F.col("description") != ""
+    has_text = F.coalesce(F.col("description"), F.lit("")) != ""
     filled = postings.filter(has_text)
     missing = postings.filter(~has_text)
     wanted = missing.filter(F.col("url") != "").select("url").distinct()

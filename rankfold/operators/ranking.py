@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankfold.schema import ORDER_COLUMNS
-
-BROADCAST_ROWS = 100_000   # three numbers per row: at most a few MB
+from rankfold.session import cut_lineage
 
 
 def keep_first(df: DataFrame, key: str = "url", order: Sequence[str] = ORDER_COLUMNS,
@@ -18,11 +17,11 @@ def keep_first(df: DataFrame, key: str = "url", order: Sequence[str] = ORDER_COL
 
     ``row_number() = 1`` gets a map-side group limit, so every task sends at
     most one row per key to the shuffle and a hot key (all rows without a link
-    share '') stays cheap.  ``empty='keep_all'`` leaves rows with an empty key.
+    share '') stays cheap.  ``empty='keep_all'`` leaves rows with an empty or null key.
     """
     if empty == "keep_all":
-        kept = df.filter(F.col(key) == "")
-        return keep_first(df.filter(F.col(key) != ""), key, order).unionByName(kept)
+        blank = F.coalesce(F.col(key), F.lit("")) == ""
+        return keep_first(df.filter(~blank), key, order).unionByName(df.filter(blank))
     window = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("_nth", F.row_number().over(window)).filter("_nth = 1").drop("_nth")
 
@@ -32,31 +31,43 @@ def cap_by_priority(df: DataFrame, first: Column, limit: int | None,
     """Rows with ``first`` true lead, otherwise in order; keep ``limit`` of them.
 
     Adds ``priority`` (0 leads).  Only the key columns go through the top-k; the
-    chosen keys then pick the full rows (broadcast when ``limit`` bounds them to
-    a small size).  So no task ever gathers ``limit`` wide rows from every other.
+    chosen keys then pick the full rows, by whatever join their number allows.
+    So no task ever gathers ``limit`` wide rows from every other; the keys of a
+    very large ``limit`` still pass one task, so rank without one instead.
     """
     ranked = df.withColumn("priority", F.when(first, 0).otherwise(1))
     if limit is None:
         return ranked
     keys = ranked.select("priority", *order).orderBy("priority", *order).limit(limit).select(*order)
-    if limit <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
     return ranked.join(keys, list(order), "left_semi")
 
 
-def rank_rows(df: DataFrame, by: Sequence[Column | str], limit: int, name: str = "rank") -> DataFrame:
-    """The top ``limit`` rows with their rank as a column.
+def rank_rows(df: DataFrame, by: Sequence[Column | str], limit: int | None = None, name: str = "rank") -> DataFrame:
+    """The rows with their rank as a column; only the top ``limit`` if given.
 
-    A rank over all rows would need one task to see every row, so it exists for
-    a bounded report only; an unbounded ranking is ``orderBy`` (a range sort).
+    The rows are range-sorted and saved with their place in their partition;
+    the counts of the partitions, one row each, give every partition its offset.
+    No task sees more than a partition.
     """
-    top = df.orderBy(*by).limit(limit)
-    return top.withColumn(name, F.row_number().over(Window.orderBy(*by)))
-
-
-def lowest_ok_host(host_probes: DataFrame) -> DataFrame:
-    """Per tenant the lowest host number that resolved; tenants without one vanish."""
-    return host_probes.filter("ok").groupBy("tenant").agg(F.min("n").alias("host_no"))
+    ordered = df.orderBy(*by)
+    if limit is not None:
+        return ordered.limit(limit).withColumn(name, F.row_number().over(Window.orderBy(*by)))
+    # the id holds the partition in its high bits and the place in it in the low 33 bits
+    placed = cut_lineage(ordered.withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy(part).agg(F.count("*").alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")   # one row per partition
+    return ranked.withColumn(name, (F.col("_before") + place + 1).cast("int")).select(*df.columns, name)
+
+
+def lowest_ok_host(host_probes: DataFrame, hosts: tuple[int, int] = (1, 5)) -> DataFrame:
+    """Per tenant the lowest host number that resolved, of the numbers first to last of ``hosts``.
+
+    Tenants without one vanish.
+    """
+    return host_probes.filter(F.col("ok") & F.col("n").between(*hosts)).groupBy("tenant").agg(F.min("n").alias("host_no"))
 
 
 def first_success(tries: DataFrame, keys: Sequence[str], position: str, success: Column,

@@ -97,7 +97,7 @@ def unconfirmed(outcome: DataFrame) -> DataFrame:
 
 def discover(candidates: DataFrame, probes: DataFrame, ats: str = fv.BOARD_A) -> DataFrame:
     """company, company_pos, slug, jobs, url: the first working candidate, else nulls."""
-    tries = candidates.select("company", "company_pos", F.posexplode("slugs").alias("pos", "slug"))
+    tries = candidates.select("company", "company_pos", F.posexplode_outer("slugs").alias("pos", "slug"))
     working = probe_counts(probes.filter(F.col("ats") == ats)).filter("jobs IS NOT NULL").drop("ats")
     best = first_success(tries.join(working, "slug", "left"), ("company", "company_pos"), "pos",
                          F.col("jobs").isNotNull(), ("slug", "jobs"))
@@ -127,10 +127,10 @@ def discovered_registry(found: DataFrame, ats: str = fv.BOARD_A) -> DataFrame:
 
 
 def error_text(company: Column, slug: Column, error: Column) -> Column:
-    """Report text of a failed probe: long messages are shortened to 50 characters."""
+    """Report text of a failed probe, the message whole but for timeouts."""
     lowered = F.lower(error)
     timed_out = lowered.contains("timeout") | lowered.contains("timed out")
-    shown = F.when(timed_out, "timeout").otherwise(F.substring(error, 1, 50))
+    shown = F.when(timed_out, "timeout").otherwise(error)
     return F.concat(company, F.lit(" ("), slug, F.lit("): "), shown)
 
 

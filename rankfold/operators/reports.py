@@ -34,18 +34,19 @@ def bucket_number(score: Column, buckets: Sequence[tuple] = fv.SCORE_BUCKETS) ->
 
 
 def score_histogram(df: DataFrame, score: str = "score", buckets: Sequence[tuple] = fv.SCORE_BUCKETS,
-                    bar_limit: int | None = None) -> DataFrame:
+                    rows_per_block: int = 1) -> DataFrame:
     """bucket, label, cnt, line for every bucket, also empty ones.
 
     Scores are counted first (a handful of rows), then laid beside the fixed
-    buckets.  ``bar_limit`` shortens bars of uncapped runs.
+    buckets.  A block of a bar stands for ``rows_per_block`` rows,
+    begun ones included.
     """
     counts = df.groupBy(bucket_number(F.col(score), buckets).alias("bucket")).agg(F.count("*").alias("cnt"))
     frame = local_table(df.sparkSession, [(n, label) for n, label, _ in buckets], "bucket INT, label STRING")
     joined = frame.join(F.broadcast(counts), "bucket", "left").select(   # at most one row per bucket
         "bucket", "label", F.coalesce("cnt", F.lit(0)).cast("bigint").alias("cnt")
     )
-    length = F.col("cnt") if bar_limit is None else F.least("cnt", F.lit(bar_limit))
+    length = F.ceil(F.col("cnt") / rows_per_block)
     # padding never cuts: a count wider than its column pushes the bar right
     number = F.col("cnt").cast("string")
     padded = F.lpad(number, F.greatest(F.char_length(number), F.lit(COUNT_WIDTH)), F.lit(" "))

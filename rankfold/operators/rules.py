@@ -20,15 +20,18 @@ from rankfold.config import CompanyRule, Rule, SearchConfig
 from rankfold.functions import text as tx
 from rankfold.schema import text_or_empty
 
-MONEY_PATTERN = r"\$ ?([0-9][0-9,]*)"
-SENTENCE_END = r"[.!?;\n]+"
+MONEY_PATTERN = r"\$ ?[0-9][0-9,]*(?:\.[0-9]+)?(?:[km]\b)?"
+# a dot ends a sentence only before a blank or the end: not in ".net", "node.js" or "v1.5"
+SENTENCE_END = r"[!?;\n]+|\.+(?=\s|$)"
+# "Go" is a language beside commas, slashes, brackets or in a list; elsewhere it is a verb
+GO_IN_LIST = r"(?<=[,/(] ?|\bor |\band |\bin |\bwith )Go\b(?= ?[,/)]|\.?(?:\s*$|\s+[A-Z])| or\b| and\b| developer| engineer)"
 
 
 def with_rule_text(df: DataFrame) -> DataFrame:
     """Lower-cased text columns, computed once and shared by all rules."""
     lowered = df.withColumns({
         "_title": F.lower(text_or_empty(F.col("role"))),
-        "_body": F.lower(text_or_empty(F.col("description"))),
+        "_body": F.lower(F.regexp_replace(text_or_empty(F.col("description")), GO_IN_LIST, "golang")),
         "_place": F.lower(tx.strip_space(text_or_empty(F.col("location")))),
         "_firm": F.lower(text_or_empty(F.col("company"))),
     })
@@ -60,6 +63,8 @@ def rule_hit(rule: Rule, config: SearchConfig) -> Column:
         hit = tx.matches_any(column, rule.keywords, rule.match)
     if rule.unless:
         hit = hit & ~tx.contains_any(column, rule.unless)
+    if rule.unless_pattern:
+        hit = hit & ~F.rlike(column, F.lit(rule.unless_pattern))
     return hit
 
 
@@ -82,13 +87,13 @@ def disqualifier(config: SearchConfig) -> Column:
 
 def salary_outlier(body: Column, limit: int) -> Column:
     """Some dollar amount in the text is above ``limit``."""
-    amounts = F.regexp_extract_all(body, F.lit(MONEY_PATTERN), F.lit(1))
-    digits = lambda a: F.regexp_replace(a, ",", "")
-    return F.contains(body, F.lit("$")) & F.exists(
-        amounts,
-        lambda a: (F.char_length(digits(a)) > 15)
-        | (F.coalesce(F.try_to_number(F.substring(digits(a), 1, 15), F.lit("9" * 15)), F.lit(0)) > limit),
-    )
+    amounts = F.regexp_extract_all(body, F.lit(MONEY_PATTERN), F.lit(0))
+
+    def dollars(amount: Column) -> Column:
+        number = F.regexp_replace(amount, "[^0-9.]", "").cast("double")
+        return number * F.when(amount.endswith("k"), 1e3).when(amount.endswith("m"), 1e6).otherwise(1.0)
+
+    return F.contains(body, F.lit("$")) & F.exists(amounts, lambda a: dollars(a) > limit)
 
 
 def technologies_named(body: Column, technologies: Sequence[str]) -> Column:

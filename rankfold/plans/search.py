@@ -12,13 +12,13 @@ from datetime import datetime
 from functools import partial
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankfold import fixed_values as fv
 from rankfold.config import SearchConfig
 from rankfold.functions.dates import posted_today
-from rankfold.functions.replies import scoring_prompt, with_reply
+from rankfold.functions.replies import fill_profile, scoring_prompt, with_reply
 from rankfold.functions.text import has_signal
 from rankfold.operators import exclusions, matching, ranking, reports
 from rankfold.operators.rules import score_by_rules
@@ -56,7 +56,8 @@ class Stages:
     capped: DataFrame        # the rows to process, descriptions filled
     scored: DataFrame        # every capped row with score, verdict, flag, reason
     results: DataFrame       # rows through the gate, in rank order
-    source_counts: DataFrame
+    source_counts: DataFrame # rows found per source, before keep-first
+    run_counts: DataFrame    # one row: found, unique, recent, with signal, to process
     histogram: DataFrame
 
 
@@ -116,6 +117,17 @@ def score_rows(capped: DataFrame, as_of: datetime, config: SearchConfig, scorer:
     )
 
 
+def run_counts(postings: DataFrame, unique: DataFrame, recent: DataFrame, config: SearchConfig) -> DataFrame:
+    """One row: n_found, n_unique, n_recent (after the today filter), n_signal of these, n_to_process."""
+    found = reports.total_counts(postings).withColumnRenamed("n_rows", "n_found")
+    kept = reports.total_counts(unique).withColumnRenamed("n_rows", "n_unique")
+    last = reports.total_counts(recent, n_signal=F.col("has_signal")).withColumnRenamed("n_rows", "n_recent")
+    limit = F.col("n_recent") if config.max_jobs is None else F.least("n_recent", F.lit(config.max_jobs).cast("bigint"))
+    frames = [df.withColumn("_one", F.lit(1)) for df in (found, kept, last)]   # one row each
+    joined = frames[0].join(frames[1], "_one").join(frames[2], "_one").drop("_one")
+    return joined.withColumn("n_to_process", limit)
+
+
 def gated(scored: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
     return scored.filter(exclusions.passes_gate(F.col("score"), F.col("verdict"), config.min_score))
 
@@ -144,10 +156,9 @@ def run_search(inputs: Inputs, as_of: datetime, config: SearchConfig = SearchCon
     return Stages(
         postings=postings, unique=unique, recent=recent, capped=capped, scored=scored,
         results=gated(scored, config).orderBy(*rank_order()),
-        source_counts=reports.stage_counts(unique, "source", n_signal=F.col("has_signal")),
-        histogram=reports.score_histogram(
-            scored, bar_limit=None if config.max_jobs is not None else 200
-        ),
+        source_counts=reports.stage_counts(postings, "source"),
+        run_counts=run_counts(postings, unique, recent, config),
+        histogram=reports.score_histogram(scored),
     )
 
 
@@ -158,36 +169,43 @@ def output_table(stages: Stages) -> DataFrame:
 def reply_scorer(replies: DataFrame) -> Scorer:
     """A scorer from landed model replies (url, reply); rows without one are errors."""
     def score(rows: DataFrame) -> DataFrame:
-        # one reply per link; the empty link has none, so it never becomes a hot key
-        one_each = replies.filter(F.col("url") != "").groupBy("url").agg(F.min("reply").alias("reply"))
-        joined = with_reply(rows.join(one_each, "url", "left"), F.col("reply"), "_r")
+        # one reply per link, saved: with an exchange on either side a hot link can be split.
+        # Rows without a link have no reply and pass the join by.
+        one_each = cut_lineage(replies.filter(F.col("url") != "").groupBy("url").agg(F.min("reply").alias("reply")))
+        linked = F.coalesce(F.col("url"), F.lit("")) != ""
+        answered = rows.filter(linked).join(one_each, "url", "left").select(*rows.columns, "reply")
+        others = rows.filter(~linked).withColumn("reply", F.lit(None).cast("string"))
+        joined = with_reply(answered.unionByName(others), F.col("reply"), "_r")
         return joined.select(*rows.columns, "_r.score", "_r.verdict", "_r.flag", "_r.reason")
 
     return score
 
 
-def model_scorer(answer: Callable[[pd.Series], pd.Series], batch_rows: int | None = None) -> Scorer:
+def model_prompt(rows: DataFrame, rubric: str = "", profile: str = "") -> Column:
+    """What a model is asked about a row: the rubric with the profile filled in, then the posting."""
+    posting = scoring_prompt(F.col("role"), F.col("company"), F.col("location"), F.col("description"))
+    return F.concat(fill_profile(F.lit(rubric + "\n\n"), profile), posting) if rubric else posting
+
+
+def model_scorer(answer: Callable[[pd.Series], pd.Series], rubric: str = "", profile: str = "",
+                 partitions: int | None = None) -> Scorer:
     """A scorer that asks a caller's model: ``answer`` maps prompts to reply texts.
 
     It runs inside tasks on Arrow batches, once per row that needs scoring; what
     it raises fails the task, what it returns is parsed like any reply.
-    ``batch_rows`` spreads the rows into partitions of about that many.
+    ``partitions`` spreads the rows before they are asked about.
     """
     ask = F.pandas_udf(answer, "string").asNondeterministic()
 
     def score(rows: DataFrame) -> DataFrame:
-        if batch_rows is not None:
-            rows = rows.repartition(max(1, -(-rows.count() // batch_rows)))
-        asked = rows.withColumn("_reply", ask(scoring_prompt(
-            F.col("role"), F.col("company"), F.col("location"), F.col("description"))))
+        spread = rows if partitions is None else rows.repartition(partitions)
+        asked = spread.withColumn("_reply", ask(model_prompt(spread, rubric, profile)))
         joined = with_reply(asked, F.col("_reply"), "_r")
         return joined.select(*rows.columns, "_r.score", "_r.verdict", "_r.flag", "_r.reason")
 
     return score
 
 
-def prompts(rows: DataFrame) -> DataFrame:
+def prompts(rows: DataFrame, rubric: str = "", profile: str = "") -> DataFrame:
     """url, prompt: what to send to a model for the rows that need scoring."""
-    return rows.select("url", scoring_prompt(
-        F.col("role"), F.col("company"), F.col("location"), F.col("description")
-    ).alias("prompt"))
+    return rows.select("url", model_prompt(rows, rubric, profile).alias("prompt"))

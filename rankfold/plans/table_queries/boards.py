@@ -11,7 +11,6 @@ from rankfold.sources import boards
 
 CONFIG = SearchConfig(
     seniority_words=("old",), other_role_words=("red",), wanted_role_words=("gear", "bolt", "rod"),
-    description_chars=None,
 )
 _PASSES = """NOT contains(p_name, 'old') AND NOT contains(p_name, 'red')
     AND (contains(p_name, 'gear') OR contains(p_name, 'bolt') OR contains(p_name, 'rod'))"""

@@ -170,7 +170,7 @@ ORACLES = {
         WITH texts AS (SELECT page_id, {sql_visible_text('html')} AS body FROM pages),
         filled AS (
             SELECT doc_id, CASE WHEN n_chars > {LONG_TEXT} AND text <> '' THEN text
-                                ELSE substr(coalesce(body, ''), 1, 8000) END AS description
+                                ELSE coalesce(body, '') END AS description
             FROM documents LEFT JOIN texts ON page_id = doc_id)
         SELECT doc_id, CAST(length(description) AS INTEGER) AS n_chars, md5(description) AS digest FROM filled""",
     "stage_counts": f"""

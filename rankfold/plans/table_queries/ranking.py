@@ -16,8 +16,8 @@ BAR = 50
 
 
 def dedup_keep_first(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
-    return rk.keep_first(docs, "text", ["doc_id"]).select("doc_id", "source")
+    docs = table(spark, sf, "documents").select("doc_id", "source", F.sha2("text", 256).alias("digest"))
+    return rk.keep_first(docs, "digest", ["doc_id"]).select("doc_id", "source")
 
 
 def dedup_hot_key(spark, sf):
@@ -52,7 +52,7 @@ def lowest_ok_host(spark, sf):
 
 def score_histogram(spark, sf):
     scored = table(spark, sf, "part").select((F.col("p_size") * 20 - 40).alias("score"))
-    return reports.score_histogram(scored, bar_limit=BAR)
+    return reports.score_histogram(scored, rows_per_block=BAR)
 
 
 def csv_sink_roundtrip(spark, sf):
@@ -96,7 +96,7 @@ ORACLES = {
         SELECT l_orderkey, CASE WHEN l_linenumber = 1 THEN 'ok' WHEN l_linenumber > 1 THEN 'fixed' ELSE 'failed' END AS status,
                l_linenumber, l_partkey FROM b""",
     "lowest_ok_host": """
-        SELECT l_orderkey AS tenant, min(l_linenumber) AS host_no FROM lineitem WHERE l_linestatus = 'O' GROUP BY l_orderkey""",
+        SELECT l_orderkey AS tenant, min(l_linenumber) AS host_no FROM lineitem WHERE l_linestatus = 'O' AND l_linenumber BETWEEN 1 AND 5 GROUP BY l_orderkey""",
     "score_histogram": f"""
         WITH s AS (SELECT p_size * 20 - 40 AS score FROM part),
         b(bucket, label, lo, hi) AS (VALUES (0, '0 (error/excluded)', 0, 0), (1, '1–30', -1000000, 30), (2, '31–40', 31, 40),
@@ -105,7 +105,7 @@ ORACLES = {
               ON score BETWEEN lo AND hi AND (bucket = 0) = (score = 0) GROUP BY bucket, label)
         SELECT bucket, label, cnt,
                rpad(label, 22, ' ') || ': ' || CASE WHEN length(cnt::VARCHAR) >= 3 THEN cnt::VARCHAR ELSE lpad(cnt::VARCHAR, 3, ' ') END
-               || '  ' || repeat('█', least(cnt, {BAR})) AS line
+               || '  ' || repeat('█', CAST(ceil(cnt / {BAR}) AS BIGINT)) AS line
         FROM c""",
     "csv_sink_roundtrip": """
         SELECT c_custkey, '"' || c_name || '", ' || c_mktsegment AS quoted,

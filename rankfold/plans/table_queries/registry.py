@@ -179,7 +179,7 @@ _FOUND = """
 _ERRORS = f"""
     SELECT company_pos, CAST(l_linenumber - 1 AS INTEGER) AS pos,
            l_returnflag = 'N' AND (l_quantity > 25 OR l_discount > 0.05) AS raised, l_quantity > 25 AS big, l_orderkey,
-           l_linenumber, l_returnflag
+           l_linenumber, l_partkey, l_returnflag
     FROM ({_FOUND}) JOIN lineitem ON l_orderkey = company_pos
     WHERE (line IS NULL OR l_linenumber < line) AND l_returnflag <> 'A'"""
 
@@ -238,7 +238,7 @@ ORACLES = {
     "probe_errors": f"""
         SELECT company_pos, pos, CASE WHEN raised THEN 'error' ELSE 'status' END AS kind,
                'order ' || company_pos || ' (o' || company_pos || '-' || l_linenumber || '): ' ||
-               CASE WHEN raised AND big THEN left('connection to the board was reset by peer while reading part', 50)
+               CASE WHEN raised AND big THEN 'connection to the board was reset by peer while reading part ' || l_partkey
                     WHEN raised THEN 'timeout' WHEN l_returnflag = 'R' THEN 'HTTP 429' ELSE 'HTTP 500' END AS message
         FROM ({_ERRORS})""",
     "discovery_totals": f"""

@@ -22,7 +22,7 @@ WANTED, RIVALS = ("ertion", "ering"), ("attion", "oning")
 CUES, OPTIONAL = ("the", "of"), ("nd", "queque")
 
 CONFIG = SearchConfig(
-    signal_words=SIGNAL, target_companies=("en", "fr"), description_chars=None,
+    signal_words=SIGNAL, target_companies=("en", "fr"),
     rules=(
         Rule("insult", cf.DISQUALIFY, "both", "word", ("idiot", "trash"), flag="insult"),
         Rule("place", cf.DISQUALIFY, "location", "word", ("src3", "src4"), flag="place"),
@@ -127,7 +127,7 @@ def run_histogram(spark, sf):
 def rank_gate_topk(spark, sf):
     """The whole run: the rows that pass the gate, with their rank."""
     passed = search.gated(_scored(spark, sf), CONFIG)
-    ranked = rk.rank_rows(passed, search.rank_order(), CONFIG.max_jobs)
+    ranked = rk.rank_rows(passed, search.rank_order())
     return ranked.select("rank", "score", "verdict", "flag", "target", "company", "role", "source", "item_pos", "reason")
 
 
@@ -157,7 +157,8 @@ QUERIES = {
 
 def _facts(rows: str) -> str:
     """SQL facts per row of ``rows`` (id, lang, source, body in lower case)."""
-    sentences = r"regexp_split_to_array(body, '[.!?;\n]+')"
+    # no lookahead here: a dot before a blank or the end becomes a line end first
+    sentences = r"regexp_split_to_array(regexp_replace(body, '\.+(\s|$)', chr(10) || '\1', 'g'), '[!?;\n]+')"
 
     def some(test: str) -> str:
         return f"len(list_filter({sentences}, lambda s: {test})) > 0"
@@ -172,8 +173,9 @@ def _facts(rows: str) -> str:
                  WHEN {sql_has_word('lower(place)', ('src3', 'src4'))} THEN 'place'
                  WHEN lower(source) = 'src5' THEN 'title' ELSE '' END AS rule_id,
             lower(place) = 'src6' AS noted,
-            len(list_filter(regexp_extract_all(body, '\\$ ?([0-9][0-9,]*)', 1),
-                lambda a: length(replace(a, ',', '')) > 15 OR CAST(substr(replace(a, ',', ''), 1, 15) AS BIGINT) > 100)) > 0 AS salary,
+            len(list_filter(regexp_extract_all(body, '\\$ ?[0-9][0-9,]*(?:\\.[0-9]+)?(?:[km]\\b)?'),
+                lambda a: CAST(regexp_replace(a, '[^0-9.]', '', 'g') AS DOUBLE)
+                    * CASE WHEN a LIKE '%k' THEN 1e3 WHEN a LIKE '%m' THEN 1e6 ELSE 1 END > 100)) > 0 AS salary,
             {named} >= 19 AS technologies,
             contains(lower(source), 'src1') AND contains(body, 'ndble') AS mismatch,
             contains(body, 'worthless') AS harsh,
@@ -230,7 +232,7 @@ _RUN = f"""
         UNION ALL SELECT '', 'page ertion', '', url, '', 'pages', 1, page_id FROM pages),
     firsts AS (SELECT *, CASE WHEN {_SIGNAL} THEN 0 ELSE 1 END AS priority FROM postings
         QUALIFY row_number() OVER (PARTITION BY url ORDER BY source_rank, item_pos) = 1),
-    capped AS (SELECT * FROM firsts ORDER BY priority, source_rank, item_pos LIMIT 200),
+    capped AS (SELECT * FROM firsts),
     filled AS (
         SELECT c.* REPLACE (CASE WHEN description <> '' THEN description ELSE coalesce(page_text, '') END AS description)
         FROM capped c LEFT JOIN texts USING (url)),
@@ -256,7 +258,8 @@ ORACLES = {
             (3, '41–50', 41, 50), (4, '51–65', 51, 65), (5, '66–79', 66, 79), (6, '80+', 80, 100)),
         c AS (SELECT bucket, label, count(score) AS cnt FROM b LEFT JOIN outcomes ON score BETWEEN lo AND hi GROUP BY bucket, label)
         SELECT bucket, label, cnt,
-               rpad(label, 22, ' ') || ': ' || lpad(cnt::VARCHAR, 3, ' ') || '  ' || repeat('█', cnt) AS line FROM c""",
+               rpad(label, 22, ' ') || ': ' || CASE WHEN length(cnt::VARCHAR) >= 3 THEN cnt::VARCHAR ELSE lpad(cnt::VARCHAR, 3, ' ') END
+               || '  ' || repeat('█', cnt) AS line FROM c""",
     "rank_gate_topk": f"""{_RUN}
         SELECT CAST(row_number() OVER (ORDER BY score DESC, priority, source_rank, item_pos) AS INTEGER) AS rank,
                score, verdict, flag, target, lang AS company, title AS role, kind AS source, item_pos, reason

@@ -83,7 +83,7 @@ def prompt_assembly(spark, sf):
 
 
 def parse_scorer_reply(spark, sf):
-    labels = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id")
+    labels = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
     score = F.pmod("n_chars", F.lit(101)).cast("string")
     reply = (
         F.when(F.col("toxic") == 1, F.concat(F.lit('{"score": '), score, F.lit(', "verdict": "NEAR_')))
@@ -170,7 +170,7 @@ ORACLES = {
         WITH r AS (
             SELECT doc_id, source, lang, CAST(n_chars % 101 AS INTEGER) AS s, quality,
                    toxic = 1 OR (lang NOT IN ('en', 'de', 'fr') AND quality = 1) AS bad
-            FROM labels JOIN documents USING (doc_id))
+            FROM documents LEFT JOIN labels USING (doc_id))
         SELECT doc_id,
                CASE WHEN bad OR lang NOT IN ('en', 'de', 'fr') THEN 0 ELSE s END AS score,
                CASE WHEN bad THEN '{fv.REPLY_ERROR_REASON}' WHEN lang IN ('en', 'fr') THEN source ELSE '' END AS reason,

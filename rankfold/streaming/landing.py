@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from rankfold.session import scratch_path
 from rankfold.sources.landed import LANDED_SCHEMAS
 
 
@@ -24,14 +23,14 @@ def stream_landed(spark: SparkSession, table: str, path: str, file_format: str =
     return reader.load(path)
 
 
-def append_postings(postings: DataFrame, path: str, checkpoint: str | None = None) -> StreamingQuery:
+def append_postings(postings: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Appends parsed postings to a Parquet table, once per landed file.
 
     Handles what is there and stops, so it can be scheduled like a batch job.
+    ``checkpoint`` remembers what was read: the same folder in every run.
     """
-    progress = checkpoint or scratch_path(postings.sparkSession, "stream")
     return (
         postings.writeStream.format("parquet").option("path", path)
-        .option("checkpointLocation", progress).outputMode("append")
+        .option("checkpointLocation", checkpoint).outputMode("append")
         .trigger(availableNow=True).start()
     )

@@ -19,23 +19,36 @@ def test_flag_members_keeps_the_row_count(spark, collect):
     assert collect(mt.flag_members(df, "c", members, "m")) == [("A", True), ("a", True), ("b", False), (None, False)]
 
 
-@pytest.mark.parametrize("literal_limit", [1000, 3, 0])
-def test_keyword_semi_join_against_brute_force(spark, literal_limit):
+def test_keyword_semi_join_against_brute_force(spark):
     rng = random.Random(3)
     letters = "abcÄ "
-    texts = [(i, "".join(rng.choice(letters) for _ in range(rng.randrange(0, 12)))) for i in range(200)]
+    texts = [(i, "".join(rng.choice(letters) for _ in range(rng.randrange(0, 12)))) for i in range(200)] + [(900, None), (900, "abc"), (900, "abc")]
     words = {"".join(rng.choice(letters) for _ in range(rng.randrange(1, 5))) for _ in range(12)} | {""}
     got = mt.keyword_semi_join(
-        spark.createDataFrame(texts, "id int, t string"), "t", ["id"],
-        spark.createDataFrame([(w,) for w in words] * 2, "w string"), "w", literal_limit)
-    expected = [i for i, t in texts if any(w and w.lower() in t.lower() for w in words)]
+        spark.createDataFrame(texts, "id int, t string"), "t",
+        spark.createDataFrame([(w,) for w in words] * 2 + [(None,)], "w string"), "w")
+    expected = [i for i, t in texts if any(w and w.lower() in (t or "").lower() for w in words)]
     assert sorted(r["id"] for r in got.collect()) == expected
 
 
+def test_no_keyword_and_short_texts(spark):
+    texts = spark.createDataFrame([(1, "abc"), (2, "")], "id int, t string")
+    none = mt.keyword_semi_join(texts, "t", spark.createDataFrame([("",)], "w string"), "w")
+    longer = mt.keyword_semi_join(texts, "t", spark.createDataFrame([("abcd",)], "w string"), "w")
+    assert none.count() == longer.count() == 0
+
+
+def test_null_descriptions_are_filled(spark):
+    posts = spark.createDataFrame([("u", None), ("v", "own"), ("", None)], "url string, description string")
+    pages = spark.createDataFrame([("u", "<p>from the page</p>", "")], "url string, html string, rendered_html string")
+    got = mt.fill_descriptions(posts, pages).collect()
+    assert sorted((r["url"], r["description"]) for r in got) == [("", ""), ("u", "from the page"), ("v", "own")]
+
+
 def test_long_keyword_tables_join_on_equality(spark):
     texts = spark.createDataFrame([(1, "abc")], "id int, t string")
     words = spark.range(50).select(F.concat(F.lit("w"), F.col("id")).alias("w"))
-    plan = mt.keyword_semi_join(texts, "t", ["id"], words, "w", 10)._jdf.queryExecution().executedPlan().toString()
+    plan = mt.keyword_semi_join(texts, "t", words, "w")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
@@ -57,9 +70,9 @@ def test_fill_descriptions(spark, collect):
 def test_fill_descriptions_cuts_and_never_multiplies_rows(spark):
     posts = spark.createDataFrame([("", "u")], "description string, url string")
     pages = spark.createDataFrame([("u", "x" * 9000, None), ("u", "y" * 9000, None)], sc.PAGES_SCHEMA)
-    rows = mt.fill_descriptions(posts, pages).collect()
+    rows = mt.fill_descriptions(posts, pages, SearchConfig().published_limits()).collect()
     assert len(rows) == 1 and rows[0]["description"] == "x" * 8000
-    whole = mt.fill_descriptions(posts, pages, SearchConfig(description_chars=None)).head()
+    whole = mt.fill_descriptions(posts, pages).head()
     assert len(whole["description"]) == 9000
 
 

@@ -82,7 +82,7 @@ def test_discovery(spark, collect, tmp_path):
         (2, "c2", 0, "https://boards-api.greenhouse.io/v1/boards/c2/jobs"), (6, "g1", 0, "https://boards-api.greenhouse.io/v1/boards/g1/jobs")]
     assert collect(result.not_found, "company") == [("Epic Systems",), ("Html",), ("Limited",), ("Nobody",)]
     assert collect(result.errors, "kind", "message") == sorted([
-        ("error", "Late (c1): timeout"), ("error", f"Nobody (e1): {'x' * 50}"), ("status", "Limited (f1): HTTP 429"),
+        ("error", "Late (c1): timeout"), ("error", f"Nobody (e1): {'x' * 80}"), ("status", "Limited (f1): HTTP 429"),
         ("error", "Html (h1): unreadable answer")], key=repr)
     assert collect(result.totals) == [(4, 4, 3)]
     assert collect(result.by_category, "category", "company") == [("WORKDAY", "Epic Systems")]

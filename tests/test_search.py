@@ -89,7 +89,16 @@ def test_histogram_counts_every_processed_row(stages):
 
 
 def test_source_counts(stages, collect):
-    assert dict((s, (n, k)) for s, n, k in collect(stages.source_counts))["greenhouse"] == (3, 2)
+    found = dict(collect(stages.source_counts))
+    assert found["greenhouse"] == 4 and sum(found.values()) == stages.postings.count()
+
+
+def test_run_counts(stages, inputs):
+    row = stages.run_counts.head()
+    assert (row["n_found"], row["n_unique"], row["n_recent"]) == (stages.postings.count(), 9, 9)
+    assert row["n_signal"] == stages.unique.filter("has_signal").count() and row["n_to_process"] == 9
+    capped = search.run_search(inputs, AS_OF, SearchConfig(max_jobs=3), save_stages=False)
+    assert capped.run_counts.head()["n_to_process"] == 3
 
 
 def test_csv_output(spark, stages, tmp_path, collect):
@@ -137,7 +146,7 @@ def test_model_as_scorer(spark, inputs, collect):
     def answer(prompts: pd.Series) -> pd.Series:
         return prompts.map(lambda p: '{"score": %d, "verdict": "GOOD_FIT"}' % (90 if "TCS" in p else 60))
 
-    run = search.run_search(inputs, AS_OF, scorer=search.model_scorer(answer, batch_rows=3))
+    run = search.run_search(inputs, AS_OF, scorer=search.model_scorer(answer, partitions=3))
     assert [(r["company"], r["score"]) for r in run.results.collect()][0] == ("TCS", 90)
     assert run.results.count() == 6 and run.scored.count() == 9
 
@@ -147,6 +156,19 @@ def test_prompts_for_a_model(stages):
     assert row["prompt"].startswith("Job to evaluate:\nTitle: Engineer\nCompany: Beta\n")
 
 
+def test_prompts_hold_the_rubric_and_the_profile(spark, inputs, stages):
+    import pandas as pd
+
+    row = search.prompts(stages.capped.filter("url = 'https://jobs.example/2'"), "Rate for {profile}.", "me").head()
+    assert row["prompt"].startswith("Rate for me.\n\nJob to evaluate:\nTitle: Engineer")
+
+    def answer(prompts: pd.Series) -> pd.Series:
+        return prompts.map(lambda p: '{"score": 70, "verdict": "GOOD_FIT"}' if p.startswith("Rate for me.") else "")
+
+    run = search.run_search(inputs, AS_OF, scorer=search.model_scorer(answer, "Rate for {profile}.", "me"))
+    assert {r["score"] for r in run.results.collect()} == {70}
+
+
 def test_missing_sources(spark, inputs):
     only = search.all_postings(search.Inputs(board_b=inputs.board_b))
     assert only.count() == 2

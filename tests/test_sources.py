@@ -72,8 +72,7 @@ def test_description_limit_is_a_setting(spark):
     payload = json.dumps({"jobs": [{"title": "Developer", "content": "x" * 9000}]})
     landed = spark.createDataFrame([("a", 0, payload)], sc.PAYLOADS_SCHEMA)
     length = lambda c: boards.board_a_postings(landed, 0, c).select(F.length("description")).head()[0]
-    assert length(SearchConfig()) == 8000
-    assert length(SearchConfig(description_chars=None)) == 9000
+    assert length(SearchConfig().published_limits()) == 8000 and length(SearchConfig()) == 9000
 
 
 def test_board_b(spark, collect):
