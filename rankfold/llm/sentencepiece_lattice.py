@@ -26,14 +26,17 @@ columns of clashing names are replaced, others pass through.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from rankfold.schema import local_table
 from rankfold.session import cut_lineage
@@ -45,6 +48,8 @@ LOOKUP, LONGEST = 6_000_000, 8
 UNKNOWN_PENALTY = 10.0
 #: Positions folded as one array; longer units are folded in portions.
 PORTION = 256
+#: Distinct units that a task counts before it hands its sums on.
+COUNTED = 500_000
 _SINGLES = ("\n", "\t", *"0123456789")
 _UNKNOWN_TEXT = " ⁇ "
 
@@ -102,84 +107,112 @@ def load_vocabulary(model_path: str) -> Vocabulary:
     return Vocabulary(tuple(pieces), whole, model.unk_id(), model.get_piece_size())
 
 
-def escaped(text: Column) -> Column:
-    return F.when(F.length(text) > 0, F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK)))).otherwise(F.lit(""))
+def _units(pattern: re.Pattern, text: str) -> list[str]:
+    return pattern.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
 def count_units(df: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame:
-    """(unit, n) over all texts."""
-    units = F.regexp_extract_all(escaped(F.coalesce(F.col(text), F.lit(""))), F.lit(vocabulary.unit_pattern()), F.lit(0))
-    return df.select(F.explode(units).alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
+    """(unit, n) over all texts; every task sums up before the shuffle."""
+    pattern = re.compile(vocabulary.unit_pattern())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[str] = Counter()
+
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["unit", "n"])
+
+        for batch in batches:
+            for one in batch[0]:
+                found.update(_units(pattern, one.as_py() or ""))
+                if len(found) > COUNTED:
+                    yield counted()
+                    found.clear()
+        yield counted()
+
+    counts = df.select(F.col(text).alias("text")).mapInArrow(count, "unit string, n long")
+    return counts.groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def lattice(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``units`` with their edges: end, minus the length, score, id (minus the end where the character is unknown)."""
+    """``units`` with their edges: end, length, start + 1, score, id (minus the end where the character is unknown).
+
+    Edges come sorted by end and length.
+    """
     spark = units.sparkSession
     # the vocabulary bounds this table
     pieces = F.broadcast(local_table(spark, list(vocabulary.pieces), "piece STRING, id INT, score DOUBLE"))
     longest = vocabulary.longest
-    portions = units.select("unit", "n", F.length("unit").alias("size"))
-    portions = portions.select("unit", "n", "size", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / PORTION).cast("int"))).alias("p"))
-    portions = portions.select("unit", "n", F.col("p") * PORTION, "size", F.substring(
-        "unit", F.col("p") * PORTION + 1, F.lit(PORTION + longest - 1)).alias("part")).toDF("unit", "n", "before", "size", "part")
-    starts = portions.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(PORTION), F.length("part")))).alias("at"))
-    spans = starts.select("unit", "n", "before", "at", "part", F.explode(F.sequence(
-        F.lit(1), F.least(F.lit(longest), F.length("part") - F.col("at") + 1))).alias("length"))
-    spans = spans.select("unit", "n", "length", (F.col("before") + F.col("at") + F.col("length") - 1).alias("end"),
-                         F.substring("part", F.col("at"), F.col("length")).alias("sub"))
+    number, end, length = F.col("number"), F.col("end"), F.col("length")
+    # long units in portions, so that no substring is counted off from far away
+    portions = units.select("unit", "n", F.explode(F.sequence(
+        F.lit(0), F.floor((F.length("unit") - 1) / PORTION).cast("int"))).alias("number"))
+    first = F.greatest(number * PORTION - (longest - 1), F.lit(0))
+    portions = portions.select("unit", "n", "number", first.alias("before"), F.substring(
+        "unit", first + 1, (number + 1) * PORTION - first).alias("part"))
+    ends = portions.select("unit", "n", "part", "before", F.explode(F.sequence(
+        number * PORTION + 1, F.col("before") + F.length("part"))).alias("end"))
+    spans = ends.select("unit", "n", "part", "before", "end", F.explode(F.sequence(
+        F.lit(1), F.least(F.lit(longest), end))).alias("length"))
+    spans = spans.select("unit", "n", "end", "length", F.substring("part", end - length + 1 - F.col("before"), length).alias("sub"))
     edges = spans.join(pieces, F.col("sub") == F.col("piece"), "left").filter("length = 1 OR id IS NOT NULL")
-    edge = F.struct(F.col("end"), (-F.col("length")).alias("back"),
-                    F.coalesce("score", F.lit(vocabulary.unknown_score)).alias("score"),
-                    F.coalesce("id", -F.col("end")).alias("id"))
+    edge = F.struct("end", "length", (end - length + 1).alias("from"),
+                    F.coalesce("score", F.lit(vocabulary.unknown_score)).alias("score"), F.coalesce("id", -end).alias("id"))
     return edges.groupBy("unit", "n").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
 
 
-def best_path(edges: Column, longest: int) -> Column:
-    """Ids of the best path through sorted edges: a fold forwards for the best edge into
-    every position, and a fold backwards along these."""
-    node = "struct<total:double,back:int,id:int>"
-    first = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("back"), F.lit(0).alias("id"))
+def best_paths(edges: DataFrame, longest: int) -> DataFrame:
+    """(unit, n, ids) of the best paths.
+
+    A fold forwards keeps the best total into every position; a fold backwards
+    follows the edges that made these totals, the longest where several did.
+    """
+    def forwards(totals: Column, edge: Column, offset: Column) -> Column:
+        total = F.element_at(totals, edge["from"] - offset) + edge["score"]
+        return F.when(F.size(totals) <= edge["end"] - offset, F.array_append(totals, total)).when(
+            total > F.element_at(totals, -1), F.concat(F.slice(totals, F.lit(1), F.size(totals) - 1), F.array(total))).otherwise(totals)
 
-    def step(state: Column, edge: Column) -> Column:
-        path, offset = state["path"], state["offset"]   # path[i] is the best way to position offset + i
-        total = F.get(path, edge["end"] + edge["back"] - offset)["total"] + edge["score"]
-        new = F.struct(total.alias("total"), edge["back"].alias("back"), edge["id"].alias("id"))
-        size = F.size(path)
-        further = F.when(size - 1 + offset < edge["end"], F.array_append(path, new)).when(
-            total > F.element_at(path, -1)["total"], F.concat(F.slice(path, F.lit(1), size - 1), F.array(new))).otherwise(path)
-        return F.struct(further.alias("path"), offset.alias("offset"))
+    start = F.array(F.lit(0.0))
+    short = F.aggregate("edges", start, lambda t, e: forwards(t, e, F.lit(0)))
 
+    # long units: the totals of a portion are folded on their own behind the last ones before it
     def portion(state: Column, number: Column) -> Column:
-        own = F.filter(edges, lambda e: F.floor((e["end"] - 1) / PORTION).cast("int") == number)
-        begin = F.struct(state["tail"].alias("path"), (number * PORTION - F.size(state["tail"]) + 1).alias("offset"))
-        path = F.aggregate(own, begin, step)["path"]
-        new = F.slice(path, F.size(state["tail"]) + 1, F.size(path))
-        tail = F.slice(path, -F.least(F.size(path), F.lit(longest + 1)), F.lit(longest + 1))
+        own = F.filter("edges", lambda e: F.floor((e["end"] - 1) / PORTION).cast("int") == number)
+        offset = number * PORTION - F.size(state["tail"]) + 1
+        totals = F.aggregate(own, state["tail"], lambda t, e: forwards(t, e, offset))
+        new = F.slice(totals, F.size(state["tail"]) + 1, F.size(totals))
+        tail = F.slice(totals, -F.least(F.size(totals), F.lit(longest + 1)), F.lit(longest + 1))
         return F.struct(tail.alias("tail"), F.array_append(state["done"], new).alias("done"))
 
-    size = F.element_at(edges, -1)["end"]
-    last = F.floor((size - 1) / PORTION).cast("int")
-    state = F.struct(F.array(first).cast(f"array<{node}>").alias("tail"), F.array().cast(f"array<array<{node}>>").alias("done"))
-    portions = F.aggregate(F.sequence(F.lit(0), last), state, portion)["done"]
+    size = F.element_at("edges", -1)["end"]
+    numbers = F.sequence(F.lit(0), F.floor((size - 1) / PORTION).cast("int"))
+    begin = F.struct(start.alias("tail"), F.array(start).alias("done"))
+    long = F.flatten(F.aggregate(numbers, begin, portion)["done"])
+    totals = edges.select("unit", "n", "edges", F.when(size <= PORTION, short).otherwise(long).alias("totals"))
 
-    def back(state: Column, at: Column) -> Column:
-        here = state["skip"] == 0
-        return F.struct(F.when(here, -at["back"] - 1).otherwise(state["skip"] - 1).alias("skip"),
-                        F.when(here, F.array_append(state["ids"], at["id"])).otherwise(state["ids"]).alias("ids"))
+    def backwards(state: Column, edge: Column) -> Column:
+        made = F.element_at("totals", edge["from"]) + edge["score"] == F.element_at("totals", edge["end"] + 1)
+        return F.when((edge["end"] == state["at"]) & made, F.struct(
+            (edge["from"] - 1).alias("at"), F.array_append(state["ids"], edge["id"]).alias("ids"))).otherwise(state)
 
-    def back_portion(state: Column, nodes: Column) -> Column:
-        begin = F.struct(state["skip"].alias("skip"), F.array().cast("array<int>").alias("ids"))
-        return F.aggregate(F.reverse(nodes), begin, back, lambda s: F.struct(
-            s["skip"].alias("skip"), F.array_append(state["done"], s["ids"]).alias("done")))
+    none = F.array().cast("array<int>")
+    back = F.aggregate(F.reverse("edges"), F.struct((F.size("totals") - 1).alias("at"), none.alias("ids")), backwards)["ids"]
 
-    begin = F.struct(F.lit(0).alias("skip"), F.array().cast("array<array<int>>").alias("done"))
-    return F.reverse(F.flatten(F.aggregate(F.reverse(portions), begin, back_portion)["done"]))
+    # long units: the ids of a portion are gathered on their own
+    def back_portion(state: Column, number: Column) -> Column:
+        own = F.reverse(F.filter("edges", lambda e: F.floor((e["end"] - 1) / PORTION).cast("int") == number))
+        found = F.aggregate(own, F.struct(state["at"].alias("at"), none.alias("ids")), backwards)
+        return F.struct(found["at"].alias("at"), F.array_append(state["done"], found["ids"]).alias("done"))
+
+    last = F.size("totals") - 1
+    numbers = F.reverse(F.sequence(F.lit(0), F.floor((last - 1) / PORTION).cast("int")))
+    done = F.array().cast("array<array<int>>")
+    long_back = F.flatten(F.aggregate(numbers, F.struct(last.alias("at"), done.alias("done")), back_portion)["done"])
+    return totals.select("unit", "n", F.reverse(F.when(last <= PORTION, back).otherwise(long_back)).alias("ids"))
 
 
 def encode_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(unit, n, ids) of distinct units."""
-    edges = lattice(units, vocabulary)
-    found = edges.select("unit", "n", best_path(F.col("edges"), vocabulary.longest).alias("ids"))
+    found = best_paths(lattice(units, vocabulary), vocabulary.longest)
     unknown = F.exists("ids", lambda i: i < 0)
     if vocabulary.byte_ids:
         table = F.array(*[F.lit(i) for i in vocabulary.byte_ids])
@@ -227,46 +260,60 @@ class UnitTable:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, at, -1)
 
-    def with_more(self, more: list[tuple[int, list[int]]]) -> UnitTable:
+    def with_more(self, more: list[tuple]) -> UnitTable:
         """A table of these units alone."""
-        more = sorted(more)
+        more = sorted(dict(more).items())
         sizes = np.array([len(ids) for _, ids in more], dtype="int64")
         return UnitTable(np.array([h for h, _ in more], dtype="int64"), np.cumsum(np.concatenate([[0], sizes])),
                          np.array([i for _, ids in more for i in ids], dtype="int32"))
 
     def expand(self, rows: np.ndarray) -> np.ndarray:
-        sizes = self.offsets[rows + 1] - self.offsets[rows]
+        sizes = self.sizes(rows)
         ends = np.cumsum(sizes)
         if not len(rows):
             return np.zeros(0, dtype="int32")
         return self.ids[np.repeat(self.offsets[rows] - (ends - sizes), sizes) + np.arange(ends[-1])]
 
+    def sizes(self, rows: np.ndarray) -> np.ndarray:
+        return self.offsets[rows + 1] - self.offsets[rows]
+
 
-def _unit_hashes(texts: Iterator[str], pattern: re.Pattern) -> Iterator[np.ndarray]:
-    """Hashes of each text's units, each distinct unit hashed once."""
+def _unit_hashes(texts: list[str], pattern: re.Pattern) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the units of the texts in order, each distinct unit hashed once, and the number of units of each text."""
     import xxhash
 
     codes: defaultdict = defaultdict()
     codes.default_factory = codes.__len__
     rows = []
     for text in texts:
-        units = pattern.findall(MARK + text.replace(" ", MARK)) if text else []
+        units = _units(pattern, text)
         rows.append(np.fromiter(map(codes.__getitem__, units), dtype="int64", count=len(units)))
     hashes = np.fromiter((xxhash.xxh64_intdigest(u.encode(), 42) for u in codes), dtype="uint64", count=len(codes)).view("int64")
-    return (hashes[row] for row in rows)
+    return hashes[np.concatenate(rows)], np.array([len(r) for r in rows], dtype="int64")
+
+
+def _portions(batch: pa.RecordBatch, column: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``size`` bytes or values of a column."""
+    sizes = pc.coalesce(pc.binary_length(batch[column]) if pa.types.is_string(batch.schema.field(column).type)
+                        else pc.list_value_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // size)) + 1).tolist(), len(sizes)]
+    for low, high in zip(cuts, cuts[1:]):
+        if high > low:
+            yield batch.slice(low, high - low)
+
 
+def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array, drop: tuple[str, ...] = ()) -> pa.RecordBatch:
+    names = [n for n in batch.schema.names if n not in (name, *drop)]
+    return pa.RecordBatch.from_arrays([*(batch[n] for n in names), values], names=[*names, name])
 
-def _portions(series: pd.Series, characters: int = 2 << 20) -> Iterator[list[str]]:
-    """The texts of a batch in portions of bounded size."""
-    part, size = [], 0
-    for text in series:
-        part.append(text or "")
-        size += len(part[-1])
-        if size > characters:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+
+def _output(df: DataFrame, name: str, kind: str, drop: tuple[str, ...] = ()) -> StructType:
+    kept = [f for f in df.schema.fields if f.name not in (name, *drop)]
+    return StructType([*kept, StructField(name, DataType.fromDDL(kind))])
+
+
+def lists_of(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("int32")), pa.array(flat))
 
 
 class Codec:
@@ -288,10 +335,9 @@ class Codec:
         @F.pandas_udf("array<long>")
         def missing(texts: pd.Series) -> pd.Series:
             found = []
-            for part in _portions(texts):
-                for row in _unit_hashes(part, pattern):
-                    row = np.unique(row)
-                    found.append(row[table.value.find(row) < 0])
+            for text in texts:
+                row = np.unique(_unit_hashes([text or ""], pattern)[0])
+                found.append(row[table.value.find(row) < 0])
             return pd.Series(found, dtype=object)
 
         return missing(text)
@@ -299,43 +345,53 @@ class Codec:
     def encode(self, df: DataFrame, text: str = "text", output: str = "ids") -> DataFrame:
         """Adds the ids of each whole text."""
         table, pattern = self.table, re.compile(self.vocabulary.unit_pattern())
-
-        def ids_of(row: np.ndarray, own: list | None) -> np.ndarray:
-            at = table.value.find(row)
-            if (at >= 0).all():
-                return table.value.expand(at)
-            more = table.value.with_more([(u["h"], list(u["ids"])) for u in own])
-            rest = more.find(row)
-            return np.concatenate([table.value.expand(at[i:i + 1]) if at[i] >= 0 else more.expand(rest[i:i + 1])
-                                   for i in range(len(row))])
-
-        @F.pandas_udf("array<int>")
-        def encode(texts: pd.Series, owns: pd.Series) -> pd.Series:
-            found, at = [], 0
-            for part in _portions(texts):
-                for row in _unit_hashes(part, pattern):
-                    found.append(ids_of(row, owns.iloc[at]))
-                    at += 1
-            return pd.Series(found, dtype=object)
-
         if self.complete:
-            nothing = F.lit(None).cast("array<struct<h:bigint,ids:array<int>>>")
-            return df.withColumn(output, encode(F.col(text), nothing))
-        keys = df.withColumn("_k1", F.xxhash64(text)).withColumn("_k2", F.hash(text))
-        wanted = keys.select("_k1", "_k2", F.explode(self._missing(F.col(text))).alias("h")).distinct()
-        own = wanted.join(self.encoded.select("h", "ids"), "h").groupBy("_k1", "_k2").agg(
-            F.collect_list(F.struct("h", "ids")).alias("_own"))
-        return keys.join(own, ["_k1", "_k2"], "left").withColumn(output, encode(F.col(text), F.col("_own"))).drop("_k1", "_k2", "_own")
-
-    def decode(self, ids: Column) -> Column:
-        """The text of ids; bytes that are no text become replacement characters."""
+            rows, extra = df, ()
+        else:
+            keys = df.withColumn("_k1", F.xxhash64(text)).withColumn("_k2", F.hash(text))
+            wanted = keys.select("_k1", "_k2", F.explode(self._missing(F.col(text))).alias("h")).distinct()
+            own = wanted.join(self.encoded.select("h", "ids"), "h").groupBy("_k1", "_k2").agg(
+                F.collect_list(F.struct("h", "ids")).alias("_own"))
+            rows, extra = keys.join(own, ["_k1", "_k2"], "left").drop("_k1", "_k2"), ("_own",)
+
+        def ids_of(hashes: np.ndarray, owns: list) -> tuple[np.ndarray, np.ndarray]:
+            """Ids of the units one after the other, and the number of ids of each unit."""
+            at = table.value.find(hashes)
+            if (at >= 0).all():
+                return table.value.expand(at), table.value.sizes(at)
+            more = table.value.with_more([(u["h"], u["ids"]) for own in owns for u in own or ()])
+            rest = more.find(hashes)
+            parts = [table.value.expand(at[i:i + 1]) if at[i] >= 0 else more.expand(rest[i:i + 1]) for i in range(len(at))]
+            return np.concatenate(parts), np.array([len(p) for p in parts])
+
+        def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in _portions(whole, text):
+                    hashes, counts = _unit_hashes([t or "" for t in batch[text].to_pylist()], pattern)
+                    flat, sizes = ids_of(hashes, batch["_own"].to_pylist() if extra else [])
+                    ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(np.concatenate([[0], counts]))]
+                    yield _with_column(batch, output, lists_of(flat, np.diff(ends)), extra)
+
+        return rows.mapInArrow(encode, _output(df, output, "array<int>"))
+
+    def decode(self, df: DataFrame, ids: str = "ids", output: str = "decoded") -> DataFrame:
+        """Adds the text of ids; bytes that are no text become replacement characters."""
         pieces = self.vocabulary.bytes_of_ids()
-
-        @F.pandas_udf("string")
-        def decode(rows: pd.Series) -> pd.Series:
-            return pd.Series([b"".join([pieces[i] for i in row]).decode("utf-8", "replace")[1:] for row in rows], dtype=object)
-
-        return decode(ids)
+        sizes = np.array([len(p) for p in pieces], dtype="int64")
+        table = UnitTable(np.arange(len(pieces)), np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(b"".join(pieces), dtype="uint8"))
+
+        def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in _portions(whole, ids):
+                    flat = batch[ids].flatten().to_numpy(zero_copy_only=False).astype("int64")
+                    counts = pc.coalesce(pc.list_value_length(batch[ids]), 0).to_numpy(zero_copy_only=False)
+                    data = table.expand(flat).tobytes()
+                    ends = np.concatenate([[0], np.cumsum(sizes[flat])])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+                    # the first byte of a text is the blank of the leading mark
+                    texts = [data[a + 1:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
+                    yield _with_column(batch, output, pa.array(texts, pa.string()))
+
+        return df.mapInArrow(decode, _output(df, output, "string"))
 
 
 def codec_for(df: DataFrame, vocabulary: Vocabulary, text: str = "text", lookup: int = LOOKUP) -> Codec:

@@ -192,10 +192,10 @@ def test_encoding_is_the_best_path_and_decodes(spark, monkeypatch, lookup):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*texts, texts[0]])], "doc_id long, text string, ids string")
     codec = sentencepiece_lattice.codec_for(df, VOCABULARY, lookup=lookup)
     assert codec.complete == (lookup == 1000)
-    for r in codec.encode(df).withColumn("back", codec.decode(F.col("ids"))).collect():
+    for r in codec.decode(codec.encode(df), output="back").collect():
         assert list(r["ids"]) == best_ids(r["text"] or "", VOCABULARY) and r["back"] == (r["text"] or "")
     empty = sentencepiece_lattice.codec_for(df.limit(0), VOCABULARY)
-    assert not empty.encode(df.limit(0)).collect()
+    assert not empty.decode(empty.encode(df.limit(0))).collect()
 
 
 def test_encoding_with_the_public_vocabulary(spark):
@@ -203,7 +203,7 @@ def test_encoding_with_the_public_vocabulary(spark):
     texts = ["the cat sat on the mat", "Straße 12345\n日本語 😀", "  two  blanks "]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     codec = sentencepiece_lattice.codec_for(df, v)
-    for r in codec.encode(df).withColumn("back", codec.decode(F.col("ids"))).collect():
+    for r in codec.decode(codec.encode(df), output="back").collect():
         assert list(r["ids"]) == best_ids(r["text"], v) and r["back"] == r["text"]
 
 
