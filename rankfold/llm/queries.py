@@ -39,7 +39,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     vocabulary = sentencepiece_lattice.load_vocabulary(tokenizer_path("piece_bpe_32k.model"))
     codec = sentencepiece_lattice.codec_for(documents, vocabulary)
-    encoded = codec.decode(codec.encode(documents))
+    encoded = codec.encode(documents, decoded="decoded")
     whole = F.coalesce("text", F.lit(""))
     return encoded.select(
         "doc_id", F.octet_length(whole).cast("long").alias("n_bytes"), F.size("ids").cast("long").alias("n_pieces"), "ids",

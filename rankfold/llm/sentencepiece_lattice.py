@@ -36,7 +36,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructField, StructType
+from pyspark.sql.types import DataType, StringType, StructField, StructType
 
 from rankfold.schema import local_table
 from rankfold.session import cut_lineage
@@ -244,14 +244,16 @@ class UnitTable:
         hashes = table["h"].to_numpy()
         lists = table["ids"].combine_chunks()
         lists = lists.chunk(0) if hasattr(lists, "num_chunks") and lists.num_chunks else lists
-        flat = lists.flatten().to_numpy(zero_copy_only=False).astype("int32") if len(table) else np.zeros(0, "int32")
+        flat = lists.flatten().to_numpy(zero_copy_only=False) if len(table) else np.zeros(0, "int32")
         sizes = lists.value_lengths().to_numpy(zero_copy_only=False) if len(table) else np.zeros(0, "int32")
         order = np.argsort(hashes)
         starts = np.cumsum(np.concatenate([[0], sizes]))[:-1]
         sizes = sizes[order]
         offsets = np.cumsum(np.concatenate([[0], sizes])).astype("int64")
         gather = np.repeat(starts[order] - offsets[:-1], sizes) + np.arange(offsets[-1])
-        return cls(hashes[order], offsets, flat[gather])
+        small = "uint16" if not len(flat) or (flat.min() >= 0 and flat.max() < 1 << 16) else "int32"
+        places = "int32" if offsets[-1] < 1 << 31 else "int64"
+        return cls(hashes[order], offsets.astype(places), flat.astype(small)[gather])
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Row of each hash, or -1."""
@@ -313,7 +315,7 @@ def _output(df: DataFrame, name: str, kind: str, drop: tuple[str, ...] = ()) ->
 
 
 def lists_of(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("int32")), pa.array(flat))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("int32")), pa.array(flat.astype("int32")))
 
 
 class Codec:
@@ -342,9 +344,10 @@ class Codec:
 
         return missing(text)
 
-    def encode(self, df: DataFrame, text: str = "text", output: str = "ids") -> DataFrame:
-        """Adds the ids of each whole text."""
+    def encode(self, df: DataFrame, text: str = "text", output: str = "ids", decoded: str | None = None) -> DataFrame:
+        """Adds the ids of each whole text and, under the name ``decoded``, what they decode to."""
         table, pattern = self.table, re.compile(self.vocabulary.unit_pattern())
+        decoder = _Decoder(self.vocabulary) if decoded else None
         if self.complete:
             rows, extra = df, ()
         else:
@@ -370,30 +373,46 @@ class Codec:
                     hashes, counts = _unit_hashes([t or "" for t in batch[text].to_pylist()], pattern)
                     flat, sizes = ids_of(hashes, batch["_own"].to_pylist() if extra else [])
                     ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(np.concatenate([[0], counts]))]
-                    yield _with_column(batch, output, lists_of(flat, np.diff(ends)), extra)
+                    coded = _with_column(batch, output, lists_of(flat, np.diff(ends)), extra)
+                    yield _with_column(coded, decoded, pa.array(decoder.texts(flat, ends), pa.string())) if decoder else coded
 
-        return rows.mapInArrow(encode, _output(df, output, "array<int>"))
+        schema = _output(df, output, "array<int>")
+        if decoded:
+            schema = StructType([*(f for f in schema.fields if f.name != decoded), StructField(decoded, StringType())])
+        return rows.mapInArrow(encode, schema)
 
     def decode(self, df: DataFrame, ids: str = "ids", output: str = "decoded") -> DataFrame:
         """Adds the text of ids; bytes that are no text become replacement characters."""
-        pieces = self.vocabulary.bytes_of_ids()
-        sizes = np.array([len(p) for p in pieces], dtype="int64")
-        table = UnitTable(np.arange(len(pieces)), np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(b"".join(pieces), dtype="uint8"))
+        decoder = _Decoder(self.vocabulary)
 
         def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for batch in _portions(whole, ids):
-                    flat = batch[ids].flatten().to_numpy(zero_copy_only=False).astype("int64")
+                    flat = batch[ids].flatten().to_numpy(zero_copy_only=False)
                     counts = pc.coalesce(pc.list_value_length(batch[ids]), 0).to_numpy(zero_copy_only=False)
-                    data = table.expand(flat).tobytes()
-                    ends = np.concatenate([[0], np.cumsum(sizes[flat])])[np.concatenate([[0], np.cumsum(counts)])].tolist()
-                    # the first byte of a text is the blank of the leading mark
-                    texts = [data[a + 1:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
+                    texts = decoder.texts(flat, np.concatenate([[0], np.cumsum(counts)]))
                     yield _with_column(batch, output, pa.array(texts, pa.string()))
 
         return df.mapInArrow(decode, _output(df, output, "string"))
 
 
+class _Decoder:
+    """Texts of ids that stand one after the other."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        pieces = vocabulary.bytes_of_ids()
+        sizes = np.array([len(p) for p in pieces], dtype="int64")
+        self.pieces = UnitTable(np.arange(len(pieces)), np.concatenate([[0], np.cumsum(sizes)]),
+                                np.frombuffer(b"".join(pieces), dtype="uint8"))
+
+    def texts(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """One text for the ids between neighbouring ``ends``; its first byte, the blank of the leading mark, goes."""
+        ids = ids.astype("int64")
+        data = self.pieces.expand(ids).tobytes()
+        at = np.concatenate([[0], np.cumsum(self.pieces.sizes(ids))])[ends].tolist()
+        return [data[a + 1:b].decode("utf-8", "replace") for a, b in zip(at, at[1:])]
+
+
 def codec_for(df: DataFrame, vocabulary: Vocabulary, text: str = "text", lookup: int = LOOKUP) -> Codec:
     """A codec that knows every unit of the texts of ``df``."""
     encoded = cut_lineage(encode_units(count_units(df, text, vocabulary), vocabulary))

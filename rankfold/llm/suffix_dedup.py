@@ -324,8 +324,11 @@ def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: Sequence[str] = ("doc_id",),
                    most: int = MOST) -> DataFrame:
-    """``keep`` and n_bytes, n_removed, n_spans, kept_sha256, kept_text of every row."""
-    payload = F.struct(*[F.col(c) for c in keep if c != text] or [F.lit(0).alias("_none")])
+    """``keep`` (but the text itself) and n_bytes, n_removed, n_spans, kept_sha256, kept_text of every row.
+
+    kept_text is null where the text is.
+    """
+    payload = F.struct(*[F.col(c) for c in keep if c != text], F.col(text).isNull().alias("_none"))
     rows = keyed(df.select(F.col(text).alias("_text"), payload.alias("kept"), F.col(doc_id).cast("string").alias("row")), "_text")
     texts = rows.select("k1", "k2", "body", "row", "kept")
     found = find_spans(texts, most).withColumn("found", F.lit(True))
@@ -337,4 +340,6 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
         return _cut_out(pd.DataFrame({"body": b, "whole": w, "spans": s}) for b, w, s in parts)
 
     done = joined.select("kept", apply(F.col("body"), whole, F.col("spans")).alias("done"))
-    return done.select(*[F.col(f"kept.{c}").alias(c) for c in keep if c != text], "done.*")
+    return done.select(*[F.col(f"kept.{c}").alias(c) for c in keep if c != text],
+                       *[F.col(f"done.{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")],
+                       F.when(~F.col("kept._none"), F.col("done.kept_text")).alias("kept_text"))

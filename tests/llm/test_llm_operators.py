@@ -194,6 +194,7 @@ def test_encoding_is_the_best_path_and_decodes(spark, monkeypatch, lookup):
     assert codec.complete == (lookup == 1000)
     for r in codec.decode(codec.encode(df), output="back").collect():
         assert list(r["ids"]) == best_ids(r["text"] or "", VOCABULARY) and r["back"] == (r["text"] or "")
+    assert all(r["d"] == (r["text"] or "") for r in codec.encode(df, decoded="d").collect())
     empty = sentencepiece_lattice.codec_for(df.limit(0), VOCABULARY)
     assert not empty.decode(empty.encode(df.limit(0))).collect()
 
