@@ -19,6 +19,7 @@ from rankfold import schema as sc
 from rankfold.config import CompanyRule, Rule, SearchConfig
 from rankfold.functions import text as tx
 from rankfold.schema import text_or_empty
+from rankfold.session import cut_lineage
 
 MONEY_PATTERN = r"\$ ?[0-9][0-9,]*(?:\.[0-9]+)?(?:[km]\b)?"
 # a dot ends a sentence only before a blank or the end: not in ".net", "node.js" or "v1.5"
@@ -158,32 +159,38 @@ def company_rule_table(df: DataFrame, rules: Sequence[CompanyRule]) -> DataFrame
     return sc.local_table(df.sparkSession, rows, sc.COMPANY_RULES_SCHEMA)
 
 
+def company_facts(df: DataFrame, config: SearchConfig, company_rules: DataFrame | None = None,
+                  company_attrs: DataFrame | None = None) -> DataFrame:
+    """One row per company, saved: its rules and attributes."""
+    rules = company_rules if company_rules is not None else company_rule_table(df, config.company_rules)
+    folded = rules.groupBy("company_lower").agg(
+        F.collect_set(F.struct("cap", "flag", "title_contains")).alias("_rules")
+    )
+    kinds = {"size_class": "string", "is_tech": "boolean", "is_sponsor": "boolean", "is_known": "boolean"}
+    if company_attrs is None:
+        return cut_lineage(folded.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items()}))
+    one_each = company_attrs.groupBy("company_lower").agg(*[F.max(c).alias(c) for c in kinds])
+    return cut_lineage(folded.join(one_each, "company_lower", "full"))
+
+
 def with_company_facts(df: DataFrame, config: SearchConfig, company_rules: DataFrame | None = None,
                        company_attrs: DataFrame | None = None) -> DataFrame:
     """Adds company_cap, company_flag and the company's attributes.
 
-    A company's rules are folded to one row (lowest matching cap wins), so the
-    left join keeps the row count.  Rules given in the config are few and local;
-    tables are joined without a hint, so size decides about broadcasting.
+    Rules and attributes are folded to one row per company, so the left join
+    keeps the row count (of a company's rules the lowest matching cap wins).
+    The folded table is saved: its size decides about broadcasting, and a
+    shuffled join has an exchange on either side, so a company with a large part
+    of the rows can be split at run time.
     """
-    rules = company_rules if company_rules is not None else company_rule_table(df, config.company_rules)
-    folded = rules.groupBy("company_lower").agg(
-        F.collect_set(F.struct("cap", "flag", "title_contains")).alias("_rules")
-    )
-    joined = df.join(folded, df["_firm"] == folded["company_lower"], "left").drop("company_lower")
+    facts = company_facts(df, config, company_rules, company_attrs)
+    joined = df.join(facts, df["_firm"] == facts["company_lower"], "left").drop("company_lower")
     best = F.array_min(F.filter(
         "_rules", lambda r: r.title_contains.isNull() | F.contains(F.col("_title"), r.title_contains)
     ))
-    joined = joined.withColumn("_best", best).withColumns({
+    return joined.withColumn("_best", best).withColumns({
         "company_cap": F.col("_best.cap"), "company_flag": F.col("_best.flag"),
     }).drop("_rules", "_best")
-    if company_attrs is None:
-        empty = {"size_class": "string", "is_tech": "boolean", "is_sponsor": "boolean", "is_known": "boolean"}
-        return joined.withColumns({c: F.lit(None).cast(t) for c, t in empty.items()})
-    one_each = company_attrs.groupBy("company_lower").agg(
-        *[F.max(c).alias(c) for c in ("size_class", "is_tech", "is_sponsor", "is_known")]
-    )
-    return joined.join(one_each, joined["_firm"] == one_each["company_lower"], "left").drop("company_lower")
 
 
 def band(score: Column) -> Column:
@@ -198,26 +205,32 @@ def score_by_rules(df: DataFrame, config: SearchConfig = SearchConfig(),
                    company_rules: DataFrame | None = None,
                    company_attrs: DataFrame | None = None) -> DataFrame:
     """Adds score, verdict, flag, reason.  The default scorer of a run."""
-    rows = with_company_facts(with_rule_text(df), config, company_rules, company_attrs)
     attr = lambda c: F.coalesce(c, F.lit(False))
-    screens = screen_caps(config) + [
+    of_text = screen_caps(config)
+    # every test of the texts runs once, before the company facts are joined; what follows,
+    # and any filter on the score, only looks at its outcome
+    hits = {f"_screen{i}": hit for i, (hit, _, _) in enumerate(of_text)}
+    rows = sc.compute_once(
+        with_rule_text(df), **hits,
+        _out=disqualifier(config),
+        _note=first_hit(_of_kind(config, cf.FLAG), config, lambda r: r.flag),
+        _base=F.lit(config.base_score) + rule_points(config),
+        _cosmetic=is_cosmetic(config),
+    ).drop("_body", "_both", "_place")
+    rows = with_company_facts(rows, config, company_rules, company_attrs)
+    of_company = [
         (F.coalesce(~F.col("is_known"), F.lit(False)), config.screen_cap, "unknown company"),
         (F.coalesce(~F.col("is_tech"), F.lit(False)), config.screen_cap, "non-tech organisation"),
     ]
+    screens = of_text + of_company
+    more = {f"_screen{len(of_text) + i}": hit for i, (hit, _, _) in enumerate(of_company)}
+    hits = {**hits, **more}
     large = attr(F.col("size_class") == "large")
-    # every test runs once; what follows, and any filter on the score, only looks at its outcome
-    hits = {f"_screen{i}": hit for i, (hit, _, _) in enumerate(screens)}
-    rows = sc.compute_once(
-        rows, **hits,
-        _out=disqualifier(config),
-        _note=first_hit(_of_kind(config, cf.FLAG), config, lambda r: r.flag),
-        _points=(
-            F.lit(config.base_score) + rule_points(config)
-            + F.when(is_cosmetic(config) & ~large, config.cosmetic_points).otherwise(0)
-            + F.when(attr(F.col("is_sponsor")), config.sponsor_points).otherwise(0)
-            + F.when(attr(F.col("size_class") == "small"), config.small_company_points).otherwise(0)
-        ),
-    )
+    rows = rows.withColumns(more).withColumn("_points", (
+        F.col("_base") + F.when(F.col("_cosmetic") & ~large, config.cosmetic_points).otherwise(0)
+        + F.when(attr(F.col("is_sponsor")), config.sponsor_points).otherwise(0)
+        + F.when(attr(F.col("size_class") == "small"), config.small_company_points).otherwise(0)
+    ))
     cap = F.least(
         F.coalesce("company_cap", F.lit(100)),
         *[F.when(F.col(name), screen[1]).otherwise(100) for name, screen in zip(hits, screens)],

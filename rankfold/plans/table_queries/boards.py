@@ -24,7 +24,7 @@ def _payload(column):
     return F.to_json(column)
 
 
-def board_a_scan(spark, sf):
+def board_a_payloads(spark, sf):
     """Two jobs per payload: one complete with escaped HTML, one with most fields absent."""
     full = F.struct(
         F.col("p_name").alias("title"),
@@ -37,14 +37,16 @@ def board_a_scan(spark, sf):
     bare = full.withField("content", F.lit(None).cast("string")).withField(
         "company_name", F.lit(None).cast("string")).withField("absolute_url", F.lit(None).cast("string"))
     bare = bare.withField("location", F.lit(None).cast("struct<name:string>"))
-    payloads = spread_table(spark, sf, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size").select(
+    return spread_table(spark, sf, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size").select(
         F.concat(F.lit("slug"), _key("p_partkey")).alias("slug"), F.col("p_partkey").alias("board_rank"),
         _payload(F.struct(F.array(full, bare).alias("jobs"))).alias("payload"),
     )
-    return boards.board_a_postings(payloads, 10, CONFIG)
 
+def board_a_scan(spark, sf):
+    return boards.board_a_postings(board_a_payloads(spark, sf), 10, CONFIG)
 
-def board_b_scan(spark, sf):
+
+def board_b_payloads(spark, sf):
     """Bare arrays for some rows, ``data`` objects for the others; plain or HTML text."""
     job = F.struct(
         F.col("p_name").alias("text"),
@@ -56,14 +58,16 @@ def board_b_scan(spark, sf):
     )
     bare = _payload(F.array(job))
     wrapped = _payload(F.struct(F.array(job).alias("data")))
-    payloads = spread_table(spark, sf, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size").select(
+    return spread_table(spark, sf, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size").select(
         F.concat(F.lit("point-click"), _key("p_partkey")).alias("slug"), F.col("p_partkey").alias("board_rank"),
         F.when(F.col("p_size") > 10, bare).otherwise(wrapped).alias("payload"),
     )
-    return boards.board_b_postings(payloads, 11, CONFIG)
+
+def board_b_scan(spark, sf):
+    return boards.board_b_postings(board_b_payloads(spark, sf), 11, CONFIG)
 
 
-def board_c_scan(spark, sf):
+def board_c_inputs(spark, sf):
     """Two captured payloads per tenant; hosts from line items of the same number."""
     job = F.struct(
         F.col("p_name").alias("title"),
@@ -79,7 +83,11 @@ def board_c_scan(spark, sf):
         F.concat(F.lit("tenant"), _key("l_partkey")).alias("tenant"), F.col("l_linenumber").alias("n"),
         (F.col("l_returnflag") == "R").alias("ok"),
     )
-    found = boards.board_c_postings(part, hosts, 12, CONFIG)
+    return part, hosts
+
+
+def board_c_scan(spark, sf):
+    found = boards.board_c_postings(*board_c_inputs(spark, sf), 12, CONFIG)
     return found.select("company", "role", "location", "url", "board_rank", "item_pos", "posted", "description")
 
 
@@ -132,7 +140,7 @@ ORACLES = {
                'lever' AS source, 11 AS source_rank, p_partkey AS board_rank, CAST(0 AS BIGINT) AS item_pos
         FROM part WHERE {_PASSES}""",
     "board_c_scan": f"""
-        WITH hosts AS (SELECT l_partkey, min(l_linenumber) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey)
+        WITH hosts AS (SELECT l_partkey, min(l_linenumber) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber <= 5 GROUP BY l_partkey)
         SELECT 'Tenant' || p_partkey AS company, p_name AS role, p_type AS location,
                CASE WHEN p_size > 5 THEN 'https://tenant' || p_partkey || '.wd' || n
                     || '.myworkdayjobs.com/external/job/role/' || p_partkey ELSE '' END AS url,

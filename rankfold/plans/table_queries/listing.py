@@ -64,8 +64,8 @@ def html_rows(spark, sf):
     return html_postings(_customer_documents(spark, sf), keep=("doc_no",))
 
 
-def list_scan(spark, sf):
-    """Both list formats, dispatched by the configured format of their source."""
+def list_inputs(spark, sf):
+    """Landed documents of both list formats and their sources."""
     docs = _part_documents(spark, sf).withColumn("source", F.lit("pipes")).unionByName(
         _customer_documents(spark, sf).withColumn("source", F.lit("tables"))
     )
@@ -76,7 +76,12 @@ def list_scan(spark, sf):
         F.when(F.col("r_regionkey") == 0, "markdown-html").otherwise(HTML_TABLE).alias("format"),
         F.col("r_regionkey").alias("source_rank"),
     )
-    found = list_postings(docs, sources)
+    return docs, sources
+
+
+def list_scan(spark, sf):
+    """Both list formats, dispatched by the configured format of their source."""
+    found = list_postings(*list_inputs(spark, sf))
     return found.select("source", "source_rank", "board_rank", "item_pos", "company", "role", "location", "url", "posted")
 
 

@@ -18,6 +18,7 @@ from rankfold.functions.html import html_to_text
 from rankfold.functions.json import json_value, with_json, with_object
 from rankfold.operators.ranking import lowest_ok_host
 from rankfold.schema import canonical, each_item
+from rankfold.session import cut_lineage
 
 
 def _gate(title: Column, config: SearchConfig) -> Column:
@@ -79,10 +80,11 @@ def board_b_postings(payloads: DataFrame, source_rank: int, config: SearchConfig
 def board_c_postings(captured: DataFrame, host_probes: DataFrame, source_rank: int,
                      config: SearchConfig = SearchConfig()) -> DataFrame:
     """Captured ``{jobPostings: [...]}`` answers; several per tenant, ordered by seq."""
-    hosts = lowest_ok_host(host_probes)
-    taken = captured.select("tenant", "board", "board_rank", "seq", "payload")
-    items = object_items(taken, sc.BOARD_C_PAYLOAD, "jobPostings").filter(
-        _gate(F.col("job.title"), config)).join(hosts, "tenant")
+    # saved: the join has an exchange on either side, so a tenant with many answers can be split;
+    # answers of tenants without a host are not parsed
+    hosts = cut_lineage(lowest_ok_host(host_probes))
+    taken = captured.select("tenant", "board", "board_rank", "seq", "payload").join(hosts, "tenant")
+    items = object_items(taken, sc.BOARD_C_PAYLOAD, "jobPostings").filter(_gate(F.col("job.title"), config))
     path = F.coalesce(F.col("job.externalPath"), F.lit(""))
     return canonical(items.select(
         tx.title_case(F.col("tenant")).alias("company"),
