@@ -49,7 +49,7 @@ UNKNOWN_PENALTY = 10.0
 #: Positions folded as one array; longer units are folded in portions.
 PORTION = 256
 #: Distinct units that a task counts before it hands its sums on.
-COUNTED = 500_000
+COUNTED = 100_000
 _SINGLES = ("\n", "\t", *"0123456789")
 _UNKNOWN_TEXT = " ⁇ "
 
@@ -107,13 +107,32 @@ def load_vocabulary(model_path: str) -> Vocabulary:
     return Vocabulary(tuple(pieces), whole, model.unk_id(), model.get_piece_size())
 
 
-def _units(pattern: re.Pattern, text: str) -> list[str]:
-    return pattern.findall(MARK + text.replace(" ", MARK)) if text else []
+class _Cutter:
+    """Cuts texts into units."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        pattern = vocabulary.unit_pattern()
+        self.pattern = re.compile(pattern)
+        # in texts without runs of blanks, splitting at blanks and around single characters gives the same units
+        found = re.match(r"\[([^]]*)\]\|", pattern)
+        self.simple = MARK in pattern
+        self.singles = found[1] if found else ""
+
+    def units(self, text: str) -> list[str]:
+        if not text:
+            return []
+        if not self.simple or "  " in text or text[0] == " " or MARK in text or "\0" in text:
+            return self.pattern.findall(MARK + text.replace(" ", MARK))
+        text = MARK + text.replace(" ", "\0" + MARK)
+        for single in self.singles:
+            if single in text:
+                text = text.replace(single, f"\0{single}\0")
+        return list(filter(None, text.split("\0")))
 
 
 def count_units(df: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame:
     """(unit, n) over all texts; every task sums up before the shuffle."""
-    pattern = re.compile(vocabulary.unit_pattern())
+    cutter = _Cutter(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[str] = Counter()
@@ -123,7 +142,7 @@ def count_units(df: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame:
 
         for batch in batches:
             for one in batch[0]:
-                found.update(_units(pattern, one.as_py() or ""))
+                found.update(cutter.units(one.as_py() or ""))
                 if len(found) > COUNTED:
                     yield counted()
                     found.clear()
@@ -238,22 +257,30 @@ class UnitTable:
         self.hashes, self.offsets, self.ids = hashes, offsets, ids
 
     @classmethod
-    def collect(cls, units: DataFrame) -> UnitTable:
-        """Of a bounded number of units with columns h and ids."""
-        table = units.select("h", "ids").toArrow()
-        hashes = table["h"].to_numpy()
-        lists = table["ids"].combine_chunks()
-        lists = lists.chunk(0) if hasattr(lists, "num_chunks") and lists.num_chunks else lists
-        flat = lists.flatten().to_numpy(zero_copy_only=False) if len(table) else np.zeros(0, "int32")
-        sizes = lists.value_lengths().to_numpy(zero_copy_only=False) if len(table) else np.zeros(0, "int32")
-        order = np.argsort(hashes)
-        starts = np.cumsum(np.concatenate([[0], sizes]))[:-1]
-        sizes = sizes[order]
-        offsets = np.cumsum(np.concatenate([[0], sizes])).astype("int64")
-        gather = np.repeat(starts[order] - offsets[:-1], sizes) + np.arange(offsets[-1])
-        small = "uint16" if not len(flat) or (flat.min() >= 0 and flat.max() < 1 << 16) else "int32"
-        places = "int32" if offsets[-1] < 1 << 31 else "int64"
-        return cls(hashes[order], offsets.astype(places), flat.astype(small)[gather])
+    def collect(cls, units: DataFrame, vocabulary: Vocabulary) -> UnitTable:
+        """Of a bounded number of units with columns h and ids.
+
+        Every task sends its units sorted by hash and packed as bytes, so the
+        driver holds little more than the table.
+        """
+        small = "uint16" if vocabulary.size < 1 << 16 else "int32"
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sizes = pc.list_value_length(batch["ids"]).to_numpy(zero_copy_only=False).astype("int32")
+                ids = batch["ids"].flatten().to_numpy(zero_copy_only=False).astype(small)
+                parts = [batch["h"].to_numpy(zero_copy_only=False).tobytes(), sizes.tobytes(), ids.tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in parts], names=["h", "sizes", "ids"])
+
+        packed = units.select("h", "ids").orderBy("h").mapInArrow(pack, "h binary, sizes binary, ids binary").toArrow()
+
+        def joined(name: str, kind: str) -> np.ndarray:
+            return np.concatenate([np.zeros(0, kind), *(np.frombuffer(p.as_buffer(), dtype=kind) for p in packed[name])])
+
+        hashes, ids = joined("h", "int64"), joined("ids", small)
+        offsets = np.zeros(len(hashes) + 1, dtype="int32" if len(ids) < 1 << 31 else "int64")
+        np.cumsum(joined("sizes", "int32"), out=offsets[1:])
+        return cls(hashes, offsets, ids)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Row of each hash, or -1."""
@@ -280,7 +307,7 @@ class UnitTable:
         return self.offsets[rows + 1] - self.offsets[rows]
 
 
-def _unit_hashes(texts: list[str], pattern: re.Pattern) -> tuple[np.ndarray, np.ndarray]:
+def _unit_hashes(texts: list[str], cutter: _Cutter) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the units of the texts in order, each distinct unit hashed once, and the number of units of each text."""
     import xxhash
 
@@ -288,7 +315,7 @@ def _unit_hashes(texts: list[str], pattern: re.Pattern) -> tuple[np.ndarray, np.
     codes.default_factory = codes.__len__
     rows = []
     for text in texts:
-        units = _units(pattern, text)
+        units = cutter.units(text)
         rows.append(np.fromiter(map(codes.__getitem__, units), dtype="int64", count=len(units)))
     hashes = np.fromiter((xxhash.xxh64_intdigest(u.encode(), 42) for u in codes), dtype="uint64", count=len(codes)).view("int64")
     return hashes[np.concatenate(rows)], np.array([len(r) for r in rows], dtype="int64")
@@ -329,16 +356,16 @@ class Codec:
         self.complete = units <= lookup and (pieces or 0) <= lookup * LONGEST
         frequent = self.encoded.filter(F.size("ids") <= LONGEST).orderBy(F.col("n").desc(), "unit").limit(lookup)
         sent = self.encoded if self.complete else frequent
-        self.table = spark.sparkContext.broadcast(UnitTable.collect(sent))
+        self.table = spark.sparkContext.broadcast(UnitTable.collect(sent, vocabulary))
 
     def _missing(self, text: Column) -> Column:
-        table, pattern = self.table, re.compile(self.vocabulary.unit_pattern())
+        table, cutter = self.table, _Cutter(self.vocabulary)
 
         @F.pandas_udf("array<long>")
         def missing(texts: pd.Series) -> pd.Series:
             found = []
             for text in texts:
-                row = np.unique(_unit_hashes([text or ""], pattern)[0])
+                row = np.unique(_unit_hashes([text or ""], cutter)[0])
                 found.append(row[table.value.find(row) < 0])
             return pd.Series(found, dtype=object)
 
@@ -346,7 +373,7 @@ class Codec:
 
     def encode(self, df: DataFrame, text: str = "text", output: str = "ids", decoded: str | None = None) -> DataFrame:
         """Adds the ids of each whole text and, under the name ``decoded``, what they decode to."""
-        table, pattern = self.table, re.compile(self.vocabulary.unit_pattern())
+        table, cutter = self.table, _Cutter(self.vocabulary)
         decoder = _Decoder(self.vocabulary) if decoded else None
         if self.complete:
             rows, extra = df, ()
@@ -370,7 +397,7 @@ class Codec:
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for batch in _portions(whole, text):
-                    hashes, counts = _unit_hashes([t or "" for t in batch[text].to_pylist()], pattern)
+                    hashes, counts = _unit_hashes([t or "" for t in batch[text].to_pylist()], cutter)
                     flat, sizes = ids_of(hashes, batch["_own"].to_pylist() if extra else [])
                     ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(np.concatenate([[0], counts]))]
                     coded = _with_column(batch, output, lists_of(flat, np.diff(ends)), extra)

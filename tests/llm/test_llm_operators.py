@@ -199,6 +199,15 @@ def test_encoding_is_the_best_path_and_decodes(spark, monkeypatch, lookup):
     assert not empty.decode(empty.encode(df.limit(0))).collect()
 
 
+def test_both_ways_of_cutting_give_the_same_units():
+    rng = np.random.default_rng(12)
+    for v in (VOCABULARY, sentencepiece_lattice.load_vocabulary(tokenizer_path("piece_bpe_32k.model"))):
+        cutter = sentencepiece_lattice._Cutter(v)
+        for n in rng.integers(0, 40, 500):
+            text = "".join(rng.choice(list("ab \n7\t.é"), int(n)))
+            assert cutter.units(text) == (cutter.pattern.findall("▁" + text.replace(" ", "▁")) if text else [])
+
+
 def test_encoding_with_the_public_vocabulary(spark):
     v = sentencepiece_lattice.load_vocabulary(tokenizer_path("piece_bpe_32k.model"))
     texts = ["the cat sat on the mat", "Straße 12345\n日本語 😀", "  two  blanks "]
