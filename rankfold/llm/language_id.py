@@ -57,10 +57,12 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     order = Window.partitionBy("l").orderBy("h", "i")
     chosen = (rows.select("i", "l", F.xxhash64(F.col("i").cast("string")).alias("h"))
               .withColumn("n", F.row_number().over(order)).filter(F.col("n") <= texts).select("i", "l", "h").distinct())
+    # only the slice of a text that would be taken goes through the join
+    h = F.xxhash64(F.col("i").cast("string"))
     room = F.greatest(F.length("t") - characters, F.lit(0)) + 1
-    start = F.pmod(F.col("h"), room.cast("long")).cast("int") + 1
-    sample = (rows.join(chosen, ["i", "l"]).select("l", "h", "i", F.substring("t", start, F.lit(characters)).alias("t"))
-              .dropDuplicates(["l", "i"]))
+    start = F.pmod(h, room.cast("long")).cast("int") + 1
+    slices = rows.select("l", "i", F.substring("t", start, F.lit(characters)).alias("t"))
+    sample = slices.join(chosen, ["i", "l"]).dropDuplicates(["l", "i"])
     found: dict[str, list[tuple]] = {}
     for row in sample.collect():
         found.setdefault(row["l"], []).append((row["h"], row["i"], row["t"]))
