@@ -104,19 +104,24 @@ def time_of(part: Column, schedule_class: Column, schedules: Sequence = SCHEDULE
 
 
 def mix(df: DataFrame, keep: Sequence[str] = ("doc_id",), doc_id: str = "doc_id", text: str = "text",
-        source: str = "source", schedules: Sequence = SCHEDULES) -> DataFrame:
+        source: str = "source", schedules: Sequence = SCHEDULES, saved: bool = True, ordered: bool = True) -> DataFrame:
     """``keep`` and size, source_size, target, copies, taken, positions (one per copy), in order of first position.
 
+    ``saved`` writes the counted rows once; without it the words are counted once
+    per pass, which spares the disk where ``keep`` holds the texts.  Without
+    ``ordered`` the rows come unsorted, for ``training_order``, which sorts copies.
+
     Every document of a source is taken the whole number of times that the target
     allows; the rest of the target is filled by documents that get one copy more.
     The few that hold over 1/``LARGE`` of the source's words are decided first, the
     largest first, and the others, in the order of their keys, make up for what is
     due then, so the words taken come near the target.
     """
-    sized = cut_lineage(df.select(
+    sized = df.select(
         F.struct(*[F.col(c) for c in keep]).alias("kept"), F.col(source).alias("source"),
         word_count(F.col(text)).alias("size"), order_key(F.col(doc_id)).alias("key"),
-    ))
+    )
+    sized = cut_lineage(sized) if saved else sized
     targets = source_targets(sized).withColumnRenamed("source", "of")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     targets = targets.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -176,7 +181,9 @@ def mix(df: DataFrame, keep: Sequence[str] = ("doc_id",), doc_id: str = "doc_id"
     positions = F.when(placed, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), position)).otherwise(none)
     rows = rows.select("kept.*", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"),
                        positions.alias("positions"), F.col("key").alias("_key"))
-    return rows.orderBy(F.get(F.col("positions"), F.lit(0)).asc_nulls_last(), "_key").drop("_key")
+    if ordered:
+        rows = rows.orderBy(F.get(F.col("positions"), F.lit(0)).asc_nulls_last(), "_key")
+    return rows.drop("_key")
 
 
 def training_order(mixed: DataFrame, keep: Sequence[str]) -> DataFrame:
