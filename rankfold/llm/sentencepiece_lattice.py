@@ -146,6 +146,7 @@ def count_units(df: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame:
                 if len(found) > COUNTED:
                     yield counted()
                     found.clear()
+            pa.default_memory_pool().release_unused()   # the worker stays for later stages
         yield counted()
 
     counts = df.select(F.col(text).alias("text")).mapInArrow(count, "unit string, n long")
@@ -402,6 +403,7 @@ class Codec:
                     ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(np.concatenate([[0], counts]))]
                     coded = _with_column(batch, output, lists_of(flat, np.diff(ends)), extra)
                     yield _with_column(coded, decoded, pa.array(decoder.texts(flat, ends), pa.string())) if decoder else coded
+                pa.default_memory_pool().release_unused()
 
         schema = _output(df, output, "array<int>")
         if decoded:
