@@ -46,23 +46,28 @@ MOST, BLOCK = 100_000, 50_000
 PAIRS = 4096
 
 
-def text_fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Fingerprint of one text as a signed 64-bit number."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the text's shingles in their order, repeated ones as well."""
     import xxhash
 
     words = (text or "").encode().lower().split()   # bytes: A-Z only, and blanks are \\x20 \\x09-\\x0D
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = [0, *ends[:-1].tolist()]
     joined = b" ".join(words)
     last = (ends - 1).tolist()[min(shingle, len(words)) - 1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, last)), dtype="<u8", count=len(last))
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, last)), dtype="<u8", count=len(last))
+
+
+def text_fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Fingerprint of one text as a signed 64-bit number."""
+    hashes = shingle_hashes(text, shingle)
     counts = np.zeros(64, dtype="int64")
     for part in np.array_split(hashes, max(1, len(hashes) // 65536)):
         counts += np.unpackbits(part.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="int64")
-    bits = np.packbits(counts * 2 > len(hashes), bitorder="little")
+    bits = np.packbits(counts * 2 > len(hashes), bitorder="little")   # without words: zero
     return int(bits.view("<i8")[0])
 
 
