@@ -6,8 +6,9 @@ of a proper prefix of a longer one is such a snapshot and goes, equal
 conversations keep the smallest id, and the maximal conversations are rendered.
 
 Hashes are two 64-bit values, each the exclusive or of position-keyed turn
-hashes.  Only ids, turn numbers and hashes pass the window and the joins; texts
-are moved once, by conversation, for those that stay.  DataFrame functions only.
+hashes.  Whole texts pass the window that numbers the turns, since texts may tie
+in any common beginning; only ids, numbers and hashes pass the joins, and texts
+are moved again for the conversations that stay.  DataFrame functions only.
 
 Defined results: repeated rows of one turn count once; rows of one turn number
 with different contents are turns in the order of role and text; null turn
@@ -36,11 +37,10 @@ def _content(seed: int) -> Column:
 def prefix_hashes(turns: DataFrame) -> DataFrame:
     """conv_id, n (turns so far), p1, p2 (hash of these), total (turns of the conversation)."""
     rows = turns.select("conv_id", "turn", "role", "text")
-    hashed = rows.select("conv_id", "turn", "role", F.substring("text", 1, 64).alias("begin"),
-                         _content(1).alias("d1"), _content(2).alias("d2")).distinct()
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "begin", "d1", "d2")
-    numbered = hashed.select("conv_id", "turn", "role", "begin", "d1", "d2", F.row_number().over(order).alias("n"))
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("conv_id").orderBy(*_TURN)
+    numbered = rows.distinct().select(
+        "conv_id", _content(1).alias("d1"), _content(2).alias("d2"), F.row_number().over(order).alias("n"))
+    so_far = Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     everything = Window.partitionBy("conv_id")
     return numbered.select(
         "conv_id", "n", F.bit_xor(F.xxhash64("n", "d1")).over(so_far).alias("p1"),

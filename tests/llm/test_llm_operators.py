@@ -434,3 +434,15 @@ def test_snapshots_collapse(spark):
     assert got[6][2] == "<|im_start|>user\n<|im_end|>\n<|im_start|>user\n< |im_end| ><|im_end|>\n"
     assert got[None][2].startswith("<|im_start|>system\nx<|im_end|>\n<|im_start|>user\nhi")
     assert not chat_format.format_chats(df.limit(0)).collect()
+
+
+def test_tied_turns_stand_in_the_order_of_their_whole_texts(spark):
+    long = "the same beginning of more than sixty-four characters in every one of these "
+    assert len(long) > 64
+    rows = []
+    for c in range(40):   # each with a snapshot of its first reply only
+        tied = sorted(f"{long}{c} {x}" for x in ("a", "b"))
+        rows += [(c, 0, "user", t) for t in tied] + [(100 + c, 0, "user", tied[0])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {r["conv_id"]: r["n_turns"] for r in chat_format.format_chats(df).collect()}
+    assert got == {c: 2 for c in range(40)}
