@@ -137,7 +137,8 @@ def mix(df: DataFrame, keep: Sequence[str] = ("doc_id",), doc_id: str = "doc_id"
                         F.when(more, F.array_append(done["chosen"], item["item"])).otherwise(done["chosen"]).alias("chosen"),
                         F.when(more, done["taken"] + item["size"]).otherwise(done["taken"]).alias("taken"))
 
-    part = F.when(F.col("whole") < MOST, F.col("rest") / F.col("source_size")).otherwise(F.lit(0.0))
+    divisible = (F.col("source_size") > 0) & (F.col("whole") < MOST)   # a source without words takes nothing
+    part = F.when(divisible, F.col("rest") / F.col("source_size")).otherwise(F.lit(0.0))
     large = rows.filter("large").groupBy("place", "key", "item").agg(
         F.sum("size").cast("double").alias("size"), F.first(part).alias("part"))
     # fewer than LARGE items of a source: largest first, each taken if that brings the words taken nearer to the line

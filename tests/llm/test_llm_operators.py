@@ -140,6 +140,16 @@ def test_mix_of_odd_rows(odd, none):
         assert all(0 <= p <= 1 for p in r["positions"]) and r["positions"] == sorted(r["positions"])
 
 
+def test_mix_of_sources_without_words(spark):
+    rows = [(i, t, s) for i, (t, s) in enumerate([("a b c", "full"), ("d e", "full"), (None, "none"), ("", "none"), (" \n", "none")])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in mixing.mix(df).collect()}
+    assert len(got) == 5 and sum(r["taken"] for r in got.values()) > 0
+    assert all((got[i]["target"], got[i]["copies"], got[i]["positions"]) == (0, 0, []) for i in (2, 3, 4))
+    nulls = spark.createDataFrame([(i, None, s) for i, s in enumerate("aab")], df.schema)
+    assert [(r["target"], r["copies"]) for r in mixing.mix(nulls).collect()] == [(0, 0)] * 3
+
+
 def test_words_taken_come_near_the_targets(spark):
     rng = np.random.default_rng(9)
     rows = [(i, "w " * int(n), "abcd"[i % 4] if i % 3 else "hot") for i, n in enumerate(rng.pareto(1.2, 3000) * 20)]
