@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankfold.llm import chat_format, language_id, mixing, sentencepiece_lattice, sharding, simhash, spotsigs, suffix_dedup, token_counts, topk_search
+from rankfold.llm import (
+    chat_format, language_id, merkle, mixing, packing, sentencepiece_lattice, sharding, simhash, spelling, spotsigs,
+    suffix_dedup, token_counts, topk_search,
+)
+from rankfold.session import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +87,20 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chats(_table(spark, sf_dir, "conversations"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packing.pack(documents, tokenizer_path("byte_bpe_50k.json"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    proved = merkle.manifest(_table(spark, sf_dir, "documents"))
+    return proved.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_sharding": op2_sharding,
@@ -94,6 +112,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_simhash": op9_simhash,
     "op10_chat_format": op10_chat_format,
+    "op11_packing": op11_packing,
+    "op12_merkle": op12_merkle,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLES: dict[str, str] = {
@@ -101,4 +122,6 @@ ORACLES: dict[str, str] = {
     "op3_source_mixing": mixing.sql(),
     "op6_spotsigs": spotsigs.sql(),
     "op10_chat_format": chat_format.sql(),
+    "op12_merkle": merkle.sql(),
+    "op13_spelling": spelling.sql(),
 }
