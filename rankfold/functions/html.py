@@ -158,25 +158,91 @@ def visible_text(markup: str) -> str:
     return "\n".join(line for line in lines if line)
 
 
+# The start tags that end an open element of the first column's kind,
+# and the elements beyond which nothing is ended, as HTML defines them.
+_ENDED_BY = {
+    "td": frozenset("td th tr tbody thead tfoot".split()),
+    "th": frozenset("td th tr tbody thead tfoot".split()),
+    "tr": frozenset("tr tbody thead tfoot".split()),
+    "tbody": frozenset("tbody thead tfoot".split()), "thead": frozenset("tbody thead tfoot".split()),
+    "tfoot": frozenset("tbody thead tfoot".split()),
+    "li": frozenset(["li"]), "option": frozenset("option optgroup".split()), "optgroup": frozenset(["optgroup"]),
+    "dt": frozenset("dt dd".split()), "dd": frozenset("dt dd".split()),
+    "p": frozenset(
+        "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu "
+        "nav ol p pre section table ul li dt dd td th tr tbody thead tfoot".split()),
+}
+_BORDERS = {"li": frozenset("ul ol menu table".split()), "dt": frozenset("dl table".split()), "dd": frozenset("dl table".split()),
+            "option": frozenset(["select"]), "optgroup": frozenset(["select"]), "p": frozenset("table button".split())}
+_ENDS = {tag: tuple(own for own, ending in _ENDED_BY.items() if tag in ending) for tag in frozenset().union(*_ENDED_BY.values())}
+_TABLE = frozenset(["table"])
+_OF_TABLE = frozenset("td th tr tbody thead tfoot".split())
+
+
 class _TableRows(_Walker):
-    """Collects every ``tr``: the text of each ``td`` below it, and its markup."""
+    """Collects every ``tr``: the text of each ``td`` below it, and its markup.
 
-    def __init__(self) -> None:
+    Texts and markup are kept once, in buffers; cells and rows are spans of them.
+    ``implied``: omitted end tags of cells, rows, items and paragraphs are supplied,
+    and an end tag of a table's part ends nothing outside the innermost table.
+    Otherwise an element without an end tag holds all that follows.
+    """
+
+    def __init__(self, implied: bool = False) -> None:
         super().__init__()
+        self.implied = implied
         self.pieces: list[str] = []          # markup of the whole document
-        self.cells: list[list[str]] = []     # text pieces per td
+        self.texts: list[str] = []           # its text nodes
+        self.cells: list[list[int]] = []     # first and end text of each td
         self.rows: list[list[int]] = []      # first piece, first cell, end piece, end cell
         self.open_rows: list[int] = []
         self.open_cells: list[int] = []
         self.textless_depth = 0
 
+    def _close(self, depth: int) -> None:
+        """Ends all elements from a depth of the stack on."""
+        while len(self.open) > depth:
+            closed = self.open.pop()
+            self._opened[closed] -= 1
+            self.on_end(closed)
+
+    def _imply(self, tag: str) -> None:
+        """Ends what a start tag ends; looks no further than the last element that it could end."""
+        depth = at = len(self.open)
+        possible = sum(self._opened[own] for own in _ENDS.get(tag, ()))
+        while possible and at:
+            at -= 1
+            own = self.open[at]
+            if own in _TABLE or tag == "table" and own in _OF_TABLE:
+                break
+            if tag in _ENDED_BY.get(own, ()):
+                depth, possible = at, possible - 1
+            elif own not in _ENDED_BY and tag not in _OF_TABLE or own in _BORDERS.get(tag, ()):
+                break
+        self._close(depth)
+
+    def handle_starttag(self, tag, attrs):
+        if self.implied and self.open:
+            self.flush()
+            self._imply(tag)
+        super().handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        if self.implied and tag in _OF_TABLE and self._opened[tag]:
+            for own in reversed(self.open):
+                if own == tag:
+                    break
+                if own in _TABLE:
+                    return
+        super().handle_endtag(tag)
+
     def on_start(self, tag, attrs):
         if tag == "tr":
             self.open_rows.append(len(self.rows))
             self.rows.append([len(self.pieces), len(self.cells), -1, -1])
         elif tag == "td":
             self.open_cells.append(len(self.cells))
-            self.cells.append([])
+            self.cells.append([len(self.texts), -1])
         self.textless_depth += tag in TEXTLESS_ELEMENTS
         if self.open_rows:
             parts = "".join(f' {name}="{value or ""}"' for name, value in attrs)
@@ -187,31 +253,34 @@ class _TableRows(_Walker):
         if tag == "tr":
             self.rows[self.open_rows.pop()][2:] = len(self.pieces), len(self.cells)
         elif tag == "td":
-            self.open_cells.pop()
+            self.cells[self.open_cells.pop()][1] = len(self.texts)
         if self.open_rows:
             self.pieces.append(f"</{tag}>")
 
     def on_text(self, text):
         if self.open_rows:
             self.pieces.append(text)
-        if not self.textless_depth:
-            for cell in self.open_cells:
-                self.cells[cell].append(text)
+        if self.open_cells and not self.textless_depth:
+            self.texts.append(text)
 
     def on_hidden(self, text):
         if self.open_rows:
             self.pieces.append(text)
 
 
-def table_rows(markup: str) -> Iterator[tuple[int, list[str], str]]:
-    """(position, cell texts, row markup) of every table row with at least 3 cells."""
-    walker = _TableRows()
+def table_rows(markup: str, implied: bool = False) -> Iterator[tuple[int, list[str], str]]:
+    """(position, cell texts, row markup) of every table row with at least 3 cells.
+
+    Every element that is still open at the end of the markup ends there.  See
+    ``_TableRows`` for ``implied``; where no end tag is omitted, both give the same.
+    """
+    walker = _TableRows(implied)
     walker.walk(markup)
     for position, (piece, cell, end_piece, end_cell) in enumerate(walker.rows):
         if end_piece < 0:                    # never closed: runs to the end
             end_piece, end_cell = len(walker.pieces), len(walker.cells)
         if end_cell - cell >= 3:
-            texts = ["".join(parts) for parts in walker.cells[cell:end_cell]]
+            texts = ["".join(walker.texts[first:end if end >= 0 else None]) for first, end in walker.cells[cell:end_cell]]
             yield position, texts, "".join(walker.pieces[piece:end_piece])
 
 
@@ -234,10 +303,12 @@ def html_to_text(markup: Column, escaped: bool = False) -> Column:
 
 
 def html_rows(documents: DataFrame, content: str = "content", keep: tuple[str, ...] = (),
-              chunk_rows: int = 2000, chunk_chars: int = 16_000_000) -> DataFrame:
+              chunk_rows: int = 2000, chunk_chars: int = 16_000_000, implied: bool = True) -> DataFrame:
     """One output row per HTML table row: kept columns, item_pos, cells, markup.
 
     Rows leave in chunks bounded by number and by text, whatever a document holds.
+    Omitted end tags are supplied, so a page of open rows takes linear time; with
+    ``implied`` off, open rows and cells hold all that follows, which multiplies it.
     """
     kept = list(keep)
 
@@ -248,7 +319,7 @@ def html_rows(documents: DataFrame, content: str = "content", keep: tuple[str, .
             chars = 0
             for record in batch.itertuples(index=False, name=None):
                 *values, text = record
-                for position, cells, markup in table_rows(text or ""):
+                for position, cells, markup in table_rows(text or "", implied):
                     rows.append((*values, position, cells, markup))
                     chars += len(markup)
                     if len(rows) >= chunk_rows or chars >= chunk_chars:

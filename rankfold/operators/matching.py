@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from rankfold import fixed_values as fv
 from rankfold.config import SearchConfig
 from rankfold.functions import text as tx
 from rankfold.functions.html import html_to_text
+from rankfold.functions.patterns import Words
 from rankfold.schema import each_item
 from rankfold.session import cut_lineage
 
@@ -32,33 +34,76 @@ def flag_members(df: DataFrame, column: str, members: DataFrame, member: str, na
     return joined.withColumn(name, F.coalesce("_hit", F.lit(False))).drop("_member", "_hit")
 
 
-def keyword_semi_join(texts: DataFrame, text: str, keywords: DataFrame, keyword: str) -> DataFrame:
+#: Characters of a keyword table that are sent to the tasks at most; longer tables are joined.
+SHIPPED = 1_000_000
+#: Characters of a window of text.
+WINDOW = 256
+
+
+def small_words(words: DataFrame, word: str, most: int = SHIPPED) -> list[str] | None:
+    """The distinct words if they have at most ``most`` characters in all, else None."""
+    size = words.agg(F.sum(F.char_length(word))).first()[0] or 0
+    return [r[0] for r in words.select(word).distinct().collect()] if size <= most else None
+
+
+def windows(text: Column, more: int, width: int = WINDOW) -> Column:
+    """Consecutive windows of a text, each with the first ``more`` characters behind it.
+
+    One expression cuts them all, in time proportional to the text.
+    """
+    width = max(width, more)
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
+    if not more:
+        return pieces
+    following = F.concat(F.slice(pieces, F.lit(2), F.size(pieces)), F.array(F.lit("")))
+    return F.zip_with(pieces, following, lambda own, after: F.concat(own, F.substring(after, 1, more)))
+
+
+def keyword_pairs(texts: DataFrame, keys: Sequence[str], text: str, words: DataFrame, word: str,
+                  width: int = WINDOW) -> DataFrame:
+    """(keys, word) of every word that a text contains, for word tables of any size.
+
+    Texts are cut into windows; the distinct substrings of a window that have the
+    shortest word's length meet the beginnings of the words by equality, and only
+    words longer than that are looked for in the text itself.  ``keys`` tell texts
+    apart; words are distinct and not empty.
+    """
+    shortest = words.agg(F.min(F.char_length(word))).first()[0]
+    if shortest is None:
+        return texts.select(*keys, F.lit("").alias(word)).limit(0)
+    long_enough = texts.filter(F.char_length(text) >= shortest)
+    cut = each_item(long_enough, [*keys], windows(F.col(text), shortest - 1, width), "_nth", "_window")
+    begun = F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.char_length("_window") - shortest + 1),
+        lambda start: F.substring(F.col("_window"), start, F.lit(shortest))))
+    pieces = each_item(cut.filter(F.char_length("_window") >= shortest), [*keys], begun, "_nth", "_begin")
+    met = pieces.join(words.select(word, F.substring(word, 1, shortest).alias("_begin")), "_begin").select(*keys, word).distinct()
+    whole = F.char_length(word) == shortest
+    verified = met.filter(~whole).join(texts.select(*keys, F.col(text).alias("_whole")), [*keys]).filter(F.contains("_whole", word))
+    return met.filter(whole).union(verified.select(*keys, word))
+
+
+def keyword_semi_join(texts: DataFrame, text: str, keywords: DataFrame, keyword: str, most: int = SHIPPED) -> DataFrame:
     """Rows whose lower-cased text contains any keyword of a table of any size.
 
-    Every distinct text gives its distinct substrings of the length of the
-    shortest keyword; those meet the beginnings of the keywords by equality, and
-    the few candidates are verified.  So no keyword is paired with a text that
-    lacks its beginning.  Texts are known by two hashes: rows need no key, and
-    rows with equal texts share their outcome.
+    A table of at most ``most`` characters is sent to the tasks, where an automaton
+    reads every text once, up to the first keyword: nothing is shuffled.  A larger
+    one goes through ``keyword_pairs``.  Texts are known by two hashes there: rows
+    need no key, and rows with equal texts share their outcome.
     """
     wanted = cut_lineage(keywords.select(F.lower(keyword).alias("_word")).filter("_word <> ''").distinct())
-    shortest = wanted.agg(F.min(F.char_length("_word"))).first()[0]
-    if shortest is None:
-        return texts.limit(0)
     lowered = F.lower(F.col(text))
+    shipped = small_words(wanted, "_word", most)
+    if shipped is not None:
+        words = Words(shipped)
+
+        def any_word(parts: pd.Series) -> pd.Series:
+            return parts.map(lambda part: isinstance(part, str) and words.any_in(part)).astype("bool")
+
+        return texts.filter(F.pandas_udf(any_word, "boolean")(lowered)) if shipped else texts.limit(0)
     hashes = {"_h1": F.xxhash64(lowered), "_h2": F.hash(lowered)}
     distinct = texts.select(lowered.alias("_text"), *[h.alias(n) for n, h in hashes.items()]).dropDuplicates(["_h1", "_h2"])
-    begun = F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.char_length("_text") - shortest + 1),
-        lambda start: F.substring(F.col("_text"), start, F.lit(shortest))))
-    long_enough = distinct.filter(F.char_length("_text") >= shortest)
-    pieces = each_item(long_enough, ["_h1", "_h2"], begun, "_nth", "_begin")
-    words = wanted.withColumn("_begin", F.substring("_word", 1, shortest))
-    met = pieces.join(words, "_begin").select("_h1", "_h2", "_word")
-    whole = F.char_length("_word") == shortest
-    sure = met.filter(whole).select("_h1", "_h2")
-    verified = met.filter(~whole).join(distinct, ["_h1", "_h2"]).filter(F.contains("_text", "_word")).select("_h1", "_h2")
-    hits = sure.union(verified).distinct()
+    hits = keyword_pairs(distinct, ["_h1", "_h2"], "_text", wanted, "_word").select("_h1", "_h2").distinct()
     return texts.withColumns(hashes).join(hits, ["_h1", "_h2"], "left_semi").drop("_h1", "_h2")
 
 

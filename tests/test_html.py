@@ -68,3 +68,46 @@ def test_html_rows_keeps_columns_and_splits_output(spark, collect):
     out = hm.html_rows(df, keep=("source", "doc_no"), chunk_rows=10, chunk_chars=200)
     assert out.columns == ["source", "doc_no", "item_pos", "cells", "markup"]
     assert [r[2] for r in collect(out.orderBy("item_pos"), "source", "doc_no", "item_pos")] == sorted(range(25), key=str)
+
+
+def test_implied_end_tags():
+    rows = lambda markup: [(c, m) for _, c, m in hm.table_rows(markup, implied=True)]
+    open_rows = "<table><thead><tr><th>Company<tbody><tr><td>Acme<td><p>En<b>gin</b>eer<p>II<td>NYC<tr><td>B<td>C<td>D</table><p>after"
+    assert [c for c, _ in rows(open_rows)] == [["Acme", "EngineerII", "NYC"], ["B", "C", "D"]]
+    assert rows(open_rows)[1][1] == "<tr><td>B</td><td>C</td><td>D</td>"
+    # an inner table's rows end neither the outer row nor its cells
+    nested = "<tr><td>1<td>2<table><tr><td>x<td>y<td>z<tr><td>u<td>v<td>w</table><td>3<tr><td>a<td>b<td>c"
+    assert [c for c, _ in rows(nested)] == [["1", "2xyzuvw", "x", "y", "z", "u", "v", "w", "3"], ["x", "y", "z"], ["u", "v", "w"], ["a", "b", "c"]]
+    # an end tag inside an inner table does not reach out of it
+    assert [c for c, _ in rows("<tr><td>1<td><table><tr></td><td>x</table>2<td>3</tr>")] == [["1", "x2", "x", "3"]]
+    lists = "<tr><td><ul><li>one<li>two<ul><li>three</ul><li>four</ul><td>b<td>c"
+    assert rows(lists) == [(["onetwothreefour", "b", "c"],
+                            "<tr><td><ul><li>one</li><li>two<ul><li>three</li></ul></li><li>four</li></ul></td><td>b</td><td>c")]
+
+
+def test_both_ways_agree_on_closed_markup():
+    import random
+
+    rng = random.Random(1)
+
+    def cell(depth):
+        inner = rng.choice(["x", "<b>y</b>", "<ul><li>1</li><li>2</li></ul>", "<p>p</p>", "<a href='u'>l</a>", "<!-- c -->", "<script>s</script>"])
+        return f"<td>{table(depth + 1) if depth < 2 and rng.random() < 0.2 else inner}</td>"
+
+    def table(depth):
+        return "<table>" + "".join(f"<tr>{''.join(cell(depth) for _ in range(rng.randrange(1, 5)))}</tr>" for _ in range(rng.randrange(1, 4))) + "</table>"
+
+    for _ in range(300):
+        markup = table(0)
+        assert list(hm.table_rows(markup)) == list(hm.table_rows(markup, implied=True))
+
+
+def test_open_rows_take_linear_time(spark):
+    import time
+
+    start = time.perf_counter()
+    found = list(hm.table_rows("<table>" + "<tr><td>a<td>b<td>c" * 100_000, implied=True))
+    assert time.perf_counter() - start < 15   # nested reading is cubic: it would not end
+    assert len(found) == 100_000 and all(c == ["a", "b", "c"] for _, c, _ in found)
+    df = spark.createDataFrame([(1, "<tr><td>a<td>b<td>c" * 3000)], "doc_no int, content string")
+    assert hm.html_rows(df, keep=("doc_no",)).count() == 3000

@@ -19,14 +19,15 @@ def test_flag_members_keeps_the_row_count(spark, collect):
     assert collect(mt.flag_members(df, "c", members, "m")) == [("A", True), ("a", True), ("b", False), (None, False)]
 
 
-def test_keyword_semi_join_against_brute_force(spark):
+@pytest.mark.parametrize("most", [mt.SHIPPED, 0])   # by automaton, by join
+def test_keyword_semi_join_against_brute_force(spark, most):
     rng = random.Random(3)
     letters = "abcÄ "
     texts = [(i, "".join(rng.choice(letters) for _ in range(rng.randrange(0, 12)))) for i in range(200)] + [(900, None), (900, "abc"), (900, "abc")]
     words = {"".join(rng.choice(letters) for _ in range(rng.randrange(1, 5))) for _ in range(12)} | {""}
     got = mt.keyword_semi_join(
         spark.createDataFrame(texts, "id int, t string"), "t",
-        spark.createDataFrame([(w,) for w in words] * 2 + [(None,)], "w string"), "w")
+        spark.createDataFrame([(w,) for w in words] * 2 + [(None,)], "w string"), "w", most)
     expected = [i for i, t in texts if any(w and w.lower() in (t or "").lower() for w in words)]
     assert sorted(r["id"] for r in got.collect()) == expected
 
@@ -45,10 +46,32 @@ def test_null_descriptions_are_filled(spark):
     assert sorted((r["url"], r["description"]) for r in got) == [("", ""), ("u", "from the page"), ("v", "own")]
 
 
+@pytest.mark.parametrize("most", [mt.SHIPPED, 0])
+def test_long_texts_take_linear_time(spark, most):
+    import time
+
+    body = "some plain words of a very long text with ünïcode 😀 and no keyword at all; " * 14_000   # over 1 MB
+    texts = spark.createDataFrame([(1, body), (2, body + "needle"), (3, "needl" + body), (4, "x" * 300 + "needle in a window's end")], "id int, t string")
+    words = spark.createDataFrame([("needle",), ("haystack",), ("needles in another place",)], "w string")
+    start = time.perf_counter()
+    assert sorted(r["id"] for r in mt.keyword_semi_join(texts, "t", words, "w", most).collect()) == [2, 4]
+    assert time.perf_counter() - start < 20   # cutting every substring from the beginning takes minutes
+
+
+@pytest.mark.parametrize("width", [1, 3, 256])
+def test_pairs_of_texts_and_words(spark, width):
+    rng = random.Random(4)
+    texts = [(i, "".join(rng.choice("abÄ😀") for _ in range(rng.randrange(0, 40)))) for i in range(60)]
+    words = sorted({"".join(rng.choice("abÄ😀") for _ in range(rng.randrange(2, 6))) for _ in range(15)})
+    got = mt.keyword_pairs(spark.createDataFrame(texts, "id int, t string"), ["id"], "t",
+                           spark.createDataFrame([(w,) for w in words], "w string"), "w", width)
+    assert sorted(map(tuple, got.collect())) == sorted((i, w) for i, t in texts for w in words if w in t)
+
+
 def test_long_keyword_tables_join_on_equality(spark):
     texts = spark.createDataFrame([(1, "abc")], "id int, t string")
     words = spark.range(50).select(F.concat(F.lit("w"), F.col("id")).alias("w"))
-    plan = mt.keyword_semi_join(texts, "t", words, "w")._jdf.queryExecution().executedPlan().toString()
+    plan = mt.keyword_semi_join(texts, "t", words, "w", 0)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
