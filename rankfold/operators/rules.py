@@ -25,21 +25,33 @@ MONEY_PATTERN = r"\$ ?[0-9][0-9,]*(?:\.[0-9]+)?(?:[km]\b)?"
 # a dot ends a sentence only before a blank or the end: not in ".net", "node.js" or "v1.5"
 SENTENCE_END = r"[!?;\n]+|\.+(?=\s|$)"
 # "Go" is a language beside commas, slashes, brackets or in a list; elsewhere it is a verb
-GO_IN_LIST = r"(?<=[,/(] ?|\bor |\band |\bin |\bwith )Go\b(?= ?[,/)]|\.?(?:\s*$|\s+[A-Z])| or\b| and\b| developer| engineer)"
+GO_IN_LIST = r"Go\b(?<=(?:[,/(] ?|\bor |\band |\bin |\bwith )Go)(?= ?[,/)]|\.?(?:\s*$|\s+[A-Z])| or\b| and\b| developer| engineer)"
+GO_NAME = "golang"
 
 
-def with_rule_text(df: DataFrame) -> DataFrame:
-    """Lower-cased text columns, computed once and shared by all rules."""
+def _names_go(config: SearchConfig) -> bool:
+    words = [*config.technologies, *config.wanted_languages, *config.rival_languages, *(w for r in config.rules for w in (*r.keywords, *r.unless))]
+    return any(GO_NAME in w for w in words)
+
+
+def with_rule_text(df: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
+    """Lower-cased text columns, computed once and shared by all rules.
+
+    Texts are searched for the language "Go" only where a setting names it and a text holds the letters.
+    """
+    body = text_or_empty(F.col("description"))
+    if _names_go(config):
+        body = F.when(F.contains(body, F.lit("Go")), F.regexp_replace(body, GO_IN_LIST, GO_NAME)).otherwise(body)
     lowered = df.withColumns({
         "_title": F.lower(text_or_empty(F.col("role"))),
-        "_body": F.lower(F.regexp_replace(text_or_empty(F.col("description")), GO_IN_LIST, "golang")),
+        "_body": F.lower(body),
         "_place": F.lower(tx.strip_space(text_or_empty(F.col("location")))),
         "_firm": F.lower(text_or_empty(F.col("company"))),
     })
     return lowered.withColumn("_both", F.concat_ws("\n", "_title", "_body"))
 
 
-_SCOPE = {"title": "_title", "description": "_body", "location": "_place", "company": "_firm", "both": "_both"}
+SCOPE = {"title": "_title", "description": "_body", "location": "_place", "company": "_firm", "both": "_both"}
 
 
 def _required(column: Column, words: Sequence[str], config: SearchConfig) -> Column:
@@ -54,7 +66,7 @@ def _required(column: Column, words: Sequence[str], config: SearchConfig) -> Col
 
 def rule_hit(rule: Rule, config: SearchConfig) -> Column:
     """Whether a rule applies to a row that has the ``with_rule_text`` columns."""
-    column = F.col(_SCOPE[rule.scope])
+    column = F.col(SCOPE[rule.scope])
     if rule.match == "required":
         # cheap test first: most texts never name the word
         hit = tx.contains_any(column, rule.keywords) & _required(column, rule.keywords, config)
@@ -203,19 +215,29 @@ def band(score: Column) -> Column:
 
 def score_by_rules(df: DataFrame, config: SearchConfig = SearchConfig(),
                    company_rules: DataFrame | None = None,
-                   company_attrs: DataFrame | None = None) -> DataFrame:
-    """Adds score, verdict, flag, reason.  The default scorer of a run."""
+                   company_attrs: DataFrame | None = None, rule_table: DataFrame | None = None) -> DataFrame:
+    """Adds score, verdict, flag, reason.  The default scorer of a run.
+
+    ``rule_table`` has further rules, any number of them (see ``rule_tables``); they come after the configured ones.
+    """
     attr = lambda c: F.coalesce(c, F.lit(False))
     of_text = screen_caps(config)
     # every test of the texts runs once, before the company facts are joined; what follows,
     # and any filter on the score, only looks at its outcome
     hits = {f"_screen{i}": hit for i, (hit, _, _) in enumerate(of_text)}
+    rows = with_rule_text(df, config)
+    folded = _no_table_rules()
+    if rule_table is not None:
+        from rankfold.operators import rule_tables as rt
+
+        rows, folded = rt.with_rule_hits(rows, rule_table, config), rt.folded(F.col(rt.HITS))
     rows = sc.compute_once(
-        with_rule_text(df), **hits,
-        _out=disqualifier(config),
-        _note=first_hit(_of_kind(config, cf.FLAG), config, lambda r: r.flag),
-        _base=F.lit(config.base_score) + rule_points(config),
+        rows, **hits,
+        _out=F.coalesce(disqualifier(config), folded["out"]),
+        _note=F.coalesce(first_hit(_of_kind(config, cf.FLAG), config, lambda r: r.flag), folded["note"]),
+        _base=F.lit(config.base_score) + rule_points(config) + folded["points"],
         _cosmetic=is_cosmetic(config),
+        _table_cap=folded["cap"], _table_cap_flag=folded["cap_flag"], _table_out_flag=folded["out_flag"],
     ).drop("_body", "_both", "_place")
     rows = with_company_facts(rows, config, company_rules, company_attrs)
     of_company = [
@@ -232,13 +254,14 @@ def score_by_rules(df: DataFrame, config: SearchConfig = SearchConfig(),
         + F.when(attr(F.col("size_class") == "small"), config.small_company_points).otherwise(0)
     ))
     cap = F.least(
-        F.coalesce("company_cap", F.lit(100)),
+        F.coalesce("company_cap", F.lit(100)), F.coalesce("_table_cap", F.lit(100)),
         *[F.when(F.col(name), screen[1]).otherwise(100) for name, screen in zip(hits, screens)],
     )
-    cap_flag = F.coalesce("company_flag", *[F.when(F.col(n), screen[2]) for n, screen in zip(hits, screens)])
+    flags = [F.when(F.col(n), screen[2]) for n, screen in zip(hits, screens)]
+    cap_flag = F.coalesce("company_flag", *flags[:len(of_text)], "_table_cap_flag", *flags[len(of_text):])
     out_flag = F.coalesce(*[
         F.when(F.col("_out") == r.rule_id, r.flag) for r in _of_kind(config, cf.DISQUALIFY)
-    ], F.lit(None).cast("string"))
+    ], F.col("_table_out_flag"))
     rows = rows.withColumns({"_cap": cap, "_cap_flag": cap_flag, "_out_flag": out_flag})
     zero = F.col("_out").isNotNull() | (F.col("_cap") == 0)
     flagged = F.col("_cap_flag").isNotNull() | F.col("_note").isNotNull()
@@ -254,22 +277,31 @@ def score_by_rules(df: DataFrame, config: SearchConfig = SearchConfig(),
     return scored.select(*df.columns, "score", "verdict", "flag", "reason")
 
 
+def _no_table_rules() -> dict[str, Column]:
+    """What a run without a rule table has in place of ``rule_tables.folded``."""
+    none = F.lit(None)
+    return {"out": none.cast("string"), "out_flag": none.cast("string"), "note": none.cast("string"), "points": F.lit(0),
+            "cap": none.cast("int"), "cap_flag": none.cast("string")}
+
+
 def load_rules(table: DataFrame, limit: int = 1000) -> tuple[Rule, ...]:
-    """Rules from a table (rule_id, rule_order, kind, scope, match, keyword, value, flag).
+    """Rules of a table (see ``schema.RULES_SCHEMA``; unless and unless_pattern may be absent) as settings.
 
-    Rules become part of the plan, so their number is checked: a rule set is
-    settings, not data.  Keyword tables of any size go through
-    ``keyword_semi_join`` instead.
+    Such rules become part of the plan, so their number is checked.  Rule tables
+    of any length are given to ``score_by_rules`` as a table.
     """
-    columns = ("rule_order", "rule_id", "kind", "scope", "match", "keyword", "value", "flag")
+    optional = [c for c in ("unless", "unless_pattern") if c in table.columns]
+    columns = ("rule_order", "rule_id", "kind", "scope", "match", "keyword", "value", "flag", *optional)
     rows = table.select(*columns).limit(limit + 1).collect()
     if len(rows) > limit:
-        raise ValueError(f"more than {limit} rule rows: use keyword_semi_join for keyword tables")
-    grouped: dict[tuple, list[str]] = {}
+        raise ValueError(f"more than {limit} rule rows: give the table itself to score_by_rules")
+    grouped: dict[tuple, list] = {}
     for row in sorted(rows, key=lambda r: (r["rule_order"], r["rule_id"], r["keyword"])):
         head = (row["rule_id"], row["kind"], row["scope"], row["match"], row["value"] or 0, row["flag"] or "")
-        grouped.setdefault(head, []).append(row["keyword"])
+        grouped.setdefault(head, []).append(row.asDict())
     return tuple(
-        Rule(rule_id, kind, scope, match, tuple(words), value, flag)
-        for (rule_id, kind, scope, match, value, flag), words in grouped.items()
+        Rule(rule_id, kind, scope, match, tuple(r["keyword"] for r in same), value, flag,
+             tuple(dict.fromkeys(w for r in same for w in r.get("unless") or ())),
+             next((r["unless_pattern"] for r in same if r.get("unless_pattern")), ""))
+        for (rule_id, kind, scope, match, value, flag), same in grouped.items()
     )

@@ -67,12 +67,12 @@ def _attrs(spark, sf):
 
 
 def hard_disqualifiers(spark, sf):
-    rows = rl.with_rule_text(_document_rows(spark, sf))
+    rows = rl.with_rule_text(_document_rows(spark, sf), CONFIG)
     return rows.select("doc_id", F.coalesce(rl.disqualifier(CONFIG), F.lit("")).alias("rule_id"))
 
 
 def score_caps(spark, sf):
-    rows = rl.with_company_facts(rl.with_rule_text(_document_rows(spark, sf)), CONFIG)
+    rows = rl.with_company_facts(rl.with_rule_text(_document_rows(spark, sf), CONFIG), CONFIG)
     salary, technologies, mismatch, harsh = (hit for hit, _, _ in rl.screen_caps(CONFIG))
     return rows.select(
         "doc_id", salary.alias("salary"), technologies.alias("technologies"), mismatch.alias("mismatch"),
@@ -82,7 +82,7 @@ def score_caps(spark, sf):
 
 
 def weighted_rules(spark, sf):
-    rows = rl.with_rule_text(_document_rows(spark, sf))
+    rows = rl.with_rule_text(_document_rows(spark, sf), CONFIG)
     return rows.select("doc_id", rl.rule_points(CONFIG).alias("points"), rl.is_cosmetic(CONFIG).alias("cosmetic"))
 
 

@@ -35,6 +35,11 @@ PROBES_SCHEMA = "ats STRING, slug STRING, http_status INT, payload STRING, error
 REGISTRY_SCHEMA = "ats STRING, slug STRING, board STRING, position INT"
 CATEGORIES_SCHEMA = "category STRING, category_rank INT, company STRING"
 COMPANY_RULES_SCHEMA = "company_lower STRING, title_contains STRING, cap INT, flag STRING"
+#: One row per keyword; the other columns are those of the keyword's rule.
+RULES_SCHEMA = (
+    "rule_id STRING, rule_order INT, kind STRING, scope STRING, match STRING, keyword STRING, value INT, flag STRING, "
+    "unless ARRAY<STRING>, unless_pattern STRING"
+)
 COMPANY_ATTRS_SCHEMA = (
     "company_lower STRING, size_class STRING, is_tech BOOLEAN, is_sponsor BOOLEAN, is_known BOOLEAN"
 )
