@@ -30,11 +30,14 @@ CITIES = (
     "munich", "nairobi", "osaka", "oslo", "ottawa", "paris", "prague", "pune", "rome", "sao paulo", "seoul", "shanghai", "stockholm",
     "sydney", "tel aviv", "tokyo", "vancouver", "vienna", "warsaw", "zurich",
 )
+US_STATE_CODES = tuple(
+    "al ak az ar ca co ct de fl ga hi id il in ia ks ky la me md ma mi mn ms mo mt ne nv nh nj nm ny nc nd oh ok or pa ri sc sd "
+    "tn tx ut vt va wa wv wi wy dc".split()
+)
 #: A location that names the US, or ends in the code of one of its states, as in "Paris, TX".
 US_LOCATION = (
     r"(^|[^a-z])(usa?|u\.s\.a?\.?|united states|"
-    r"new mexico)($|[^a-z])|, *(al|ak|az|ar|ca|co|ct|de|fl|ga|hi|id|il|in|ia|ks|ky|la|me|md|ma|mi|mn|ms|mo|mt|ne|nv|nh|nj|nm|ny|"
-    r"nc|nd|oh|ok|or|pa|ri|sc|sd|tn|tx|ut|vt|va|wa|wv|wi|wy|dc)( [0-9]{5})?$"
+    rf"new mexico)($|[^a-z])|, *({'|'.join(US_STATE_CODES)})( [0-9]{{5}})?$"
 )
 
 DISQUALIFY, CAP, POINTS, FLAG = "disqualify", "cap", "points", "flag"

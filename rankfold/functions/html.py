@@ -222,7 +222,7 @@ class _TableRows(_Walker):
         self._close(depth)
 
     def handle_starttag(self, tag, attrs):
-        if self.implied and self.open:
+        if self.implied and tag in _ENDS and self.open:
             self.flush()
             self._imply(tag)
         super().handle_starttag(tag, attrs)

@@ -12,6 +12,7 @@ from rankfold.functions.text import title_case
 from rankfold.operators.matching import residual
 from rankfold.operators.ranking import first_success
 from rankfold.schema import CATEGORIES_SCHEMA, compute_once, each_item, local_table
+from rankfold.session import cut_lineage
 from rankfold.sources.boards import board_a_count, board_b_count
 
 
@@ -95,15 +96,54 @@ def unconfirmed(outcome: DataFrame) -> DataFrame:
 
 # ---- discovery -----------------------------------------------------------------
 
+def attempts(candidates: DataFrame, probes: DataFrame, ats: str = fv.BOARD_A) -> DataFrame:
+    """company, company_pos, pos, slug, jobs, http_status, problem: every try of every company with its answer.
+
+    The one pass over probes that a discovery needs: winners, errors and totals are
+    folds of it.  A try without an answer, and a company without candidates, have a
+    row as well.
+    """
+    tries = candidates.select("company", "company_pos", F.posexplode_outer("slugs").alias("pos", "slug"))
+    unreadable = F.when((F.col("http_status") == 200) & F.col("jobs").isNull(), "unreadable answer")
+    answers = compute_once(probe_jobs(probes.filter(F.col("ats") == ats)), problem=F.coalesce("error", unreadable))
+    return tries.join(answers.select("slug", "jobs", "http_status", "problem"), "slug", "left").select(
+        "company", "company_pos", "pos", "slug", "jobs", "http_status", "problem")
+
+
+def settled(tried: DataFrame) -> DataFrame:
+    """company, company_pos, pos, slug, jobs: the first working try of every company, else nulls."""
+    worked = F.col("jobs").isNotNull()
+    best = F.min(F.when(worked, F.struct("pos", (-F.col("jobs")).alias("minus"), "slug"))).alias("_best")
+    return tried.groupBy("company", "company_pos").agg(best).select(
+        "company", "company_pos", F.col("_best.pos").alias("pos"), F.col("_best.slug").alias("slug"),
+        (-F.col("_best.minus")).alias("jobs"))
+
+
+def found_boards(winners: DataFrame) -> DataFrame:
+    """company, company_pos, slug, jobs, url of settled companies."""
+    url = F.when(F.col("slug").isNotNull(), F.format_string(fv.BOARD_LISTING_LINK, F.col("slug")))
+    return winners.select("company", "company_pos", "slug", "jobs", url.alias("url"))
+
+
+def errors_before(tried: DataFrame, winners: DataFrame) -> DataFrame:
+    """company, company_pos, pos, slug, kind, message of tries that failed before their company was settled.
+
+    An unreadable answer counts as an error.  Answers other than 200 and 404 are
+    reported too, as kind 'status'.
+    """
+    bad = tried.filter(F.col("problem").isNotNull() | ~F.col("http_status").isin(200, 404))
+    won = winners.select("company_pos", F.col("pos").alias("_won"))
+    reported = bad.join(won, "company_pos").filter(F.col("_won").isNull() | (F.col("pos") < F.col("_won")))
+    raised = F.col("problem").isNotNull()
+    return reported.select(
+        "company", "company_pos", "pos", "slug", F.when(raised, "error").otherwise("status").alias("kind"),
+        F.when(raised, error_text(F.col("company"), F.col("slug"), F.col("problem"))).otherwise(
+            F.format_string("%s (%s): HTTP %d", "company", "slug", "http_status")).alias("message"))
+
+
 def discover(candidates: DataFrame, probes: DataFrame, ats: str = fv.BOARD_A) -> DataFrame:
     """company, company_pos, slug, jobs, url: the first working candidate, else nulls."""
-    tries = candidates.select("company", "company_pos", F.posexplode_outer("slugs").alias("pos", "slug"))
-    working = probe_counts(probes.filter(F.col("ats") == ats)).filter("jobs IS NOT NULL").drop("ats")
-    best = first_success(tries.join(working, "slug", "left"), ("company", "company_pos"), "pos",
-                         F.col("jobs").isNotNull(), ("slug", "jobs"))
-    return best.withColumn("url", F.format_string(fv.BOARD_LISTING_LINK, F.col("slug"))).withColumn(
-        "url", F.when(F.col("slug").isNotNull(), F.col("url"))
-    )
+    return found_boards(settled(attempts(candidates, probes, ats)))
 
 
 def confirmed(found: DataFrame) -> DataFrame:
@@ -134,31 +174,13 @@ def error_text(company: Column, slug: Column, error: Column) -> Column:
     return F.concat(company, F.lit(" ("), slug, F.lit("): "), shown)
 
 
-def probe_errors(candidates: DataFrame, probes: DataFrame, found: DataFrame, ats: str = fv.BOARD_A) -> DataFrame:
-    """company, slug, kind, message of probes that failed before a company was settled.
+def probe_errors(candidates: DataFrame, probes: DataFrame, found: DataFrame | None = None, ats: str = fv.BOARD_A) -> DataFrame:
+    """company, slug, kind, message of probes that failed before a company was settled (``errors_before``).
 
-    An unreadable answer counts as an error.  Answers other than 200 and 404 are
-    reported too, as kind 'status'.
+    The tries are saved: probes are read and parsed once for the winners and the errors.
     """
-    tries = candidates.select("company", "company_pos", "slugs", F.posexplode("slugs").alias("pos", "slug"))
-    settled = found.select("company_pos", F.col("slug").alias("_won"))
-    unreadable = F.when((F.col("http_status") == 200) & F.col("jobs").isNull(), "unreadable answer")
-    answers = compute_once(
-        probe_jobs(probes.filter(F.col("ats") == ats)), problem=F.coalesce("error", unreadable)
-    )
-    bad = answers.filter(F.col("problem").isNotNull() | ~F.col("http_status").isin(200, 404)).select(
-        "slug", "http_status", F.col("problem").alias("error"))
-    tried = tries.join(settled, "company_pos").filter(
-        F.col("_won").isNull() | (F.col("pos") < F.array_position("slugs", F.col("_won")) - 1)
-    )
-    reported = tried.join(bad, "slug")
-    return reported.select(
-        "company", "company_pos", "pos", "slug",
-        F.when(F.col("error").isNotNull(), "error").otherwise("status").alias("kind"),
-        F.when(F.col("error").isNotNull(), error_text(F.col("company"), F.col("slug"), F.col("error"))).otherwise(
-            F.format_string("%s (%s): HTTP %d", "company", "slug", "http_status")
-        ).alias("message"),
-    )
+    tried = cut_lineage(attempts(candidates, probes, ats))
+    return errors_before(tried, settled(tried))
 
 
 def default_categories(df: DataFrame) -> DataFrame:

@@ -54,11 +54,13 @@ class Discovery:
 
 def discover(candidates: DataFrame, probes: DataFrame, categories: DataFrame | None = None,
              ats: str = fv.BOARD_A, save: bool = True) -> Discovery:
-    found = rg.discover(candidates, probes, ats)
-    if save:
-        found = cut_lineage(found)
+    """One pass over the probes: their tries are saved, then folded to winners and errors."""
+    keep = cut_lineage if save else (lambda df: df)
+    tried = keep(rg.attempts(candidates, probes, ats))
+    winners = keep(rg.settled(tried))
+    found = rg.found_boards(winners)
     missing = rg.not_found(found)
-    errors = rg.probe_errors(candidates, probes, found, ats)
+    errors = rg.errors_before(tried, winners)
     listed = categories if categories is not None else rg.default_categories(candidates)
     return Discovery(
         confirmed=rg.confirmed(found), not_found=missing, errors=errors,

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
-from functools import partial
+from functools import cached_property, partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -44,41 +44,77 @@ class Inputs:
     pages: DataFrame | None = None
     company_rules: DataFrame | None = None
     company_attrs: DataFrame | None = None
+    rule_table: DataFrame | None = None
 
 
 @dataclass
 class Stages:
-    """What a run leaves behind.  Frames stay lazy unless the run saved them."""
+    """What a run leaves behind.  Frames stay lazy unless the run saved them.
+
+    Rows are scored, and descriptions looked up for that, when ``capped``, ``scored`` or what
+    follows from them is first asked for: a run of which only counts are wanted scores nothing.
+    """
 
     postings: DataFrame      # union of all sources
     unique: DataFrame        # keep-first by link
     recent: DataFrame        # after the optional today filter, with has_signal
-    capped: DataFrame        # the rows to process, descriptions filled
-    scored: DataFrame        # every capped row with score, verdict, flag, reason
-    results: DataFrame       # rows through the gate, in rank order
-    source_counts: DataFrame # rows found per source, before keep-first
-    run_counts: DataFrame    # one row: found, unique, recent, with signal, to process
-    histogram: DataFrame
+    config: SearchConfig
+    fill: Callable[[], DataFrame]
+    score: Callable[[DataFrame], DataFrame]
+
+    @cached_property
+    def capped(self) -> DataFrame:
+        """The rows to process, descriptions filled."""
+        return self.fill()
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        """Every capped row with score, verdict, flag, reason."""
+        return self.score(self.capped)
+
+    @property
+    def results(self) -> DataFrame:
+        """Rows through the gate, in rank order."""
+        return gated(self.scored, self.config).orderBy(*rank_order())
+
+    @property
+    def source_counts(self) -> DataFrame:
+        """Rows found per source, before keep-first."""
+        return reports.stage_counts(self.postings, "source")
+
+    @property
+    def run_counts(self) -> DataFrame:
+        """One row: found, unique, recent, with signal, to process."""
+        return run_counts(self.postings, self.unique, self.recent, self.config)
+
+    @property
+    def histogram(self) -> DataFrame:
+        return reports.score_histogram(self.scored)
 
 
 # Lists come in their configured ranks; boards follow all lists.
 BOARD_A_RANK, BOARD_B_RANK, BOARD_C_RANK = 1_000_000, 1_000_001, 1_000_002
 
 
-def all_postings(inputs: Inputs, config: SearchConfig = SearchConfig()) -> DataFrame:
-    """Union of every given source, its fixed order kept in the order columns."""
+def all_postings(inputs: Inputs, config: SearchConfig = SearchConfig(), late: bool = False) -> DataFrame:
+    """Union of every given source, its fixed order kept in the order columns.
+
+    ``late`` leaves markup unparsed in columns of its own (see ``boards.described``).
+    """
     parts: list[DataFrame] = []
     if inputs.raw_docs is not None:
         sources = inputs.sources if inputs.sources is not None else default_sources(inputs.raw_docs.sparkSession)
         parts.append(lists.list_postings(inputs.raw_docs, sources, config.keep_empty_cells))
     if inputs.board_a is not None:
-        parts.append(boards.board_a_postings(inputs.board_a, BOARD_A_RANK, config))
+        parts.append(boards.board_a_postings(inputs.board_a, BOARD_A_RANK, config, late))
     if inputs.board_b is not None:
-        parts.append(boards.board_b_postings(inputs.board_b, BOARD_B_RANK, config))
+        parts.append(boards.board_b_postings(inputs.board_b, BOARD_B_RANK, config, late))
     if inputs.board_c is not None and inputs.host_probes is not None:
         parts.append(boards.board_c_postings(inputs.board_c, inputs.host_probes, BOARD_C_RANK, config))
     if not parts:
         raise ValueError("no source given")
+    if late:
+        parts = [p if boards.MARKUP in p.columns else boards.with_markup(p) for p in parts]
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
@@ -90,9 +126,12 @@ def choose_rows(postings: DataFrame, as_of: datetime, config: SearchConfig = Sea
     """(unique, recent, capped): keep-first, today filter, priority cap.
 
     ``save`` is applied where several later steps read the same rows: to the
-    unique rows and to the (then small) capped ones.
+    unique rows and to the (then small) capped ones.  Markup that postings bring
+    along is parsed for the rows that stay.
     """
     unique = ranking.keep_first(postings, "url", ORDER_COLUMNS, config.empty_url)
+    if boards.MARKUP in unique.columns:
+        unique = boards.described(unique, config)
     signal = has_signal(F.col("role"), F.col("description"), config.signal_words)
     unique = save(unique.withColumn("has_signal", signal))
     recent = unique.filter(posted_today(F.col("posted"), as_of)) if config.today_only else unique
@@ -141,24 +180,22 @@ def run_search(inputs: Inputs, as_of: datetime, config: SearchConfig = SearchCon
                scorer: Scorer | None = None, save_stages: bool = True) -> Stages:
     """A whole run.
 
-    ``save_stages`` writes the unique, capped, filled and scored rows to the
-    shared folder: each is read by several steps, and lost executors then never
-    repeat the parsing.
+    ``save_stages`` writes the postings as the sources give them, the unique, capped, filled and
+    scored rows to the shared folder: each is read by several steps, and lost executors then
+    never repeat the parsing.
     """
     save = cut_lineage if save_stages else (lambda df: df)
-    score = scorer or partial(score_by_rules, config=config, company_rules=inputs.company_rules,
-                              company_attrs=inputs.company_attrs)
-    postings = all_postings(inputs, config)
+    scorer = scorer or partial(score_by_rules, config=config, company_rules=inputs.company_rules,
+                               company_attrs=inputs.company_attrs, rule_table=inputs.rule_table)
+    postings = save(all_postings(inputs, config, late=True))
     unique, recent, capped = choose_rows(postings, as_of, config, save)
-    if inputs.pages is not None:
-        capped = matching.fill_descriptions(capped, inputs.pages, config)
-    scored = save(score_rows(capped, as_of, config, score, save))
+
+    def fill() -> DataFrame:
+        return capped if inputs.pages is None else matching.fill_descriptions(capped, inputs.pages, config)
+
     return Stages(
-        postings=postings, unique=unique, recent=recent, capped=capped, scored=scored,
-        results=gated(scored, config).orderBy(*rank_order()),
-        source_counts=reports.stage_counts(postings, "source"),
-        run_counts=run_counts(postings, unique, recent, config),
-        histogram=reports.score_histogram(scored),
+        postings=postings, unique=unique, recent=recent, config=config, fill=fill,
+        score=lambda rows: save(score_rows(rows, as_of, config, scorer, save)),
     )
 
 

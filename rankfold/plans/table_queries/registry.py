@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rankfold import fixed_values as fv
 from rankfold.functions.slugs import slug_variants as variants
 from rankfold.operators import registry as rg, reports
-from rankfold.plans.registry import Validation, validate, write_validation
+from rankfold.plans.registry import Validation, discover, validate, write_validation
 from rankfold.plans.table_queries.common import spread_table, table
 from rankfold.session import scratch_path
 
@@ -129,14 +129,11 @@ def registry_lines(spark, sf):
 
 
 def probe_errors(spark, sf):
-    candidates, probes = _candidates(spark, sf), _line_probes(spark, sf)
-    return rg.probe_errors(candidates, probes, rg.discover(candidates, probes)).select("company_pos", "pos", "kind", "message")
+    return rg.probe_errors(_candidates(spark, sf), _line_probes(spark, sf)).select("company_pos", "pos", "kind", "message")
 
 
 def discovery_totals(spark, sf):
-    candidates, probes = _candidates(spark, sf), _line_probes(spark, sf)
-    found = rg.discover(candidates, probes)
-    return rg.discovery_totals(found, rg.probe_errors(candidates, probes, found))
+    return discover(_candidates(spark, sf), _line_probes(spark, sf)).totals
 
 
 QUERIES = {

@@ -20,7 +20,7 @@ POSTING_SCHEMA = (
 POSTING_COLUMNS = (
     "company", "role", "location", "url", "posted", "description", "source",
 ) + ORDER_COLUMNS
-_TEXT_COLUMNS = POSTING_COLUMNS[:7]
+TEXT_COLUMNS = POSTING_COLUMNS[:7]
 
 SOURCES_SCHEMA = (
     "source STRING, kind STRING, format STRING, key STRING, board STRING, source_rank INT"
@@ -35,6 +35,8 @@ PROBES_SCHEMA = "ats STRING, slug STRING, http_status INT, payload STRING, error
 REGISTRY_SCHEMA = "ats STRING, slug STRING, board STRING, position INT"
 CATEGORIES_SCHEMA = "category STRING, category_rank INT, company STRING"
 COMPANY_RULES_SCHEMA = "company_lower STRING, title_contains STRING, cap INT, flag STRING"
+#: Names of places; ``ending`` ones (codes of states) count only as the last part of a location.
+PLACES_SCHEMA = "name STRING, abroad BOOLEAN, ending BOOLEAN"
 #: One row per keyword; the other columns are those of the keyword's rule.
 RULES_SCHEMA = (
     "rule_id STRING, rule_order INT, kind STRING, scope STRING, match STRING, keyword STRING, value INT, flag STRING, "
@@ -95,7 +97,7 @@ def canonical(df: DataFrame) -> DataFrame:
     present = set(df.columns)
     texts = [
         text_or_empty(F.col(c)).alias(c) if c in present else F.lit("").alias(c)
-        for c in _TEXT_COLUMNS
+        for c in TEXT_COLUMNS
     ]
     order = [
         F.col("source_rank").cast("int").alias("source_rank"),

@@ -40,41 +40,72 @@ def list_items(payloads: DataFrame, array_type: str) -> DataFrame:
     return each_item(with_json(payloads, F.col("payload")), kept, items, "item_pos", "job")
 
 
-def board_a_postings(payloads: DataFrame, source_rank: int, config: SearchConfig = SearchConfig()) -> DataFrame:
-    """Boards answering ``{jobs: [...]}`` with escaped HTML content."""
+#: Column of markup that is still to become a description, and whether its entities are escaped.
+MARKUP, ESCAPED = "markup", "markup_escaped"
+
+
+def with_markup(postings: DataFrame, markup: Column | None = None, escaped: bool = False) -> DataFrame:
+    """Postings with the two columns that ``described`` resolves; without markup they are null."""
+    own = F.lit(None).cast("string") if markup is None else markup
+    return postings.withColumns({MARKUP: own, ESCAPED: F.lit(escaped)})
+
+
+def described(postings: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
+    """Descriptions from the markup of rows that have some; null markup never reaches the parser."""
+    markup, escaped = F.col(MARKUP), F.col(ESCAPED)
+    text = F.coalesce(html_to_text(F.when(escaped, markup), escaped=True), html_to_text(F.when(~escaped, markup)))
+    whole = F.when(markup.isNotNull(), tx.cut(F.coalesce(text, F.lit("")), config.description_chars)).otherwise(F.col("description"))
+    return postings.withColumn("description", whole).drop(MARKUP, ESCAPED)
+
+
+def board_a_postings(payloads: DataFrame, source_rank: int, config: SearchConfig = SearchConfig(), late: bool = False) -> DataFrame:
+    """Boards answering ``{jobs: [...]}`` with escaped HTML content.
+
+    ``late`` leaves the markup to ``described``, so that rows which go before then are never parsed.
+    """
     items = object_items(payloads.select("slug", "board_rank", "payload"), sc.BOARD_A_PAYLOAD, "jobs").filter(
         _gate(F.col("job.title"), config))
-    content = html_to_text(F.coalesce(F.col("job.content"), F.lit("")), escaped=True)
-    return canonical(items.select(
+    rows = items.select(
         F.coalesce("job.company_name", "slug").alias("company"),
         F.col("job.title").alias("role"),
         F.col("job.location.name").alias("location"),
         F.col("job.absolute_url").alias("url"),
         F.col("job.updated_at").alias("posted"),
-        tx.cut(content, config.description_chars).alias("description"),
+        F.lit("").alias("description"),
         F.lit(fv.BOARD_A).alias("source"),
         F.lit(source_rank).alias("source_rank"), "board_rank", "item_pos",
-    ))
+        F.coalesce(F.col("job.content"), F.lit("")).alias(MARKUP),
+    )
+    marked = with_markup(_canonical_with(rows), F.col(MARKUP), escaped=True)
+    return marked if late else described(marked, config)
+
 
+def _canonical_with(rows: DataFrame) -> DataFrame:
+    """The posting schema with the markup beside it, in one projection."""
+    texts = [F.coalesce(F.col(c), F.lit("")).alias(c) if c in sc.TEXT_COLUMNS else F.col(c).cast(t).alias(c)
+             for c, t in (*((c, "string") for c in sc.TEXT_COLUMNS), ("source_rank", "int"), ("board_rank", "bigint"), ("item_pos", "bigint"))]
+    return rows.select(*texts, MARKUP)
 
-def board_b_postings(payloads: DataFrame, source_rank: int, config: SearchConfig = SearchConfig()) -> DataFrame:
-    """Boards answering a bare array (or ``{data: [...]}``) with plain and HTML text."""
+
+def board_b_postings(payloads: DataFrame, source_rank: int, config: SearchConfig = SearchConfig(), late: bool = False) -> DataFrame:
+    """Boards answering a bare array (or ``{data: [...]}``) with plain and HTML text; ``late`` as for the other kind."""
     items = list_items(payloads.select("slug", "board_rank", "payload"), sc.BOARD_B_POSTINGS).filter(
         _gate(F.col("job.text"), config))
     plain = F.coalesce(F.col("job.descriptionPlain"), F.lit(""))
-    # null markup is skipped by the UDF: only rows without plain text are parsed
-    markup = F.when(plain == "", F.coalesce(F.col("job.description"), F.lit("")))
-    text = F.coalesce(F.nullif(plain, F.lit("")), html_to_text(markup))
-    return canonical(items.select(
+    rows = items.select(
         F.coalesce(F.col("job.company"), tx.title_case(F.col("slug"))).alias("company"),
         F.col("job.text").alias("role"),
         F.col("job.categories.location").alias("location"),
         F.col("job.hostedUrl").alias("url"),
         epoch_ms_to_iso(F.col("job.createdAt")).alias("posted"),
-        tx.cut(text, config.description_chars).alias("description"),
+        tx.cut(plain, config.description_chars).alias("description"),
         F.lit(fv.BOARD_B).alias("source"),
         F.lit(source_rank).alias("source_rank"), "board_rank", "item_pos",
-    ))
+        # only rows without plain text are parsed
+        F.when(plain == "", F.coalesce(F.col("job.description"), F.lit(""))).alias(MARKUP),
+    )
+    marked = with_markup(_canonical_with(rows), F.col(MARKUP))
+    return marked if late else described(marked, config)
 
 
 def board_c_postings(captured: DataFrame, host_probes: DataFrame, source_rank: int,
