@@ -26,19 +26,29 @@ def keep_first(df: DataFrame, key: str = "url", order: Sequence[str] = ORDER_COL
     return df.withColumn("_nth", F.row_number().over(window)).filter("_nth = 1").drop("_nth")
 
 
+#: Keys that one task may sort for a cap; larger caps are found by range.
+SORTED_AT_ONCE = 100_000
+
+
 def cap_by_priority(df: DataFrame, first: Column, limit: int | None,
                     order: Sequence[str] = ORDER_COLUMNS) -> DataFrame:
     """Rows with ``first`` true lead, otherwise in order; keep ``limit`` of them.
 
     Adds ``priority`` (0 leads).  Only the key columns go through the top-k; the
     chosen keys then pick the full rows, by whatever join their number allows.
-    So no task ever gathers ``limit`` wide rows from every other; the keys of a
-    very large ``limit`` still pass one task, so rank without one instead.
+    So no task ever gathers ``limit`` wide rows from every other.  The keys of a
+    ``limit`` beyond ``SORTED_AT_ONCE`` are ranked by ranges and filtered: no task
+    sees more of them than a partition.
     """
     ranked = df.withColumn("priority", F.when(first, 0).otherwise(1))
     if limit is None:
         return ranked
-    keys = ranked.select("priority", *order).orderBy("priority", *order).limit(limit).select(*order)
+    keys = ranked.select("priority", *order)
+    if limit <= SORTED_AT_ONCE:
+        keys = keys.orderBy("priority", *order).limit(limit)
+    else:
+        keys = rank_rows(keys, ["priority", *order], name="_rank").filter(F.col("_rank") <= limit)
+    keys = keys.select(*order)
     return ranked.join(keys, list(order), "left_semi")
 
 

@@ -171,13 +171,12 @@ def company_rule_table(df: DataFrame, rules: Sequence[CompanyRule]) -> DataFrame
     return sc.local_table(df.sparkSession, rows, sc.COMPANY_RULES_SCHEMA)
 
 
-def company_facts(df: DataFrame, config: SearchConfig, company_rules: DataFrame | None = None,
-                  company_attrs: DataFrame | None = None) -> DataFrame:
-    """One row per company, saved: its rules and attributes."""
-    rules = company_rules if company_rules is not None else company_rule_table(df, config.company_rules)
-    folded = rules.groupBy("company_lower").agg(
-        F.collect_set(F.struct("cap", "flag", "title_contains")).alias("_rules")
-    )
+#: Rules of a company that are held in one row; more are joined by what they look for in titles.
+RULES_IN_A_ROW = 1000
+
+
+def _one_per_company(company_attrs: DataFrame | None, folded: DataFrame) -> DataFrame:
+    """``folded`` (one row per company) with the companies' attributes, saved."""
     kinds = {"size_class": "string", "is_tech": "boolean", "is_sponsor": "boolean", "is_known": "boolean"}
     if company_attrs is None:
         return cut_lineage(folded.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items()}))
@@ -185,24 +184,54 @@ def company_facts(df: DataFrame, config: SearchConfig, company_rules: DataFrame
     return cut_lineage(folded.join(one_each, "company_lower", "full"))
 
 
+def titled_rules(df: DataFrame, rules: DataFrame) -> DataFrame:
+    """_firm, _title, _titled: the best of the rules that look for something in a title, per company and title.
+
+    What rules look for meets the distinct titles of their companies through
+    ``keyword_pairs``, so a company may have any number of rules and of titles.
+    """
+    from rankfold.operators.matching import keyword_pairs
+
+    wanted = cut_lineage(rules.filter("title_contains IS NOT NULL").select("company_lower", "title_contains", "cap", "flag").distinct())
+    titles = df.select("_firm", "_title").distinct().join(wanted.select(F.col("company_lower").alias("_firm")).distinct(), "_firm", "left_semi")
+    titles = cut_lineage(titles)
+    words = wanted.select(F.col("title_contains").alias("_word")).filter("_word <> ''").distinct()
+    met = keyword_pairs(titles.select("_title").distinct(), ["_title"], "_title", cut_lineage(words), "_word")
+    met = met.unionByName(titles.select("_title", F.lit("").alias("_word")).distinct())   # an empty word is in every title
+    hits = titles.join(met, "_title").join(
+        wanted.select(F.col("company_lower").alias("_firm"), F.col("title_contains").alias("_word"), "cap", "flag"), ["_firm", "_word"])
+    return cut_lineage(hits.groupBy("_firm", "_title").agg(F.min(F.struct("cap", "flag")).alias("_titled")))
+
+
 def with_company_facts(df: DataFrame, config: SearchConfig, company_rules: DataFrame | None = None,
-                       company_attrs: DataFrame | None = None) -> DataFrame:
+                       company_attrs: DataFrame | None = None, most: int = RULES_IN_A_ROW) -> DataFrame:
     """Adds company_cap, company_flag and the company's attributes.
 
     Rules and attributes are folded to one row per company, so the left join
     keeps the row count (of a company's rules the lowest matching cap wins).
     The folded table is saved: its size decides about broadcasting, and a
     shuffled join has an exchange on either side, so a company with a large part
-    of the rows can be split at run time.
+    of the rows can be split at run time.  Where a company of a given table has
+    more than ``most`` rules, those that look at titles are joined by title.
     """
-    facts = company_facts(df, config, company_rules, company_attrs)
+    rules = company_rules if company_rules is not None else company_rule_table(df, config.company_rules)
+    largest = 0 if company_rules is None else rules.groupBy("company_lower").count().agg(F.max("count")).first()[0] or 0
+    rule = F.struct("cap", "flag", "title_contains")
+    if largest <= most:
+        folded = rules.groupBy("company_lower").agg(F.collect_set(rule).alias("_rules"))
+    else:
+        folded = rules.filter("title_contains IS NULL").groupBy("company_lower").agg(F.array(F.min(rule)).alias("_rules"))
+    facts = _one_per_company(company_attrs, folded)
     joined = df.join(facts, df["_firm"] == facts["company_lower"], "left").drop("company_lower")
-    best = F.array_min(F.filter(
+    best = F.array_min(F.transform(F.filter(
         "_rules", lambda r: r.title_contains.isNull() | F.contains(F.col("_title"), r.title_contains)
-    ))
+    ), lambda r: F.struct(r.cap.alias("cap"), r.flag.alias("flag"))))
+    if largest > most:
+        joined = joined.join(titled_rules(df, rules), ["_firm", "_title"], "left")
+        best = F.array_min(F.array_compact(F.array(best, "_titled")))
     return joined.withColumn("_best", best).withColumns({
         "company_cap": F.col("_best.cap"), "company_flag": F.col("_best.flag"),
-    }).drop("_rules", "_best")
+    }).drop("_rules", "_best", "_titled")
 
 
 def band(score: Column) -> Column:

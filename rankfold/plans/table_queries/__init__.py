@@ -1,8 +1,8 @@
 """The operators run over the given tables, each beside the SQL it must agree with."""
 
-from rankfold.plans.table_queries import boards, dates, listing, matching, ranking, registry, rules, runs, text
+from rankfold.plans.table_queries import boards, dates, listing, matching, ranking, registry, rules, runs, shipped, text
 
-_MODULES = (text, dates, listing, boards, matching, ranking, rules, registry, runs)
+_MODULES = (text, dates, listing, boards, matching, ranking, rules, registry, runs, shipped)
 
 
 def all_queries() -> dict:

@@ -44,6 +44,24 @@ def read_list_documents(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_list_files(spark: SparkSession, path: str, most_bytes: int = 1 << 28) -> DataFrame:
+    """List documents of the same layout with what is wrong with them: source, doc_no, content, problem.
+
+    Files that are not UTF-8 are read as Latin-1; empty ones are not listed.  Larger files than ``most_bytes`` are
+    never opened: they have null content, and ``problem`` says so.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    own = [F.col("source").cast("string").alias("source"), F.col("doc_no").cast("bigint").alias("doc_no")]
+    text = F.col("content").cast("string")
+    valid = F.is_valid_utf8(text)
+    read = files.filter(F.col("length") <= most_bytes).select(
+        *own, F.when(valid, text).otherwise(F.decode("content", "ISO-8859-1")).alias("content"),
+        F.when(~valid, "not UTF-8").alias("problem"))
+    left_out = files.filter(F.col("length") > most_bytes).select(
+        *own, F.lit(None).cast("string").alias("content"), F.format_string("%d bytes", "length").alias("problem"))
+    return read.unionByName(left_out)
+
+
 def default_sources(spark: SparkSession) -> DataFrame:
     """The configured list sources, in order of precedence."""
     rows = [(name, "list", fmt, "", "", rank) for rank, (name, fmt) in enumerate(fv.LIST_SOURCES)]
