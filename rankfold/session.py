@@ -70,6 +70,17 @@ def remove_saved_stages(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bound_arrow_batches(spark: SparkSession, most_rows: int = 1000, most_bytes: str = "8m") -> None:
+    """Lowers the session's bounds of Arrow batches to these, for steps that send whole texts to Python workers.
+
+    A batch stands in the executor's memory beside its heap and once more in the worker.
+    """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(rows, "10000"))
+    spark.conf.set(rows, str(most_rows if now <= 0 else min(now, most_rows)))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most_bytes)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Spreads a small file scan over all cores before CPU-heavy parsing.
 
