@@ -1,8 +1,10 @@
 """SentencePiece encoding and decoding with a relational lattice.
 
 Texts are escaped (blanks become the mark, one mark is put in front) and cut into
-units where no piece reaches across: before marks, and around single characters
-that occur in no longer piece.  Only distinct units are encoded: their substrings
+words where no piece reaches across: before marks, and around single characters
+that occur in no longer piece.  Where the table has byte pieces, words are cut again
+into units, between any two characters that stand side by side in no piece.  Only
+distinct units are encoded: their substrings
 of bounded length are exploded and joined on equality to the piece table; what
 matches are the edges of the unit's lattice, grouped by unit and folded to the
 best-scoring path with Spark's higher-order ``aggregate``.
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType, StructField, StructType
 
 from rankfold.schema import local_table
-from rankfold.session import cut_lineage
+from rankfold.session import bound_arrow_batches, cut_lineage
 
 MARK = "▁"
 #: Encoded units sent to the tasks at most, and pieces of such a unit.
@@ -48,8 +50,10 @@ LOOKUP, LONGEST = 6_000_000, 8
 UNKNOWN_PENALTY = 10.0
 #: Positions folded as one array; longer units are folded in portions.
 PORTION = 256
-#: Distinct units that a task counts before it hands its sums on.
-COUNTED = 100_000
+#: Units whose edges are sorted by one task; so many fit in its memory, and nothing spills.
+UNITS = 20_000
+#: Distinct words that a task counts before it hands the sums of their units on.
+COUNTED = 150_000
 _SINGLES = ("\n", "\t", *"0123456789")
 _UNKNOWN_TEXT = " ⁇ "
 
@@ -130,15 +134,59 @@ class _Cutter:
         return list(filter(None, text.split("\0")))
 
 
+class _Divider:
+    """Divides words into units between characters that stand side by side in no piece.
+
+    Without byte pieces words stay whole, as a run of unknown characters is one id.
+    """
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.whole = not vocabulary.byte_ids
+        if self.whole:
+            return
+        longer = [np.frombuffer(p.encode("utf-32-le"), dtype="<u4") for p, _, _ in vocabulary.pieces if len(p) > 1]
+        known = np.unique(np.concatenate([np.zeros(1, "<u4"), *longer]))
+        # characters as small numbers: 0 in no longer piece, 1 beyond the first plane
+        self.numbers = np.zeros(1 << 16, dtype="int32")
+        plane = known[(known > 0) & (known < 1 << 16)]
+        self.numbers[plane] = np.arange(2, len(plane) + 2)
+        self.together = np.zeros((len(plane) + 2, len(plane) + 2), dtype=bool)
+        for piece in longer:
+            at = self._numbers(piece)
+            self.together[at[:-1], at[1:]] = True
+
+    def _numbers(self, codes: np.ndarray) -> np.ndarray:
+        return np.where(codes < 1 << 16, self.numbers[np.minimum(codes, (1 << 16) - 1)], 1)
+
+    def divide(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """Units of the words in order, and the number of units of each word."""
+        if self.whole or not words:
+            return words, np.ones(len(words), dtype="int64")
+        joined = "".join(words)
+        ends = np.cumsum([len(w) for w in words])
+        at = self._numbers(np.frombuffer(joined.encode("utf-32-le"), dtype="<u4"))
+        begins = np.ones(len(at), dtype=bool)
+        begins[1:] = ~self.together[at[:-1], at[1:]]
+        begins[ends[:-1]] = True
+        cuts = np.flatnonzero(begins)
+        per_word = np.diff(np.searchsorted(cuts, np.concatenate([[0], ends])))
+        cuts = [*cuts.tolist(), len(joined)]
+        return [joined[a:b] for a, b in zip(cuts, cuts[1:])], per_word
+
+
 def count_units(df: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame:
     """(unit, n) over all texts; every task sums up before the shuffle."""
-    cutter = _Cutter(vocabulary)
+    cutter, divider = _Cutter(vocabulary), _Divider(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[str] = Counter()
 
         def counted() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["unit", "n"])
+            units, per_word = divider.divide(list(found))
+            sums: Counter[str] = Counter()
+            for unit, n in zip(units, np.repeat(np.array(list(found.values()), dtype="int64"), per_word).tolist()):
+                sums[unit] += n
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], ["unit", "n"])
 
         for batch in batches:
             for one in batch[0]:
@@ -231,8 +279,10 @@ def best_paths(edges: DataFrame, longest: int) -> DataFrame:
 
 
 def encode_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(unit, n, ids) of distinct units."""
-    found = best_paths(lattice(units, vocabulary), vocabulary.longest)
+    """(unit, n, ids) of distinct units, which are saved: their number tells into how many tasks their edges go."""
+    units = cut_lineage(units)
+    dealt = units.repartition(max(1, units.count() // UNITS), "unit")
+    found = best_paths(lattice(dealt, vocabulary), vocabulary.longest)
     unknown = F.exists("ids", lambda i: i < 0)
     if vocabulary.byte_ids:
         table = F.array(*[F.lit(i) for i in vocabulary.byte_ids])
@@ -308,21 +358,36 @@ class UnitTable:
         return self.offsets[rows + 1] - self.offsets[rows]
 
 
-def _unit_hashes(texts: list[str], cutter: _Cutter) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the units of the texts in order, each distinct unit hashed once, and the number of units of each text."""
+@dataclass
+class _Words:
+    """Distinct words of some texts: their numbers text by text, and the hashes of their units."""
+
+    numbers: np.ndarray     # of the words of the texts in order
+    per_text: np.ndarray    # words of each text
+    hashes: np.ndarray      # of the units of the distinct words in order
+    per_word: np.ndarray    # units of each distinct word
+
+
+def _words_of(texts: list[str], cutter: _Cutter, divider: _Divider) -> _Words:
+    """Each distinct word is divided and hashed once."""
     import xxhash
 
     codes: defaultdict = defaultdict()
     codes.default_factory = codes.__len__
     rows = []
     for text in texts:
-        units = cutter.units(text)
-        rows.append(np.fromiter(map(codes.__getitem__, units), dtype="int64", count=len(units)))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(u.encode(), 42) for u in codes), dtype="uint64", count=len(codes)).view("int64")
-    return hashes[np.concatenate(rows)], np.array([len(r) for r in rows], dtype="int64")
+        words = cutter.units(text)
+        rows.append(np.fromiter(map(codes.__getitem__, words), dtype="int64", count=len(words)))
+    units, per_word = divider.divide(list(codes))
+    hashes = np.fromiter((xxhash.xxh64_intdigest(u.encode(), 42) for u in units), dtype="uint64", count=len(units)).view("int64")
+    return _Words(np.concatenate(rows), np.array([len(r) for r in rows], dtype="int64"), hashes, per_word)
 
 
-def _portions(batch: pa.RecordBatch, column: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+#: Bytes of text, or ids, coded at once: what bounds a worker's memory.
+PORTION_SIZE = 1 << 19
+
+
+def _portions(batch: pa.RecordBatch, column: str, size: int = PORTION_SIZE) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``size`` bytes or values of a column."""
     sizes = pc.coalesce(pc.binary_length(batch[column]) if pa.types.is_string(batch.schema.field(column).type)
                         else pc.list_value_length(batch[column]), 0).to_numpy(zero_copy_only=False)
@@ -360,13 +425,13 @@ class Codec:
         self.table = spark.sparkContext.broadcast(UnitTable.collect(sent, vocabulary))
 
     def _missing(self, text: Column) -> Column:
-        table, cutter = self.table, _Cutter(self.vocabulary)
+        table, cutter, divider = self.table, _Cutter(self.vocabulary), _Divider(self.vocabulary)
 
         @F.pandas_udf("array<long>")
         def missing(texts: pd.Series) -> pd.Series:
             found = []
             for text in texts:
-                row = np.unique(_unit_hashes([text or ""], cutter)[0])
+                row = np.unique(_words_of([text or ""], cutter, divider).hashes)
                 found.append(row[table.value.find(row) < 0])
             return pd.Series(found, dtype=object)
 
@@ -374,7 +439,7 @@ class Codec:
 
     def encode(self, df: DataFrame, text: str = "text", output: str = "ids", decoded: str | None = None) -> DataFrame:
         """Adds the ids of each whole text and, under the name ``decoded``, what they decode to."""
-        table, cutter = self.table, _Cutter(self.vocabulary)
+        table, cutter, divider = self.table, _Cutter(self.vocabulary), _Divider(self.vocabulary)
         decoder = _Decoder(self.vocabulary) if decoded else None
         if self.complete:
             rows, extra = df, ()
@@ -395,12 +460,21 @@ class Codec:
             parts = [table.value.expand(at[i:i + 1]) if at[i] >= 0 else more.expand(rest[i:i + 1]) for i in range(len(at))]
             return np.concatenate(parts), np.array([len(p) for p in parts])
 
+        def coded_texts(texts: list[str], owns: list) -> tuple[np.ndarray, np.ndarray]:
+            """Ids of the texts one after the other, and where each text begins and the last ends."""
+            words = _words_of(texts, cutter, divider)
+            flat, sizes = ids_of(words.hashes, owns)
+            # a table of the distinct words; the texts are rows of it
+            unit_ends = np.concatenate([[0], np.cumsum(sizes)])
+            word_ends = unit_ends[np.concatenate([[0], np.cumsum(words.per_word)])]
+            of_words = UnitTable(words.hashes, word_ends, flat)
+            ends = np.concatenate([[0], np.cumsum(of_words.sizes(words.numbers))])
+            return of_words.expand(words.numbers), ends[np.concatenate([[0], np.cumsum(words.per_text)])]
+
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for batch in _portions(whole, text):
-                    hashes, counts = _unit_hashes([t or "" for t in batch[text].to_pylist()], cutter)
-                    flat, sizes = ids_of(hashes, batch["_own"].to_pylist() if extra else [])
-                    ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(np.concatenate([[0], counts]))]
+                    flat, ends = coded_texts([t or "" for t in batch[text].to_pylist()], batch["_own"].to_pylist() if extra else [])
                     coded = _with_column(batch, output, lists_of(flat, np.diff(ends)), extra)
                     yield _with_column(coded, decoded, pa.array(decoder.texts(flat, ends), pa.string())) if decoder else coded
                 pa.default_memory_pool().release_unused()
@@ -443,6 +517,7 @@ class _Decoder:
 
 
 def codec_for(df: DataFrame, vocabulary: Vocabulary, text: str = "text", lookup: int = LOOKUP) -> Codec:
-    """A codec that knows every unit of the texts of ``df``."""
+    """A codec that knows every unit of the texts of ``df``; bounds the session's Arrow batches, as texts may be long."""
+    bound_arrow_batches(df.sparkSession)
     encoded = cut_lineage(encode_units(count_units(df, text, vocabulary), vocabulary))
     return Codec(df.sparkSession, vocabulary, encoded, lookup)

@@ -456,3 +456,18 @@ def test_tied_turns_stand_in_the_order_of_their_whole_texts(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
     got = {r["conv_id"]: r["n_turns"] for r in chat_format.format_chats(df).collect()}
     assert got == {c: 2 for c in range(40)}
+
+
+def test_words_are_divided_where_no_piece_reaches():
+    v = sentencepiece_lattice.load_vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    divider = sentencepiece_lattice._Divider(v)
+    side_by_side = {p[i:i + 2] for p, _, _ in v.pieces for i in range(len(p) - 1)}
+    words = ["▁the", "▁word,", "êêçéoi", "a😀b", "x", "日本語", "▁"]
+    units, counts = divider.divide(words)
+    assert "".join(units) == "".join(words) and counts.sum() == len(units)
+    at = iter(units)
+    for word, n in zip(words, counts):
+        own = [next(at) for _ in range(n)]
+        assert "".join(own) == word
+        assert all((a[-1] + b[0]) not in side_by_side for a, b in zip(own, own[1:]))
+        assert all(u[i:i + 2] in side_by_side for u in own for i in range(len(u) - 1))
