@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankfold.llm import language_id, mixing, near_texts, sentencepiece_lattice, suffix_dedup
+from rankfold.llm import language_id, mixing, sentencepiece_lattice, simhash, suffix_dedup
 from rankfold.llm.queries import tokenizer_path
 from rankfold.session import cut_lineage
 
@@ -24,11 +24,8 @@ def identified_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every component of texts with 0.8 of their five-word shingles in common: the one with the smallest id.
-
-    The stage compares the shingle sets themselves: fingerprints of 64 bits lose pairs or find too many.
-    """
-    return near_texts.keep_first_of_components(docs).select(*COLUMNS)
+    """One document of every component of SimHash fingerprints (four-word shingles, links of at most 4 bits): the smallest id's."""
+    return simhash.keep_first_of_components(docs).select(*COLUMNS)
 
 
 def without_long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
