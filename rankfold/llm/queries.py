@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankfold.llm import (
-    chat_format, language_id, merkle, mixing, packing, sentencepiece_lattice, sharding, simhash, spelling, spotsigs,
-    suffix_dedup, token_counts, topk_search,
+    chat_format, language_id, merkle, mixing, packing, sentencepiece_lattice, shared_passages, sharding, simhash,
+    spelling, spotsigs, suffix_dedup, token_counts, topk_search,
 )
 from rankfold.session import spread
 
@@ -68,8 +68,8 @@ def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    removed = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
-    return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    removed = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), sharing=shared_passages.sharing_texts)
+    return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "shares_passage")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ table gives an empty table; other columns pass through where asked for.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -323,15 +323,18 @@ def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: Sequence[str] = ("doc_id",),
-                   most: int = MOST) -> DataFrame:
+                   most: int = MOST, sharing: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``keep`` (but the text itself) and n_bytes, n_removed, n_spans, kept_sha256, kept_text of every row.
 
-    kept_text is null where the text is.
+    kept_text is null where the text is.  ``sharing`` (``shared_passages.sharing_texts``)
+    adds shares_passage; it decides nothing about what is removed.
     """
     payload = F.struct(*[F.col(c) for c in keep if c != text], F.col(text).isNull().alias("_none"))
     rows = keyed(df.select(F.col(text).alias("_text"), payload.alias("kept"), F.col(doc_id).cast("string").alias("row")), "_text")
     texts = rows.select("k1", "k2", "body", "row", "kept")
     found = find_spans(texts, most).withColumn("found", F.lit(True))
+    if sharing is not None:
+        found = found.join(sharing(texts).withColumn("shares", F.lit(True)), ["k1", "k2"], "full")
     joined = texts.join(found, ["k1", "k2"], "left")
     whole = F.coalesce(F.col("found"), F.lit(False)) & F.col("spans").isNull()
 
@@ -339,7 +342,9 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     def apply(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         return _cut_out(pd.DataFrame({"body": b, "whole": w, "spans": s}) for b, w, s in parts)
 
-    done = joined.select("kept", apply(F.col("body"), whole, F.col("spans")).alias("done"))
+    shares = [F.coalesce(F.col("shares"), F.lit(False)).alias("shares_passage")] if sharing is not None else []
+    done = joined.select("kept", apply(F.col("body"), whole, F.col("spans")).alias("done"), *shares)
     return done.select(*[F.col(f"kept.{c}").alias(c) for c in keep if c != text],
                        *[F.col(f"done.{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")],
-                       F.when(~F.col("kept._none"), F.col("done.kept_text")).alias("kept_text"))
+                       F.when(~F.col("kept._none"), F.col("done.kept_text")).alias("kept_text"),
+                       *[F.col("shares_passage") for _ in shares])

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankfold.llm import (
-    bwt_intervals, chat_format, components, language_id, mixing, sentencepiece_lattice, sharding, simhash, spotsigs,
+    bwt_intervals, chat_format, components, language_id, mixing, sentencepiece_lattice, shared_passages, sharding, simhash, spotsigs,
     suffix_dedup, token_counts, topk_search,
 )
 from rankfold.llm.queries import tokenizer_path
@@ -324,6 +324,44 @@ def test_repeats_in_odd_rows(odd, none):
     assert not suffix_dedup.remove_repeats(none).collect()
 
 
+def runs_of(text, n):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    return {tuple(words[i:i + n]) for i in range(len(words) - n + 1)}
+
+
+def test_shared_passages_are_those_of_brute_force(spark, odd, none):
+    rng = np.random.default_rng(9)
+    text = lambda n: [f"w{x}é" for x in rng.integers(0, 10**9, n)]
+    shared = [text(n) for n in (50, 51, 80, 39, 30)]
+    texts = [" ".join(text(int(rng.integers(0, 40))) + s + text(int(rng.integers(0, 400)))) for s in shared for _ in range(3)]
+    texts += [" ".join(text(int(n))) for n in rng.integers(0, 300, 30)]
+    within = " ".join(text(60))
+    copy = " ".join(text(55))
+    texts += [within + " . " + within, copy, copy, " ".join(text(20)), "a " * 200, "  a\n" * 300, "", None, "b" * 3_000_000 + " c" * 90]
+    df = spark.createDataFrame([(i, t, True) for i, t in enumerate(texts)], "doc_id long, text string, shares_passage boolean")
+    got = suffix_dedup.remove_repeats(df.repartition(3), sharing=shared_passages.sharing_texts).collect()
+    assert len(got) == len(texts)
+    flagged = {r["doc_id"] for r in got if r["shares_passage"]}
+
+    def sharers(n):
+        counts = Counter(run for t in texts for run in runs_of(t, n))
+        return {i for i, t in enumerate(texts) if any(counts[run] > 1 for run in runs_of(t, n))}
+
+    assert sharers(shared_passages.WORDS) <= flagged <= sharers(shared_passages.SHINGLE) and len(flagged) >= 13
+    of_odd = suffix_dedup.remove_repeats(odd, sharing=shared_passages.sharing_texts).collect()
+    assert len(of_odd) == odd.count() and not any(r["shares_passage"] for r in of_odd)
+    assert not suffix_dedup.remove_repeats(none, sharing=shared_passages.sharing_texts).collect()
+
+
+def test_words_hash_alike_wherever_they_stand(monkeypatch):
+    data = np.frombuffer(("ab é " * 50 + "long" * 40 + " ab\té").encode(), dtype="uint8")
+    whole = shared_passages.word_hashes(data)
+    assert len(whole) == 103 and len(set(whole.tolist())) == 3 and whole[0] == whole[101] and whole[1] == whole[102]
+    for size in (1, 7, 64):
+        monkeypatch.setattr(shared_passages, "SLICE", size)
+        assert (shared_passages.word_hashes(data) == whole).all()
+
+
 def test_interval_expansion_finds_every_shared_string():
     rng = np.random.default_rng(0)
     for alphabet, n in ((2, 300), (4, 2000), (20, 2000)):
@@ -442,10 +480,38 @@ def test_snapshots_collapse(spark):
     got = {r["conv_id"]: (r["n_turns"], r["copies"], r["chat"]) for r in chat_format.format_chats(df).collect()}
     assert set(got) == {2, 5, 6, 7, 8, None} and got[2][:2] == (3, 2)
     assert got[6][2] == "<|im_start|>user\n<|im_end|>\n<|im_start|>user\n< |im_end| ><|im_end|>\n"
-    assert got[None][2].startswith("<|im_start|>system\nx<|im_end|>\n<|im_start|>user\nhi")
+    assert got[None] == (1, 1, "<|im_start|>system\nx<|im_end|>\n")   # the other row without an id yields
     assert not chat_format.format_chats(df.limit(0)).collect()
 
 
+def chats_by_sql(df):
+    import duckdb
+
+    with duckdb.connect() as db:
+        db.register("conversations", df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+        return sorted(db.sql(chat_format.sql()).fetchall(), key=repr)
+
+
+@pytest.mark.parametrize("part", [1024, 3])
+def test_chats_in_parts_are_those_of_the_sql(spark, monkeypatch, part):
+    monkeypatch.setattr(chat_format, "PART", part)
+    rng = np.random.default_rng(10)
+    long = "one beginning of more than sixty-four characters that all of these texts share "
+    rows = []
+    for c in range(60):
+        n, seed = int(rng.integers(1, 14)), int(rng.integers(0, 4))   # those of one seed prefix each other
+        first = int(rng.integers(0, 3))
+        for i in range(n):
+            rows.append((c, first + i, "user" if i % 2 else None, f"{seed} {i}" if (seed + i) % 5 else None, 1))
+    rows += [(100, t, "user", long + x, 1) for t in (None, -5, 0, 7) for x in "ba"]   # ties, null and negative numbers
+    rows += [(101, t, "user", long + x, 1) for t, x in ((None, "a"), (None, "b"), (-5, "a"))]
+    rows += [(None, i % 7, None, "1 0" if i % 2 else f"alone {i}", 1) for i in range(200)]   # most rows have no id
+    rows += rows[:30]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part int").repartition(5)
+    got = sorted((tuple(r) for r in chat_format.format_chats(df).collect()), key=repr)
+    assert got == chats_by_sql(df) and (len({r[3] for r in got}) > 3) == (part == 3)
+
+
 def test_tied_turns_stand_in_the_order_of_their_whole_texts(spark):
     long = "the same beginning of more than sixty-four characters in every one of these "
     assert len(long) > 64
