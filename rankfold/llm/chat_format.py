@@ -63,8 +63,9 @@ def _ordered(rows: DataFrame) -> DataFrame:
     # one exchange: what is dealt by conversation and part is also dealt by more columns
     narrow = rows.select(*key, *_DIGESTS).repartition("conv_id", "part").distinct()
     narrow = cut_lineage(narrow.withColumn("same", F.count("*").over(each)))
-    ties = narrow.filter("same > 1")
-    texts = rows.join(ties.select("conv_id", "part", *_DIGESTS).distinct(), ["conv_id", "part", *_DIGESTS], "left_semi")
+    # saved, so that their size is known and no text is dealt out for a few ties
+    ties = cut_lineage(narrow.filter("same > 1").select("conv_id", "part", *_DIGESTS).distinct())
+    texts = rows.join(ties, ["conv_id", "part", *_DIGESTS], "left_semi")
     # one content may tie under a turn number and stand alone under another
     texts = texts.select(*key, "text", *_DIGESTS).distinct().withColumn("same", F.count("*").over(each)).filter("same > 1")
     texts = texts.withColumn("tie", F.row_number().over(each.orderBy("text")))
