@@ -13,8 +13,9 @@ blocks is one group, in which the lists are read for all its queries at once,
 and the k best of the groups are merged.  The queries are a stated set.
 
 Defined results: vectors that are null or hold a null or non-finite component
-take no part, nor do rows without an id; of several vectors with one id the
-first in array order counts; missing components of shorter vectors count as 0;
+take no part, nor do rows without an id; rows equal in id and vector count once,
+different vectors of one id are candidates, and queries, of their own (for each
+other too); missing components of shorter vectors count as 0;
 ties go to the smaller id; fewer candidates than k give them all; scores beyond
 the range of long stop at its ends; an empty table gives an empty table.
 """
@@ -90,8 +91,7 @@ def read_lists(queries: np.ndarray, candidates: np.ndarray, own: np.ndarray, k:
 
 def block_best(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best candidates of a block for each query of a block."""
-    empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"),
-                          "score": pd.Series(dtype="int64")})
+    empty = pd.DataFrame({name: pd.Series(dtype="int64") for name in ("query_row", "query_id", "vec_id", "score")})
     if not len(queries) or not len(candidates):
         return empty
     width = max(queries["v"].map(len).max(), candidates["v"].map(len).max(), 1)
@@ -99,7 +99,8 @@ def block_best(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.Da
     q, c = _matrix(queries["v"], width), _matrix(candidates["v"], width)
     qid, cid = queries["vec_id"].to_numpy("int64"), candidates["vec_id"].to_numpy("int64")
     size = float(np.abs(q.astype("float64")).sum(axis=1).max() * np.abs(c.astype("float64")).max())
-    own = qid[:, None] == cid[None, :]
+    query_rows = queries["u"].to_numpy("int64")
+    own = query_rows[:, None] == candidates["u"].to_numpy("int64")[None, :]
     if size >= 2.0**53:   # no float holds these products: whole scores in Python's integers
         reach = [np.flatnonzero(~row) for row in own]
         exact = lambda i, rows: np.clip(c[rows].astype(object) @ q[i].astype(object), -(1 << 63), (1 << 63) - 1)
@@ -114,7 +115,7 @@ def block_best(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.Da
             best = np.lexsort((cid[rows], -scores.astype("float64"))) if size < 2.0**53 else np.array(
                 sorted(range(len(rows)), key=lambda r: (-int(scores[r]), cid[rows[r]])))
             best = best[:k]
-            parts.append(pd.DataFrame({"query_id": qid[i], "vec_id": cid[rows][best], "score": scores[best]}))
+            parts.append(pd.DataFrame({"query_row": query_rows[i], "query_id": qid[i], "vec_id": cid[rows][best], "score": scores[best]}))
     return pd.concat(parts) if parts else empty
 
 
@@ -126,20 +127,21 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id",
     """
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), quantised(F.col(vector)).alias("v"))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
-    rows = cut_lineage(rows.groupBy("vec_id").agg(F.min("v").alias("v")))
+    # saved with a number per row, which tells rows of one id apart and deals them out
+    rows = cut_lineage(rows.distinct().withColumn("u", F.monotonically_increasing_id()))
     n, n_queries = rows.agg(F.count("*"), F.count_if(is_query)).first()
     q_blocks, c_blocks = max(1, -(-n_queries // query_block)), max(1, -(-n // candidate_block))
 
     def dealt(frame: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
         every = F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
-        mixed = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-        return frame.select("vec_id", "v", mixed.alias(own), every.alias(other))
+        mixed = F.pmod(F.xxhash64("u"), F.lit(blocks)).cast("int")
+        return frame.select("u", "vec_id", "v", mixed.alias(own), every.alias(other))
 
     queries = dealt(rows.filter(is_query), "qb", q_blocks, "cb", c_blocks).groupBy("qb", "cb")
     candidates = dealt(rows, "cb", c_blocks, "qb", q_blocks).groupBy("qb", "cb")
     best = queries.cogroup(candidates).applyInPandas(
-        lambda q, c: block_best(q, c, k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+        lambda q, c: block_best(q, c, k), "query_row long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
@@ -147,10 +149,11 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id",
 def sql(k: int = 20, every: int = 20, table: str = "embeddings") -> str:
     """The same search as SQL over ``table``, for checking."""
     return f"""
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM {table}
+WITH d AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM {table}
            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % {every} = 0),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+v AS (SELECT *, row_number() OVER () AS u FROM d),
+s AS (SELECT q.u, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+      FROM v q JOIN v c ON q.u <> c.u WHERE q.vec_id % {every} = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY u ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= {k}"""
