@@ -8,11 +8,13 @@ shard is a set of whole key ranges and holds nearly the same number of bytes.
 
 The key is a hash of the text followed by a hash of the id: copies of a text
 stand side by side and mostly share a range, yet a text that fills whole shards
-is still divided (by id).  Only the key, the size and a checksum of a row are
+is still divided (by id).  Where rows equal in text and id, or without an id,
+overfill a range, their key is taken from their place in the table instead of
+the id (at most one such key per range, so their list is bounded).  Only the key, the size and a checksum of a row are
 sorted; the driver sees the bounded sample and one total per range.
 
-Defined results: null text has size 8 and a null checksum; null ids are ids of
-their own; repeated rows each get a slot; a row larger than a shard's share
+Defined results: null text has size 8 and a null checksum; null ids share
+a place in the order; repeated rows each get a slot; a row larger than a shard's share
 makes a range of its own; an empty table gives an empty table.  Extra columns
 are left out: join by id, or use ``range_of`` on your own frame.
 """
@@ -56,6 +58,12 @@ def shard_key(text: Column, doc_id: Column) -> Column:
     return of_text.bitwiseOR(F.xxhash64(doc_id.cast("string"), F.lit("id")).bitwiseAND(F.lit(low)))
 
 
+def by_place(key: Column, row: Column) -> Column:
+    """``key`` with the low bits from the row's number instead of the id."""
+    low = (1 << ID_BITS) - 1
+    return key.bitwiseAND(F.lit(~low)).bitwiseOR(F.xxhash64(row, F.lit("row")).bitwiseAND(F.lit(low)))
+
+
 def range_of(key: Column, splitters: Splitters) -> Column:
     @F.pandas_udf("int")
     def find(keys: pd.Series) -> pd.Series:
@@ -64,12 +72,15 @@ def range_of(key: Column, splitters: Splitters) -> Column:
     return find(key)
 
 
-def _uniform(key: Column, seed: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11) / F.lit(float(1 << 53))
+def _uniform(key: Column, row: Column, seed: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(key, row, F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
 def weighted_sample(rows: DataFrame, rates: dict[int, float], splitters: Splitters, seed: int) -> list[tuple[int, float]]:
-    """(key, bytes it stands for) of sampled rows; a row of range r is drawn with chance size * rates[r]."""
+    """(key, bytes it stands for) of sampled rows; a row of range r is drawn with chance size * rates[r].
+
+    A column row, if there is one, tells rows of one key apart.
+    """
     limit = max(rates) + 1
 
     @F.pandas_udf("double")
@@ -80,8 +91,9 @@ def weighted_sample(rows: DataFrame, rates: dict[int, float], splitters: Splitte
         found = splitters.ranges(keys.to_numpy(dtype="int64"))
         return pd.Series(np.where(found < limit, by_range[np.minimum(found, limit - 1)], 0.0))
 
-    drawn = rows.select("key", "size", rate("key").alias("rate"))
-    drawn = drawn.filter(_uniform(F.col("key"), seed) < F.col("size") * F.col("rate"))
+    row = F.col("row") if "row" in rows.columns else F.lit(0)
+    drawn = rows.select("key", "size", row.alias("row"), rate("key").alias("rate"))
+    drawn = drawn.filter(_uniform(F.col("key"), F.col("row"), seed) < F.col("size") * F.col("rate"))
     return sorted((r["key"], max(float(r["size"]), 1 / r["rate"])) for r in drawn.collect())
 
 
@@ -138,10 +150,17 @@ def shard_documents(df: DataFrame, shards: int, doc_id: str = "doc_id", text: st
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
     rows = cut_lineage(df.select(
         F.col(doc_id).alias("doc_id"), size.alias("size"), F.crc32(F.col(text).cast("binary")).alias("text_crc32"),
-        shard_key(F.col(text), F.col(doc_id)).alias("key"),
+        shard_key(F.col(text), F.col(doc_id)).alias("key"), F.monotonically_increasing_id().alias("row"),
     ))
     total = rows.agg(F.sum("size")).first()[0] or 0
-    splitters, totals = find_splitters(rows, total, shards * RANGES_PER_SHARD) if total else (Splitters(), [])
+    ranges = shards * RANGES_PER_SHARD
+    splitters, totals = find_splitters(rows, total, ranges) if total else (Splitters(), [])
+    crowded = [t["first"] for t in totals
+               if t["first"] == t["last"] and t["rows"] > 1 and t["bytes"] > OVERFULL * total / ranges]
+    if crowded:   # fewer than there are ranges
+        apart = F.when(F.col("key").isin(crowded), by_place(F.col("key"), F.col("row"))).otherwise(F.col("key"))
+        rows = rows.withColumn("key", apart)
+        splitters, totals = find_splitters(rows, total, ranges)
     shard_of, filled, places = deal(totals, shards), dict.fromkeys(range(shards), 0), []
     for t in sorted(totals, key=lambda t: t["range"]):
         places.append((t["range"], shard_of[t["range"]], filled[shard_of[t["range"]]]))

@@ -71,6 +71,24 @@ def test_top_k_of_large_components(spark):
     assert [r["score"] for r in got] == [(1 << 63) - 1] * 3 and [r["vec_id"] for r in got] == [1, 2, 3]
 
 
+def test_different_vectors_of_one_id_all_count(spark):
+    import duckdb
+
+    rows = [(20, [1.0]), (1, [1.0]), (1, [2.0]), (1, [2.0]), (40, [1.0, 2.0]), (40, [3.0, 1.0]), (3, None), (None, [9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for blocks in ((1024, 8192), (1, 2)):
+        found = topk_search.top_k(df, F.col("vec_id") % 20 == 0, 20, query_block=blocks[0], candidate_block=blocks[1])
+        got = sorted(tuple(r) for r in found.collect())
+        assert [r for r in got if r[0] == 20][:3] == [(20, 1, 40, 12288), (20, 2, 1, 8192), (20, 3, 1, 4096)]
+        assert len(got) == 4 + 2 * 4
+    with duckdb.connect() as db:   # the SQL takes vectors of one length
+        even = [(20, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (40, [1.0, 2.0]), (40, [3.0, 1.0])]
+        df = spark.createDataFrame(even, "vec_id long, embedding array<double>")
+        db.register("embeddings", df.toPandas())
+        expected = sorted(db.sql(topk_search.sql()).fetchall())
+    assert sorted(tuple(r) for r in topk_search.top_k(df, F.col("vec_id") % 20 == 0, 20).collect()) == expected
+
+
 def test_reading_stops_early_and_keeps_all_that_can_win():
     rng = np.random.default_rng(1)
     c = np.round(rng.normal(size=(4000, 2)) * 20)
@@ -106,6 +124,20 @@ def test_shards_are_nearly_equal_even_with_one_text_in_a_third_of_all_rows(spark
     assert len(sums) == 24 and max(sums.values()) - min(sums.values()) <= 0.02 * sum(sums.values()) / 24
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_rows_of_one_key_are_divided(spark, doc_id):
+    rng = np.random.default_rng(6)
+    rows = [(doc_id, "one text of rows that nothing tells apart")] * 2000
+    rows += [(1000 + i, "w" * int(n)) for i, n in enumerate(rng.integers(0, 60, 1000))]
+    found = shard_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 24)
+    sums, slots = Counter(), defaultdict(list)
+    for r in found:
+        sums[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert len(found) == 3000 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len(sums) == 24 and max(sums.values()) - min(sums.values()) <= 0.06 * sum(sums.values()) / 24
+
+
 def test_overfull_ranges_are_subdivided(spark):
     rows = spark.range(4000).select(F.col("id").alias("key"), F.when(F.col("id") < 2000, 1).otherwise(100).alias("size"))
     splitters, totals = sharding.find_splitters(rows, 202_000, 16)
