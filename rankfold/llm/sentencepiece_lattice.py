@@ -28,9 +28,9 @@ columns of clashing names are replaced, others pass through.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -112,26 +112,50 @@ def load_vocabulary(model_path: str) -> Vocabulary:
 
 
 class _Cutter:
-    """Cuts texts into units."""
+    """Cuts texts into words."""
 
     def __init__(self, vocabulary: Vocabulary):
         pattern = vocabulary.unit_pattern()
         self.pattern = re.compile(pattern)
-        # in texts without runs of blanks, splitting at blanks and around single characters gives the same units
+        # in texts without runs of blanks, splitting at blanks and around single characters gives the same words
         found = re.match(r"\[([^]]*)\]\|", pattern)
         self.simple = MARK in pattern
         self.singles = found[1] if found else ""
 
-    def units(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if not self.simple or "  " in text or text[0] == " " or MARK in text or "\0" in text:
-            return self.pattern.findall(MARK + text.replace(" ", MARK))
-        text = MARK + text.replace(" ", "\0" + MARK)
-        for single in self.singles:
-            if single in text:
-                text = text.replace(single, f"\0{single}\0")
-        return list(filter(None, text.split("\0")))
+    def words(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The words of all texts one after the other, and the number of words of each text."""
+        texts = pc.fill_null(texts, "")
+        odd = np.ones(len(texts), dtype=bool)
+        if self.simple:
+            odd = np.zeros(len(texts), dtype=bool)
+            for found in (pc.equal(texts, ""), pc.starts_with(texts, " "), *(
+                    pc.match_substring(texts, part) for part in ("  ", MARK, "\0"))):
+                odd |= found.to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return self._split(texts)
+        plain, sizes = self._split(texts.filter(pa.array(~odd)))
+        others = [self.pattern.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts.filter(pa.array(odd)).to_pylist()]
+        counts = np.zeros(len(texts), dtype="int64")
+        counts[~odd], counts[odd] = sizes, [len(words) for words in others]
+        both = pa.concat_arrays([plain, pa.array([w for words in others for w in words], pa.string())])
+        # the plain texts' words stand before the others': put them into the order of the texts
+        begins = np.zeros(len(texts), dtype="int64")
+        order = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
+        begins[order] = np.cumsum(counts[order]) - counts[order]
+        before = np.cumsum(counts) - counts
+        return both.take(pa.array(np.repeat(begins - before, counts) + np.arange(counts.sum()))), counts
+
+    def _split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        marked = pc.binary_join_element_wise(MARK, pc.replace_substring(texts, " ", "\0" + MARK), "")
+        if self.singles:
+            marked = pc.replace_substring_regex(marked, f"([{self.singles}])", "\0\\1\0")
+        parts = pc.split_pattern(marked, "\0")
+        flat = parts.flatten()
+        full = pc.not_equal(flat, "")
+        ends = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+        sizes = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype("int64")
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        return flat.filter(full), np.diff(ends[at])
 
 
 class _Divider:
@@ -158,20 +182,29 @@ class _Divider:
     def _numbers(self, codes: np.ndarray) -> np.ndarray:
         return np.where(codes < 1 << 16, self.numbers[np.minimum(codes, (1 << 16) - 1)], 1)
 
-    def divide(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+    def divide(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """Units of the words in order, and the number of units of each word."""
-        if self.whole or not words:
+        if self.whole or not len(words):
             return words, np.ones(len(words), dtype="int64")
-        joined = "".join(words)
-        ends = np.cumsum([len(w) for w in words])
-        at = self._numbers(np.frombuffer(joined.encode("utf-32-le"), dtype="<u4"))
+        # where words and characters begin among the bytes of all words
+        _, offsets, data = words.buffers()
+        offsets = np.frombuffer(offsets, dtype="int32")[words.offset:words.offset + len(words) + 1]
+        joined = data[offsets[0]:offsets[-1]]
+        ends = offsets - offsets[0]
+        places = np.flatnonzero((np.frombuffer(joined, dtype="uint8") & 0xC0) != 0x80)
+        at = self._numbers(np.frombuffer(joined.to_pybytes().decode().encode("utf-32-le"), dtype="<u4"))
         begins = np.ones(len(at), dtype=bool)
         begins[1:] = ~self.together[at[:-1], at[1:]]
-        begins[ends[:-1]] = True
-        cuts = np.flatnonzero(begins)
-        per_word = np.diff(np.searchsorted(cuts, np.concatenate([[0], ends])))
-        cuts = [*cuts.tolist(), len(joined)]
-        return [joined[a:b] for a, b in zip(cuts, cuts[1:])], per_word
+        begins[np.searchsorted(places, ends[:-1])] = True
+        cuts = np.concatenate([places[begins], [len(joined)]]).astype("int32")
+        # the units are an array over the same bytes with an offset for each
+        return pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), joined), np.diff(np.searchsorted(cuts, ends))
+
+
+def _summed(counts: list[pa.Table], name: str) -> pa.Table:
+    """One row per value of column ``name`` with the sum of n."""
+    found = pa.concat_tables(counts).group_by(name, use_threads=False).aggregate([("n", "sum")])
+    return pa.table({name: found[name], "n": found["n_sum"]})
 
 
 def count_units(df: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame:
@@ -179,23 +212,23 @@ def count_units(df: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame:
     cutter, divider = _Cutter(vocabulary), _Divider(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[str] = Counter()
-
-        def counted() -> pa.RecordBatch:
-            units, per_word = divider.divide(list(found))
-            sums: Counter[str] = Counter()
-            for unit, n in zip(units, np.repeat(np.array(list(found.values()), dtype="int64"), per_word).tolist()):
-                sums[unit] += n
-            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], ["unit", "n"])
-
-        for batch in batches:
-            for one in batch[0]:
-                found.update(cutter.units(one.as_py() or ""))
-                if len(found) > COUNTED:
-                    yield counted()
-                    found.clear()
+        def counted(words: pa.Table) -> Iterator[pa.RecordBatch]:
+            units, per_word = divider.divide(words["word"].combine_chunks())
+            n = np.repeat(words["n"].to_numpy(), per_word)
+            yield from _summed([pa.table({"unit": units, "n": n})], "unit").to_batches(max_chunksize=UNITS)
+
+        found: list[pa.Table] = [pa.table({"word": pa.array([], pa.string()), "n": pa.array([], pa.int64())})]
+        for whole in batches:
+            for batch in _portions(whole, "text"):
+                words = cutter.words(batch["text"])[0].value_counts()
+                found.append(pa.table({"word": words.field("values"), "n": words.field("counts")}))
+                if sum(map(len, found)) > 2 * COUNTED:
+                    found = [_summed(found, "word")]
+                    if len(found[0]) > COUNTED:
+                        yield from counted(found[0])
+                        found = [found[0].slice(0, 0)]
             pa.default_memory_pool().release_unused()   # the worker stays for later stages
-        yield counted()
+        yield from counted(_summed(found, "word"))
 
     counts = df.select(F.col(text).alias("text")).mapInArrow(count, "unit string, n long")
     return counts.groupBy("unit").agg(F.sum("n").alias("n"))
@@ -225,7 +258,7 @@ def lattice(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     edges = spans.join(pieces, F.col("sub") == F.col("piece"), "left").filter("length = 1 OR id IS NOT NULL")
     edge = F.struct("end", "length", (end - length + 1).alias("from"),
                     F.coalesce("score", F.lit(vocabulary.unknown_score)).alias("score"), F.coalesce("id", -end).alias("id"))
-    return edges.groupBy("unit", "n").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    return edges.groupBy("unit", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def best_paths(edges: DataFrame, longest: int) -> DataFrame:
@@ -360,27 +393,26 @@ class UnitTable:
 
 @dataclass
 class _Words:
-    """Distinct words of some texts: their numbers text by text, and the hashes of their units."""
+    """Distinct words and units of some texts, each known by its number."""
 
     numbers: np.ndarray     # of the words of the texts in order
     per_text: np.ndarray    # words of each text
-    hashes: np.ndarray      # of the units of the distinct words in order
+    units: np.ndarray       # numbers of the units of the distinct words in order
     per_word: np.ndarray    # units of each distinct word
+    hashes: np.ndarray      # of the distinct units
 
 
-def _words_of(texts: list[str], cutter: _Cutter, divider: _Divider) -> _Words:
-    """Each distinct word is divided and hashed once."""
+def _words_of(texts: pa.Array, cutter: _Cutter, divider: _Divider) -> _Words:
+    """Each distinct word is divided once, each distinct unit is hashed once."""
     import xxhash
 
-    codes: defaultdict = defaultdict()
-    codes.default_factory = codes.__len__
-    rows = []
-    for text in texts:
-        words = cutter.units(text)
-        rows.append(np.fromiter(map(codes.__getitem__, words), dtype="int64", count=len(words)))
-    units, per_word = divider.divide(list(codes))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(u.encode(), 42) for u in units), dtype="uint64", count=len(units)).view("int64")
-    return _Words(np.concatenate(rows), np.array([len(r) for r in rows], dtype="int64"), hashes, per_word)
+    flat, per_text = cutter.words(texts)
+    words = flat.dictionary_encode()
+    units, per_word = divider.divide(words.dictionary)
+    units = units.dictionary_encode()
+    own = units.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, own, repeat(42)), dtype="uint64", count=len(own)).view("int64")
+    return _Words(words.indices.to_numpy(), per_text, units.indices.to_numpy(), per_word, hashes)
 
 
 #: Bytes of text, or ids, coded at once: what bounds a worker's memory.
@@ -431,7 +463,7 @@ class Codec:
         def missing(texts: pd.Series) -> pd.Series:
             found = []
             for text in texts:
-                row = np.unique(_words_of([text or ""], cutter, divider).hashes)
+                row = np.unique(_words_of(pa.array([text], pa.string()), cutter, divider).hashes)
                 found.append(row[table.value.find(row) < 0])
             return pd.Series(found, dtype=object)
 
@@ -458,23 +490,24 @@ class Codec:
             more = table.value.with_more([(u["h"], u["ids"]) for own in owns for u in own or ()])
             rest = more.find(hashes)
             parts = [table.value.expand(at[i:i + 1]) if at[i] >= 0 else more.expand(rest[i:i + 1]) for i in range(len(at))]
-            return np.concatenate(parts), np.array([len(p) for p in parts])
+            return np.concatenate([np.zeros(0, "int32"), *parts]), np.array([len(p) for p in parts])
 
-        def coded_texts(texts: list[str], owns: list) -> tuple[np.ndarray, np.ndarray]:
+        def coded_texts(texts: pa.Array, owns: list) -> tuple[np.ndarray, np.ndarray]:
             """Ids of the texts one after the other, and where each text begins and the last ends."""
             words = _words_of(texts, cutter, divider)
             flat, sizes = ids_of(words.hashes, owns)
-            # a table of the distinct words; the texts are rows of it
-            unit_ends = np.concatenate([[0], np.cumsum(sizes)])
+            # tables of the distinct units and words: words are rows of the first, texts of the second
+            of_units = UnitTable(words.hashes, np.concatenate([[0], np.cumsum(sizes)]), flat)
+            unit_ends = np.concatenate([[0], np.cumsum(of_units.sizes(words.units))])
             word_ends = unit_ends[np.concatenate([[0], np.cumsum(words.per_word)])]
-            of_words = UnitTable(words.hashes, word_ends, flat)
+            of_words = UnitTable(words.hashes, word_ends, of_units.expand(words.units))
             ends = np.concatenate([[0], np.cumsum(of_words.sizes(words.numbers))])
             return of_words.expand(words.numbers), ends[np.concatenate([[0], np.cumsum(words.per_text)])]
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for batch in _portions(whole, text):
-                    flat, ends = coded_texts([t or "" for t in batch[text].to_pylist()], batch["_own"].to_pylist() if extra else [])
+                    flat, ends = coded_texts(batch[text], batch["_own"].to_pylist() if extra else [])
                     coded = _with_column(batch, output, lists_of(flat, np.diff(ends)), extra)
                     yield _with_column(coded, decoded, pa.array(decoder.texts(flat, ends), pa.string())) if decoder else coded
                 pa.default_memory_pool().release_unused()

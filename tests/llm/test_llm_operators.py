@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,9 +246,12 @@ def test_both_ways_of_cutting_give_the_same_units():
     rng = np.random.default_rng(12)
     for v in (VOCABULARY, sentencepiece_lattice.load_vocabulary(tokenizer_path("piece_bpe_32k.model"))):
         cutter = sentencepiece_lattice._Cutter(v)
-        for n in rng.integers(0, 40, 500):
-            text = "".join(rng.choice(list("ab \n7\t.é"), int(n)))
-            assert cutter.units(text) == (cutter.pattern.findall("▁" + text.replace(" ", "▁")) if text else [])
+        texts = ["".join(rng.choice(list("ab \n7\t.é▁\0"), int(n))) for n in rng.integers(0, 40, 500)]
+        regular = [t for t in texts if t and not re.search("^ |  |▁|\0", t)]
+        for some in ([*texts, None], regular, []):   # texts of both kinds, of one, none
+            words, counts = cutter.words(pa.array(some, pa.string()))
+            want = [cutter.pattern.findall("▁" + t.replace(" ", "▁")) if t else [] for t in some]
+            assert words.to_pylist() == [w for own in want for w in own] and counts.tolist() == [len(w) for w in want]
 
 
 def test_encoding_with_the_public_vocabulary(spark):
@@ -561,7 +565,8 @@ def test_words_are_divided_where_no_piece_reaches():
     divider = sentencepiece_lattice._Divider(v)
     side_by_side = {p[i:i + 2] for p, _, _ in v.pieces for i in range(len(p) - 1)}
     words = ["▁the", "▁word,", "êêçéoi", "a😀b", "x", "日本語", "▁"]
-    units, counts = divider.divide(words)
+    units, counts = divider.divide(pa.array(["before", *words])[1:])
+    units = units.to_pylist()
     assert "".join(units) == "".join(words) and counts.sum() == len(units)
     at = iter(units)
     for word, n in zip(words, counts):
