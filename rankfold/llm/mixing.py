@@ -103,10 +103,16 @@ def time_of(part: Column, schedule_class: Column, schedules: Sequence = SCHEDULE
     return F.element_at(F.transform(F.filter(own, lambda s: s["before"] <= part), of), -1)
 
 
+#: Columns that a mix adds.
+RESULTS = ("size", "source_size", "target", "copies", "taken", "positions")
+
+
 def mix(df: DataFrame, keep: Sequence[str] = ("doc_id",), doc_id: str = "doc_id", text: str = "text",
         source: str = "source", schedules: Sequence = SCHEDULES, saved: bool = True, ordered: bool = True) -> DataFrame:
     """``keep`` and size, source_size, target, copies, taken, positions (one per copy), in order of first position.
 
+    Columns of ``keep`` that are named like a result are replaced by it.
+
     ``saved`` writes the counted rows once; without it the words are counted once
     per pass, which spares the disk where ``keep`` holds the texts.  Without
     ``ordered`` the rows come unsorted, for ``training_order``, which sorts copies.
@@ -117,8 +123,9 @@ def mix(df: DataFrame, keep: Sequence[str] = ("doc_id",), doc_id: str = "doc_id"
     largest first, and the others, in the order of their keys, make up for what is
     due then, so the words taken come near the target.
     """
+    kept = [F.col(c) for c in keep if c.lower() not in RESULTS]
     sized = df.select(
-        F.struct(*[F.col(c) for c in keep]).alias("kept"), F.col(source).alias("source"),
+        F.struct(*kept).alias("kept"), F.col(source).alias("source"),
         word_count(F.col(text)).alias("size"), order_key(F.col(doc_id)).alias("key"),
     )
     sized = cut_lineage(sized) if saved else sized
@@ -217,7 +224,7 @@ targets AS (SELECT source, place, class, source_size,
 r AS (SELECT z.doc_id, z.size, z.key, t.*, z.size * {LARGE} > t.source_size AS large,
         CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::INT AS whole
       FROM sized z JOIN targets t ON z.source IS NOT DISTINCT FROM t.source),
-w AS (SELECT *, target - whole * source_size AS rest, CASE WHEN whole < {MOST} THEN (target - whole * source_size) / source_size
+w AS (SELECT *, target - whole * source_size AS rest, CASE WHEN source_size > 0 AND whole < {MOST} THEN (target - whole * source_size) / source_size
         ELSE 0.0::DOUBLE END AS part_ FROM r),
 items AS (SELECT place, key || '-' || size AS item, sum(size)::DOUBLE AS s, any_value(part_) AS p,
         row_number() OVER (PARTITION BY place ORDER BY -sum(size), key || '-' || size) AS n
