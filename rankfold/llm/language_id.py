@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 #: Rows per language that fill a dictionary, and characters taken of each.
 TEXTS, SLICE = 400, 280
+#: Shares of a language whose sample is drawn apart, so that no task sees more than this many samples.
+SHARES = 16
 #: Bytes of a dictionary at most.
 DICTIONARY_BYTES = 112 * 1024
 #: Bytes of a text compressed at once.
@@ -54,9 +56,12 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     """
     rows = labelled.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l"))
     rows = rows.filter(F.col("i").isNotNull() & F.col("l").isNotNull() & F.col("t").isNotNull() & ~held_out(F.col("i")))
-    order = Window.partitionBy("l").orderBy("h", "i")
-    chosen = (rows.select("i", "l", F.xxhash64(F.col("i").cast("string")).alias("h"))
-              .withColumn("n", F.row_number().over(order)).filter(F.col("n") <= texts).select("i", "l", "h").distinct())
+    # first within shares of a language, however many tasks there are, then among what the shares have left
+    own, whole = Window.partitionBy("l", "share").orderBy("h", "i"), Window.partitionBy("l").orderBy("h", "i")
+    chosen = rows.select("i", "l", F.xxhash64(F.col("i").cast("string")).alias("h"), F.pmod(F.hash("i"), F.lit(SHARES)).alias("share"))
+    for order in (own, whole):
+        chosen = chosen.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= texts)
+    chosen = chosen.select("i", "l", "h").distinct()
     # only the slice of a text that would be taken goes through the join
     h = F.xxhash64(F.col("i").cast("string"))
     room = F.greatest(F.length("t") - characters, F.lit(0)) + 1
@@ -115,8 +120,9 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
             yield pd.DataFrame(found, columns=["lang_pred", "score", "margin"])
 
     readable = F.when(F.col(text).rlike(r"\p{L}"), F.col(text))
-    found = df.withColumn("_language", predict(readable))
+    held = "_language" + "_" * max(map(len, df.columns))   # longer than any name of the table
+    found = df.withColumn(held, predict(readable))
     for name in ("lang_pred", "score", "margin"):
-        found = found.withColumn(name, F.col(f"_language.{name}"))
+        found = found.withColumn(name, F.col(f"{held}.{name}"))
     rejected = (F.col("lang_pred") == UNKNOWN) | (F.col("margin") < min_margin)
-    return found.withColumn("rejected", rejected).drop("_language")
+    return found.withColumn("rejected", rejected).drop(held)

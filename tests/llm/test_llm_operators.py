@@ -173,6 +173,12 @@ def test_mix_of_odd_rows(odd, none):
         assert all(0 <= p <= 1 for p in r["positions"]) and r["positions"] == sorted(r["positions"])
 
 
+def test_mix_replaces_columns_named_like_results(spark):
+    df = spark.createDataFrame([(1, "a b", "s", -1, -1.0)], "doc_id long, text string, source string, size long, target double")
+    mixed = mixing.mix(df, keep=("doc_id", "size", "target", "source"))
+    assert mixed.columns == ["doc_id", "source", *mixing.RESULTS] and mixed.first()["size"] == 2
+
+
 def test_mix_of_sources_without_words(spark):
     rows = [(i, t, s) for i, (t, s) in enumerate([("a b c", "full"), ("d e", "full"), (None, "none"), ("", "none"), (" \n", "none")])]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -288,6 +294,59 @@ def test_language_of_odd_rows(odd, none):
     assert {r["lang_pred"] for r in language_id.identify(odd, {}).collect()} == {"und"}
 
 
+def plain_sample(rows, texts, characters):
+    """Dictionaries of (id, text, language) rows: those of the smallest hashes, a slice of each by its hash."""
+    import xxhash
+
+    of = defaultdict(list)
+    for i, text, lang in rows:
+        if text is not None and lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            h = xxhash.xxh64_intdigest(str(i).encode(), 42)
+            of[lang].append((h - (1 << 64) if h >> 63 else h, i, text))
+    found = {}
+    for lang, own in of.items():
+        slices = [t[h % max(1, len(t) - characters + 1):][:characters] for h, _, t in sorted(own)[:texts]]
+        found[lang] = "\n".join(slices).lower().encode()
+    return found
+
+
+def plain_language(text, dictionaries):
+    """The language whose dictionary makes all windows of the text smallest."""
+    import zstandard
+
+    sizes = {}
+    for lang, content in sorted(dictionaries.items()):
+        settings = zstandard.ZstdCompressionParameters.from_level(
+            language_id.LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False)
+        packer = zstandard.ZstdCompressor(compression_params=settings, dict_data=zstandard.ZstdCompressionDict(
+            content, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+        data = text.lower().encode()
+        n = max(1, math.ceil(len(data) / language_id.WINDOW))
+        ends = [len(data) * k // n for k in range(n + 1)]
+        sizes[lang] = sum(len(packer.compress(data[a:b])) for a, b in zip(ends, ends[1:]))
+    return min(sorted(sizes), key=sizes.get)
+
+
+def test_languages_against_a_plain_version(spark):
+    rng = np.random.default_rng(14)
+    words = {lang: ["".join(rng.choice(list("abcdeéfghiknorstuü"), 5)) for _ in range(60)] for lang in ("en", "de", "fr")}
+    rows = [(i, " ".join(rng.choice(words[lang], int(rng.integers(1, 400)))), lang)   # most of one language
+            for i, lang in enumerate(["en"] * 300 + ["de", "fr"] * 40)]
+    rows += [(900, None, "en"), (901, "aéb", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    for texts in (5, 37, 400):   # fewer and more than a share or a language has
+        assert language_id.fit(df, texts=texts, characters=90) == plain_sample(rows, texts, 90)
+    learned = language_id.fit(df, texts=37, characters=90)
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df, learned).collect()}
+    assert got == {i: "und" if t is None else plain_language(t, learned) for i, t, _ in rows}
+
+
+def test_language_keeps_columns_of_all_names(spark):
+    df = spark.createDataFrame([(1, "the cat", "en", 7, 8)], "doc_id long, text string, lang string, _language int, score int")
+    found = language_id.identify(df, {"en": b"the cat"})
+    assert found.columns == [*df.columns, "lang_pred", "margin", "rejected"] and found.first()["_language"] == 7
+
+
 # 6 fingerprints
 
 def test_neighbours_of_odd_rows(odd, none):
