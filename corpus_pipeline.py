@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankfold.llm import language_id, mixing, sentencepiece_lattice, simhash, suffix_dedup
+from rankfold.llm import language_id, mixing, sentencepiece_lattice, shared_passages, simhash, suffix_dedup
 from rankfold.llm.queries import tokenizer_path
 from rankfold.session import cut_lineage
 
@@ -29,9 +29,12 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that repeat; documents that lose all of a text that was not empty go."""
-    cut = suffix_dedup.remove_repeats(docs, keep=COLUMNS)
-    cut = cut.filter((F.col("n_removed") == 0) | (F.octet_length("kept_text") > 0))
+    """Texts without the passages that repeat: strings of 400 bytes, and runs of 50 words that another document has too.
+
+    Documents that lose all of a text that was not empty go, blanks between what was cut included.
+    """
+    cut = suffix_dedup.remove_repeats(docs, keep=COLUMNS, passages=shared_passages.passage_spans)
+    cut = cut.filter((F.col("n_removed") == 0) | F.rlike("kept_text", F.lit(r"[^\x20\x09-\x0D]")))
     chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
     return cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", chars.alias("n_chars"))
 

@@ -323,11 +323,13 @@ def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: Sequence[str] = ("doc_id",),
-                   most: int = MOST, sharing: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                   most: int = MOST, sharing: Callable[[DataFrame], DataFrame] | None = None,
+                   passages: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``keep`` (but the text itself) and n_bytes, n_removed, n_spans, kept_sha256, kept_text of every row.
 
     kept_text is null where the text is.  ``sharing`` (``shared_passages.sharing_texts``)
-    adds shares_passage; it decides nothing about what is removed.
+    adds shares_passage; it decides nothing about what is removed.  ``passages``
+    (``shared_passages.passage_spans``) gives further spans, which are removed too.
     """
     payload = F.struct(*[F.col(c) for c in keep if c != text], F.col(text).isNull().alias("_none"))
     rows = keyed(df.select(F.col(text).alias("_text"), payload.alias("kept"), F.col(doc_id).cast("string").alias("row")), "_text")
@@ -335,8 +337,14 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     found = find_spans(texts, most).withColumn("found", F.lit(True))
     if sharing is not None:
         found = found.join(sharing(texts).withColumn("shares", F.lit(True)), ["k1", "k2"], "full")
-    joined = texts.join(found, ["k1", "k2"], "left")
     whole = F.coalesce(F.col("found"), F.lit(False)) & F.col("spans").isNull()
+    found = found.withColumn("whole", whole)
+    if passages is not None:
+        none = F.array().cast("array<struct<low:bigint,high:bigint>>")
+        found = found.join(passages(texts).withColumnRenamed("spans", "more"), ["k1", "k2"], "full").withColumn(
+            "spans", F.concat(F.coalesce("spans", none), F.coalesce("more", none))).drop("more")
+    joined = texts.join(found, ["k1", "k2"], "left")
+    whole = F.coalesce("whole", F.lit(False))
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     def apply(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
