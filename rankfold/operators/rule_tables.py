@@ -16,7 +16,9 @@ Words are compared with lower-cased texts; empty words are ignored.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ from rankfold.session import cut_lineage
 HITS = "_hits"
 #: Keyword rows of rules that become expressions, at most.
 EXPRESSIONS = 1000
+#: Hits that leave a Python worker at once, about.
+AT_ONCE = 50_000
 _HIT = "struct<rule_order:int,rule_id:string,kind:string,value:int,flag:string>"
 _RULE = ("rule_order", "rule_id", "kind", "value", "flag")
 _SENTENCES = "!"   # marks the field of a scope's demanding sentences
@@ -79,12 +83,28 @@ def _shipped_hits(index: list, fields: list[str], texts: list[Column]) -> Column
     rules = sorted({tuple(e[c] for c in _RULE) for e in index})
     number = {rule: i for i, rule in enumerate(rules)}
     words = RuleWords([(e["field"], e["word"], e["mode"], e["cancels"], number[tuple(e[c] for c in _RULE)]) for e in index], fields)
-    named = [dict(zip(_RULE, rule)) for rule in rules]
-
-    def find(*columns: pd.Series) -> pd.Series:
-        return pd.Series([[named[i] for i in words.rules_of(row)] for row in zip(*columns)], dtype=object)
-
-    return F.pandas_udf(find, f"array<{_HIT}>").asNondeterministic()(*texts)
+    columns = [pa.array(c, t) for c, t in zip(zip(*rules), (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string()))]
+    most = AT_ONCE
+
+    def find(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        # hits are numbers until they leave; a batch of texts leaves in parts of a bounded number of hits
+        table = pa.StructArray.from_arrays(columns, list(_RULE))
+
+        def part(ends: list[int], hits: list[int]) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), table.take(pa.array(hits, pa.int32())))
+
+        for batch in batches:
+            ends, hits = [0], []
+            for row in zip(*(batch if isinstance(batch, tuple) else (batch,))):
+                hits += words.rules_of([text.as_py() for text in row])
+                ends.append(len(hits))
+                if len(hits) >= most:
+                    yield part(ends, hits)
+                    ends, hits = [0], []
+            if len(ends) > 1:
+                yield part(ends, hits)
+
+    return F.arrow_udf(find, f"array<{_HIT}>").asNondeterministic()(*texts)
 
 
 def _joined_hits(rows: DataFrame, index: DataFrame, fields: list[str], texts: list[Column]) -> DataFrame:
