@@ -158,13 +158,15 @@ def _emit_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def passage_spans(texts: DataFrame) -> DataFrame:
     """(k1, k2, spans): the bytes of the texts that lie in passages which another row has too; ``texts`` as for ``sharing_texts``.
 
-    Only texts with a shared shingle are read again.
+    Only texts with a shared shingle are read again.  The result is saved, so that it adds nothing to the plan of the cutting,
+    which the driver would plan anew after every stage.
     """
     shingles = cut_lineage(texts.select("k1", "k2", "body").mapInArrow(_emit, _ROW_DDL))
     shared = shingles.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     asked = cut_lineage(shingles.join(shared, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_set("h").alias("asked")))
     runs = cut_lineage(texts.select("k1", "k2", "body").join(asked, ["k1", "k2"]).select("k1", "k2", "body", "asked").mapInArrow(
         _emit_runs, _WINDOW_DDL))
-    # a row gives a run once as fresh, so two of them mean two documents
-    met = runs.groupBy("w").agg(F.count_if("fresh").alias("n")).filter("n > 1").select("w")
-    return runs.join(met, "w", "left_semi").groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+    # a row gives a run once as fresh, so two of them mean two documents; saved: the join then has an exchange
+    # on either side (or a broadcast), and a run that many texts have can be split
+    met = cut_lineage(runs.groupBy("w").agg(F.count_if("fresh").alias("n")).filter("n > 1").select("w"))
+    return cut_lineage(runs.join(met, "w", "left_semi").groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("spans")))

@@ -55,3 +55,17 @@ def test_shared_passages_of_the_pipeline_go(spark):
         else:
             assert i not in after
     assert after[7]["text"] == texts[7] and after[10]["text"] == texts[10] and 2 not in after   # a repeat within one text stays
+
+
+def test_a_run_that_many_texts_have_needs_no_single_task(spark, monkeypatch):
+    """What is joined with the runs is saved, so the join has an exchange on either side or a broadcast, and the result is too."""
+    plans, save = [], sp.cut_lineage
+    monkeypatch.setattr(sp, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or save(df))
+    kept = [t for t in some_texts() if t]
+    rows = [(i, 0, bytearray(t.encode())) for i, t in enumerate(kept)]
+    texts = spark.createDataFrame(rows, "k1 long, k2 int, body binary")
+    last = sp.passage_spans(texts)
+    joined = [p for p in plans if "LeftSemi" in p and "low" in p]
+    assert len(joined) == 1 and joined[0].count("Aggregate") == 1   # of the spans, above the join
+    assert "Join" not in last._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["k1"] for r in last.collect()} == {i for i, (t, left) in enumerate(zip(kept, expected(kept))) if t != left}
